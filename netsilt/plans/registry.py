@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsilt import rules
 from netsilt.functions import text as X
+from netsilt.operators import anomaly as A
+from netsilt.operators import cascade as K
 from netsilt.operators import classify as C
+from netsilt.operators import maintenance as M
+from netsilt.operators import patterns as P
+from netsilt.operators import security as S
 from netsilt.plans import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +96,197 @@ def classified_logs(spark, sf_dir):
         "version", "classification_confidence", "classification_method", "is_anomaly", "anomaly_score",
         "security_threat", "threat_type", "threat_score", "recommended_action",
     )
+
+
+# ---------------------------------------------------------------- templates, patterns, IOCs
+
+
+@query
+def template_tokens(spark, sf_dir):
+    return derived.logs(spark, sf_dir).select("log_id", X.message_template("description").alias("template"))
+
+
+@query
+def recurring_patterns(spark, sf_dir):
+    found = P.recurring_patterns(classified_logs_of(spark, sf_dir))
+    return P.patterns_by_frequency(found).select(
+        "pattern_id", "description", "frequency", "source_count", joined(F.col("categories")).alias("categories"),
+        plain_time("first_seen"), plain_time("last_seen"), "severity", "is_recurring", "impact_score",
+        "recommended_action")
+
+
+@query
+def pattern_sources(spark, sf_dir):
+    return P.pattern_sources(classified_logs_of(spark, sf_dir))
+
+
+def _ioc_columns(found):
+    return [joined(found[k]).alias(k) for k in ("ips", "ports", "domains", "hashes")]
+
+
+@query
+def ioc_logs(spark, sf_dir):
+    logs = derived.logs(spark, sf_dir).select("log_id", X.iocs(X.search_text()).alias("iocs"))
+    return logs.select("log_id", *_ioc_columns(F.col("iocs")))
+
+
+@query
+def ioc_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.iocs("text").alias("iocs"))
+    return docs.select("doc_id", *_ioc_columns(F.col("iocs")))
+
+
+@query
+def ioc_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.iocs("html").alias("iocs"))
+    return pages.select("page_id", *_ioc_columns(F.col("iocs")))
+
+
+# ---------------------------------------------------------------- security
+
+
+def _incident_text(df):
+    return df.select(
+        "threat_id", "threat_type", "severity", "score",
+        *[joined(F.col(c)).alias(c) for c in ("source_ips", "target_ips", "target_ports", "affected_devices", "iocs",
+                                              "mitre_tactics", "recommended_actions")],
+        plain_time("first_seen"), plain_time("last_seen"), "event_count", "description", "is_active")
+
+
+@query
+def threat_assessments(spark, sf_dir):
+    return _incident_text(S.assess_logs(classified_logs_of(spark, sf_dir)))
+
+
+@query
+def security_incidents(spark, sf_dir):
+    return _incident_text(S.threats_by_score(S.security_incidents(classified_logs_of(spark, sf_dir))))
+
+
+@query
+def incident_logs(spark, sf_dir):
+    return S.incident_logs(classified_logs_of(spark, sf_dir))
+
+
+@query
+def threat_summary(spark, sf_dir):
+    return S.threat_summary(S.security_incidents(classified_logs_of(spark, sf_dir)))
+
+
+@query
+def top_source_ips(spark, sf_dir):
+    return S.top_source_ips(S.security_incidents(classified_logs_of(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- anomalies
+
+BURST_WINDOW = timedelta(hours=12)
+ANOMALY_THRESHOLD = 0.25
+
+
+@query
+def rolling_zscore(spark, sf_dir):
+    return A.rolling_zscore(derived.logs(spark, sf_dir)).select(
+        "log_id", "source", "metric", "value", "samples",
+        F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), F.round("z_score", 9).alias("z_score"))
+
+
+@query
+def baseline_table(spark, sf_dir):
+    return A.baseline_table(derived.logs(spark, sf_dir)).select(
+        "source", "metric", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "samples")
+
+
+@query
+def log_deviation(spark, sf_dir):
+    return A.log_deviation(derived.logs(spark, sf_dir)).select(
+        "log_id", F.round("max_z", 9).alias("max_z"), joined(F.col("metric_factors")).alias("metric_factors"))
+
+
+@query
+def burst_ratio(spark, sf_dir):
+    return A.burst_ratio(derived.logs(spark, sf_dir), window=BURST_WINDOW)
+
+
+@query
+def rate_in_window(spark, sf_dir):
+    return A.rate_in_window(derived.logs(spark, sf_dir), window=BURST_WINDOW).withColumn(
+        "rate_per_minute", F.round("rate_per_minute", 9))
+
+
+@query
+def rate_by_category(spark, sf_dir):
+    """Rates per device and category, the second key of the burst tracker."""
+    logs = classified_logs_of(spark, sf_dir).withColumn("device_category", F.concat_ws(":", "source", "category"))
+    return A.rate_in_window(logs, "device_category", BURST_WINDOW).withColumn(
+        "rate_per_minute", F.round("rate_per_minute", 9))
+
+
+def anomalies_of(classified):
+    return A.anomaly_scores(classified, threshold=ANOMALY_THRESHOLD, burst_window=BURST_WINDOW)
+
+
+@query
+def anomaly_scores(spark, sf_dir):
+    return anomalies_of(classified_logs_of(spark, sf_dir)).select(
+        "log_id", plain_time("timestamp"), "source", "anomaly_score", "is_anomaly", "anomaly_type",
+        joined(F.col("contributing_factors")).alias("contributing_factors"), "baseline_deviation", "severity_upgrade")
+
+
+@query
+def enriched_logs(spark, sf_dir):
+    classified = classified_logs_of(spark, sf_dir)
+    return A.enrich_logs(classified, anomalies_of(classified)).select(
+        "log_id", "source", "category", "severity", "is_anomaly", "anomaly_score", "security_threat")
+
+
+@query
+def top_anomalous_devices(spark, sf_dir):
+    return A.top_anomalous_devices(anomalies_of(classified_logs_of(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- cascades
+
+
+@query
+def cascade_correlations(spark, sf_dir):
+    return K.cascade_correlations(classified_logs_of(spark, sf_dir))
+
+
+@query
+def cascade_edges(spark, sf_dir):
+    return K.cascade_edges(classified_logs_of(spark, sf_dir))
+
+
+@query
+def cascade_sources(spark, sf_dir):
+    return K.affected_sources(K.cascade_edges(classified_logs_of(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- maintenance
+
+AS_OF = "2024-02-01 00:00:00"
+ALERT_THRESHOLD = 0.3
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def alerts_of(classified):
+    return M.maintenance_alerts(M.device_features(classified), as_of(), ALERT_THRESHOLD)
+
+
+@query
+def device_features(spark, sf_dir):
+    return M.device_features(derived.logs(spark, sf_dir)).select(
+        "device", *[F.round(n, 9).alias(n) for n in M.FEATURE_NAMES])
+
+
+@query
+def maintenance_alerts(spark, sf_dir):
+    return M.alerts_by_probability(alerts_of(derived.logs(spark, sf_dir))).select(
+        "alert_id", "device", "failure_probability", "predicted_failure_type", "time_horizon_hours", "confidence",
+        "risk_level", joined(F.col("contributing_signals")).alias("contributing_signals"),
+        joined(F.col("recommended_actions")).alias("recommended_actions"), "maintenance_window",
+        plain_time("created_at"))

@@ -1,5 +1,5 @@
 """DuckDB SQL per query, used only to check results."""
 
-from oracles import classification
+from oracles import analysis, classification
 
-ORACLES = {**classification.SQL}
+ORACLES = {**classification.SQL, **analysis.SQL}
