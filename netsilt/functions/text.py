@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from netsilt import rules
-from netsilt.functions.columns import col
+from netsilt.functions.columns import col, string_array
 
 
 def rx(pattern: str, ignore_case: bool = False) -> str:
@@ -41,17 +41,17 @@ def first_match(text: str | Column, patterns: Sequence[str], ignore_case: bool =
     return out
 
 
-def keyword_hits(lower_text: str | Column, words: Sequence[str]) -> Column:
-    """How many of the words occur as substrings."""
-    hits = [col(lower_text).contains(w).cast("int") for w in words]
-    return sum(hits[1:], hits[0])
+def keyword_hits(lower_text: str, words: Sequence[str]) -> Column:
+    """How many of the words occur as substrings.
+
+    One small loop over a constant list: a hundred inlined ``contains`` calls make
+    the generated method too large to be compiled.
+    """
+    return F.size(F.filter(string_array(words), lambda w: F.contains(F.col(lower_text), w)))
 
 
-def any_keyword(lower_text: str | Column, words: Sequence[str]) -> Column:
-    found = col(lower_text).contains(words[0])
-    for w in words[1:]:
-        found = found | col(lower_text).contains(w)
-    return found
+def any_keyword(lower_text: str, words: Sequence[str]) -> Column:
+    return F.exists(string_array(words), lambda w: F.contains(F.col(lower_text), w))
 
 
 def message_template(text: str | Column) -> Column:
@@ -78,7 +78,7 @@ def iocs(text: str | Column) -> Column:
     )
 
 
-def impacted_components(text: str | Column, lower_text: str | Column) -> Column:
+def impacted_components(text: str | Column, lower_text: str) -> Column:
     """Named interfaces, then the distinct of the first three addresses, then
     components any of whose words occurs; at most ten entries."""
     interfaces = F.array_distinct(find_all(text, rules.NAMED_INTERFACE, 0, True))

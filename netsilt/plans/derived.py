@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsilt.sources.readers import spread_small
+
 # (description, raw_message) by event_id % 15; {A} = user_id % 10, {B} = event_id % 250
 TEMPLATES = [
     ("BGP neighbor 10.0.{A}.{B} went down - Hold timer expired",
@@ -118,4 +120,4 @@ def logs_from_events(ev: DataFrame) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs_from_events(events(spark, sf_dir))
+    return logs_from_events(spread_small(events(spark, sf_dir)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,14 @@ from netsilt.operators import cascade as K
 from netsilt.operators import classify as C
 from netsilt.operators import maintenance as M
 from netsilt.operators import patterns as P
+from netsilt.operators import report as R
+from netsilt.operators import search as Q
 from netsilt.operators import security as S
+from netsilt.plans import analysis as plan
 from netsilt.plans import derived
+from netsilt.sources import payloads as payload_sources
+from netsilt.sources import readers
+from netsilt.sources.syslog import parse_syslog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -290,3 +297,219 @@ def maintenance_alerts(spark, sf_dir):
         "risk_level", joined(F.col("contributing_signals")).alias("contributing_signals"),
         joined(F.col("recommended_actions")).alias("recommended_actions"), "maintenance_window",
         plain_time("created_at"))
+
+
+# ---------------------------------------------------------------- report
+
+
+@query
+def log_counters(spark, sf_dir):
+    return R.log_counters(classified_logs_of(spark, sf_dir))
+
+
+@query
+def top_sources(spark, sf_dir):
+    return R.top_sources(R.log_counters(classified_logs_of(spark, sf_dir))).select("key", "count")
+
+
+@query
+def log_search(spark, sf_dir):
+    """One page of a search, and a row with the total of the whole search."""
+    found = Q.search_logs(classified_logs_of(spark, sf_dir), limit=100, offset=20,
+                          category="security", severity="critical", source="DEV-01")
+    texts = ["log_id", "source", "category", "severity", "threat_type"]
+    rows = found["logs"].select(*texts, plain_time("timestamp"), F.lit(None).cast("long").alias("total"))
+    total = found["total"].select(
+        *[F.lit("").alias(c) for c in texts], F.lit(None).cast("timestamp_ntz").alias("timestamp"), "total")
+    return rows.unionByName(total)
+
+
+@query
+def log_by_id(spark, sf_dir):
+    return Q.log_by_id(classified_logs_of(spark, sf_dir), "LOG-00000123").select(
+        "log_id", "source", "category", "severity", "recommended_action")
+
+
+@query
+def anomaly_view(spark, sf_dir):
+    found = Q.anomaly_view(anomalies_of(classified_logs_of(spark, sf_dir)))["rows"]
+    return found.select("log_id", "source", "anomaly_score", "anomaly_type", "severity_upgrade")
+
+
+def analysis_of(spark, sf_dir) -> plan.Analysis:
+    settings = plan.Settings(
+        anomaly_threshold=ANOMALY_THRESHOLD, burst_window=BURST_WINDOW, alert_threshold=ALERT_THRESHOLD)
+    return plan.analyse(derived.logs(spark, sf_dir), as_of(), settings, reuse=False)
+
+
+@query
+def system_stats(spark, sf_dir):
+    a = analysis_of(spark, sf_dir)
+    t = a.tables
+    return R.system_stats(a.enriched(), t["anomalies"], t["threats"], t["patterns"], t["maintenance_alerts"])
+
+
+@query
+def analysis_counts(spark, sf_dir):
+    """The counts an analysis run answers with, one row per analysis."""
+    t = analysis_of(spark, sf_dir).tables
+    tables = {"anomalies": t["anomalies"].filter("is_anomaly"), "threats": t["threats"], "patterns": t["patterns"],
+              "maintenance_alerts": t["maintenance_alerts"]}
+    rows = [df.agg(F.count("*").alias("count")).select(F.lit(n).alias("analysis"), "count") for n, df in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def critical_alerts(spark, sf_dir):
+    t = analysis_of(spark, sf_dir).tables
+    return R.critical_alerts(t["threats"], t["maintenance_alerts"]).drop("weight")
+
+
+@query
+def recommendations(spark, sf_dir):
+    a = analysis_of(spark, sf_dir)
+    t = a.tables
+    facts = R.health_facts(a.classified, t["anomalies"], t["threats"], t["patterns"], t["maintenance_alerts"])
+    return facts.select(
+        F.round("overall_health_score", 1).alias("overall_health_score"), "health_status",
+        F.posexplode("recommendations").alias("position", "recommendation"))
+
+
+def _map_text(c):
+    entries = F.array_sort(F.map_entries(c))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|")
+
+
+def _row_text(c, *fields):
+    return F.array_join(F.transform(c, lambda r: F.concat_ws("~", *[r[f].cast("string") for f in fields])), "|")
+
+
+@query
+def health_report(spark, sf_dir):
+    r = analysis_of(spark, sf_dir).report(as_of())
+    return r.select(
+        "report_id", plain_time("generated_at"), plain_time("period_start"), plain_time("period_end"),
+        "overall_health_score", "health_status", "summary.*",
+        *[_map_text(c).alias(c) for c in ("logs_by_severity", "logs_by_category", "logs_by_device")],
+        _row_text("top_anomalous_devices", "device", "anomaly_count").alias("top_anomalous_devices"),
+        F.col("threat_summary.total").alias("threats_total"),
+        _map_text("threat_summary.by_type").alias("threats_by_type"),
+        _map_text("threat_summary.by_severity").alias("threats_by_severity"),
+        F.col("threat_summary.critical_count").alias("critical_threats"),
+        _row_text("pattern_summary", "id", "description", "frequency", "severity").alias("pattern_summary"),
+        _row_text("maintenance_summary", "device", "risk", "type").alias("maintenance_summary"),
+        _row_text("critical_alerts", "type", "id", "description", "severity", "action").alias("critical_alerts"),
+        joined(F.col("recommendations")).alias("recommendations"))
+
+
+@query
+def report_sections(spark, sf_dir):
+    return R.report_sections(analysis_of(spark, sf_dir).report(as_of()))
+
+
+# ---------------------------------------------------------------- sources
+
+
+def _source_rows(spark, sf_dir):
+    """Log fields plus the event number, as raw material for landed payloads."""
+    return derived.logs(spark, sf_dir).withColumns({
+        "n": F.substring("log_id", 5, 100).cast("long"),
+        "k": F.try_element_at("metrics", F.lit("memory_usage")).cast("int"),
+        "second": F.date_format(F.col("timestamp").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"),
+    })
+
+
+def _raw_columns(df, *more):
+    return df.select(
+        "source", "platform", "component", "version", "severity", "description", "raw_message",
+        _map_text(F.transform_values("metrics", lambda _, v: v.cast("int"))).alias("metrics"), *more)
+
+
+@query
+def syslog_parse(spark, sf_dir):
+    rows = _source_rows(spark, sf_dir)
+    lines = rows.select(F.concat(F.lit("<"), (F.col("n") % 8 + 128).cast("string"), F.lit(">"), "raw_message")
+                        .alias("message"))
+    return parse_syslog(lines, "message", F.lit("file")).select(
+        "log_id", "source_ip", "platform", "component", "severity", "description", "raw_message")
+
+
+def _record(shape: int):
+    """JSON records of two shapes: all fields, and few fields."""
+    metrics = F.struct(F.col("k").alias("cpu_usage"))
+    if shape == 0:
+        return F.to_json(F.struct(
+            "log_id", F.col("second").alias("timestamp"), "source", "source_ip", "platform",
+            F.lit("BGP").alias("component"), F.lit("IOS 15.2").alias("version"), F.lower("severity").alias("severity"),
+            "description", "raw_message", metrics.alias("metrics")))
+    return F.to_json(F.struct("source", F.col("description").alias("message"), metrics.alias("metrics")))
+
+
+def _records(spark, sf_dir):
+    rows = _source_rows(spark, sf_dir)
+    return rows.select("n", F.when(F.col("n") % 2 == 0, _record(0)).otherwise(_record(1)).alias("record"))
+
+
+@query
+def json_logs(spark, sf_dir):
+    logs = readers.json_logs(readers.with_record(_records(spark, sf_dir), "record"))
+    return _raw_columns(logs, "source_ip", F.when(F.col("component") == "BGP", F.col("log_id")).alias("log_id"))
+
+
+@query
+def api_logs(spark, sf_dir):
+    logs = readers.api_logs(readers.with_record(_records(spark, sf_dir), "record"))
+    return _raw_columns(logs, "source_ip", "log_id")
+
+
+@query
+def normalise_rest(spark, sf_dir):
+    item = F.col("record")
+    shape = F.col("n") % 3
+    payload = (F.when(shape == 0, F.concat(F.lit("["), item, F.lit("]")))
+               .when(shape == 1, F.concat(F.lit('{"results":['), item, F.lit("]}")))
+               .otherwise(F.concat(F.lit('{"logs":['), item, F.lit(","), item, F.lit("]}"))))
+    payloads = _records(spark, sf_dir).select(payload.alias("payload"))
+    return _raw_columns(payload_sources.normalise(payloads, "rest", default_source="http://nms"), "log_id")
+
+
+def _solarwinds(spark, sf_dir):
+    item = F.to_json(F.struct(
+        F.col("second").alias("EventTime"), F.col("source").alias("NetObjectID"),
+        F.lit("Interface").alias("NetObjectType"), F.col("description").alias("Message")))
+    return _source_rows(spark, sf_dir).select(
+        F.concat(F.lit('{"results":['), item, F.lit("]}")).alias("payload"))
+
+
+@query
+def normalise_solarwinds(spark, sf_dir):
+    return _raw_columns(payload_sources.normalise(_solarwinds(spark, sf_dir), "solarwinds"), plain_time("timestamp"))
+
+
+@query
+def solarwinds_last_day(spark, sf_dir):
+    """Events of the 24 hours before a point in time, newest first, as the system's own query gives them."""
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    logs = payload_sources.normalise(_solarwinds(spark, sf_dir), "solarwinds", as_of=now)
+    return logs.orderBy(F.desc("timestamp"), "log_id").select("log_id", plain_time("timestamp"), "source", "description")
+
+
+@query
+def normalise_zabbix(spark, sf_dir):
+    host = F.when(F.col("n") % 5 == 0, F.lit("[]")).otherwise(F.concat(F.lit('[{"host":"'), "source", F.lit('"}]')))
+    item = F.concat(F.lit('{"clock":"'), F.unix_timestamp("timestamp").cast("string"), F.lit('","hosts":'), host,
+                    F.lit(',"severity":"'), (F.col("n") % 7).cast("string"), F.lit('","name":"DHCP lease"}'))
+    payloads = _source_rows(spark, sf_dir).select(F.concat(F.lit('{"result":['), item, F.lit("]}")).alias("payload"))
+    logs = payload_sources.normalise(payloads, "zabbix")
+    return _raw_columns(logs, F.unix_timestamp("timestamp").alias("epoch_seconds"))
+
+
+@query
+def merged_sources(spark, sf_dir):
+    """Counts per platform and severity over the union of all source kinds."""
+    records = readers.with_record(_records(spark, sf_dir), "record")
+    rows = _source_rows(spark, sf_dir)
+    merged = readers.merge_sources(
+        parse_syslog(rows, "raw_message", F.lit("file")), readers.json_logs(records), readers.api_logs(records),
+        payload_sources.normalise(_solarwinds(spark, sf_dir), "solarwinds"))
+    return merged.groupBy("platform", "severity").agg(F.count("*").alias("count"))

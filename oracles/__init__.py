@@ -1,5 +1,5 @@
 """DuckDB SQL per query, used only to check results."""
 
-from oracles import analysis, classification
+from oracles import analysis, classification, reporting
 
-ORACLES = {**classification.SQL, **analysis.SQL}
+ORACLES = {**classification.SQL, **analysis.SQL, **reporting.SQL}
