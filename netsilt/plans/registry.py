@@ -14,6 +14,9 @@ from netsilt.functions import text as X
 from netsilt.operators import anomaly as A
 from netsilt.operators import cascade as K
 from netsilt.operators import classify as C
+from netsilt.operators import failure_model as FM
+from netsilt.operators import isolation_forest as IF
+from netsilt.operators import log_classifier as LC
 from netsilt.operators import maintenance as M
 from netsilt.operators import patterns as P
 from netsilt.operators import report as R
@@ -513,3 +516,79 @@ def merged_sources(spark, sf_dir):
         parse_syslog(rows, "raw_message", F.lit("file")), readers.json_logs(records), readers.api_logs(records),
         payload_sources.normalise(_solarwinds(spark, sf_dir), "solarwinds"))
     return merged.groupBy("platform", "severity").agg(F.count("*").alias("count"))
+
+
+# ---------------------------------------------------------------- models
+
+
+def _rule_labels(logs):
+    """Training labels derived from the logs themselves: the rules' categories."""
+    return C.rule_classify(logs).select("log_id", F.col("category").alias("label"))
+
+
+def _trained(spark, sf_dir, folds=5):
+    logs = derived.logs(spark, sf_dir)
+    return LC.train_classifier(logs, _rule_labels(logs), folds=folds)
+
+
+@query
+def classifier_train(spark, sf_dir):
+    """Accuracy, cross-validation and per-class report of a training run."""
+    trained = _trained(spark, sf_dir)
+    m = trained.metrics
+    rows = [(k, "", float(m[k])) for k in ("accuracy", "cv_mean", "cv_std", "n_samples")]
+    per_class = trained.report.select(F.inline(F.array(*[
+        F.struct(F.lit(s).alias("metric"), F.col("class").alias("label"), F.col(s).cast("double").alias("value"))
+        for s in ("precision", "recall", "f1", "support")])))
+    return spark.createDataFrame(rows, "metric string, label string, value double").unionByName(per_class)
+
+
+@query
+def classifier_predict(spark, sf_dir):
+    logs = derived.logs(spark, sf_dir)
+    predictions = LC.predict(logs, _trained(spark, sf_dir, folds=2).model)
+    return C.classify(logs, predictions).select(
+        "log_id", "category", "subcategory", "classification_confidence", "classification_method")
+
+
+@query
+def feature_importance(spark, sf_dir):
+    return LC.feature_importance(spark, _trained(spark, sf_dir, folds=2).model)
+
+
+@query
+def iforest_scores(spark, sf_dir):
+    logs = derived.logs(spark, sf_dir)
+    return IF.score(logs, IF.fit(logs))
+
+
+@query
+def anomaly_scores_trained(spark, sf_dir):
+    """Anomaly rows with a trained forest's part and the default threshold."""
+    classified = classified_logs_of(spark, sf_dir)
+    scores = IF.score(classified, IF.fit(classified))
+    return A.anomaly_scores(classified, scores, burst_window=BURST_WINDOW).select(
+        "log_id", "source", "anomaly_score", "is_anomaly", "anomaly_type",
+        joined(F.col("contributing_factors")).alias("contributing_factors"))
+
+
+def _failure_labels(features):
+    """Failure labels derived from the devices: errors that rise, or high load at the end."""
+    failing = (F.abs("err_trend") > 0.05) | (F.col("cpu_last") + F.col("mem_last") > 1.2)
+    return features.select("device", failing.cast("int").alias("label"))
+
+
+@query
+def failure_model(spark, sf_dir):
+    features = M.device_features(derived.logs(spark, sf_dir))
+    return FM.train_failure_model(features, _failure_labels(features)).report
+
+
+@query
+def failure_alerts(spark, sf_dir):
+    """Maintenance alerts from the trained model's probabilities."""
+    features = M.device_features(derived.logs(spark, sf_dir))
+    trained = FM.train_failure_model(features, _failure_labels(features), max_iter=20)
+    alerts = M.maintenance_alerts(
+        features, as_of(), ALERT_THRESHOLD, FM.failure_probabilities(features, trained.model))
+    return alerts.select("alert_id", "device", "failure_probability", "predicted_failure_type", "risk_level")
