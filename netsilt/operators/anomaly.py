@@ -23,9 +23,14 @@ def rolling_zscore(logs: DataFrame, window_size: int = rules.BASELINE_WINDOW,
                    max_key_rows: int | None = None, **slicing) -> DataFrame:
     """Deviation of each sample from the last ``window_size`` samples of its
     device and metric, itself included."""
+    return sample_zscores(metric_samples(logs), window_size, max_key_rows, **slicing)
+
+
+def sample_zscores(samples: DataFrame, window_size: int = rules.BASELINE_WINDOW,
+                   max_key_rows: int | None = None, **slicing) -> DataFrame:
     value = F.col("value")
     rolled = over_previous_rows(
-        metric_samples(logs), ["source", "metric"], ["timestamp", "log_id"], window_size,
+        samples, ["source", "metric"], ["timestamp", "log_id"], window_size,
         {"samples": F.count(value), "mean": F.avg(value), "std": F.stddev_pop(value)},
         max_key_rows, **slicing)
     flat = (F.col("samples") < rules.BASELINE_MIN_SAMPLES) | (F.col("std") < rules.BASELINE_MIN_STD)

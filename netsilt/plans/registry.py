@@ -27,6 +27,7 @@ from netsilt.plans import derived
 from netsilt.sources import payloads as payload_sources
 from netsilt.sources import readers
 from netsilt.sources.syslog import parse_syslog
+from netsilt.streaming import carried, ingest, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -592,3 +593,105 @@ def failure_alerts(spark, sf_dir):
     alerts = M.maintenance_alerts(
         features, as_of(), ALERT_THRESHOLD, FM.failure_probabilities(features, trained.model))
     return alerts.select("alert_id", "device", "failure_probability", "predicted_failure_type", "risk_level")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _log_stream(spark, sf_dir):
+    """The derived logs as a file stream over the events table."""
+    schema = derived.events(spark, sf_dir).schema
+    return derived.logs_from_events(ingest.table_stream(spark, sf_dir, schema, "events.parquet"))
+
+
+def _finished(running):
+    running.awaitTermination()
+    failure = running.exception()
+    if failure is not None:
+        raise failure
+
+
+@query
+def stream_classify(spark, sf_dir):
+    folder = ingest.run_folder(spark)
+    stream = windows.classified_stream(_log_stream(spark, sf_dir))
+    _finished(ingest.append_to(stream, f"{folder}/silver", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/silver").select(
+        "log_id", "category", "subcategory", "severity", "security_threat", "threat_type", "threat_score",
+        "recommended_action")
+
+
+@query
+def stream_dispatch(spark, sf_dir):
+    """Bronze landing plus two subscribers: counts per severity and per platform."""
+    folder = ingest.run_folder(spark)
+
+    def counter(column):
+        def handler(batch, batch_id):
+            counts = batch.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("count"))
+            ingest.write_batch(counts, f"{folder}/{column}", batch_id)
+        return handler
+
+    dims = ["severity", "platform"]
+    _finished(ingest.dispatch(_log_stream(spark, sf_dir), f"{folder}/bronze", [counter(d) for d in dims],
+                              f"{folder}/checkpoint"))
+    parts = [spark.read.parquet(f"{folder}/{d}").groupBy("key").agg(F.sum("count").alias("count"))
+             .select(F.lit(d).alias("subscriber"), "key", "count") for d in dims]
+    landed = spark.read.parquet(f"{folder}/bronze").agg(F.count("*").alias("count")).select(
+        F.lit("bronze").alias("subscriber"), F.lit("").alias("key"), "count")
+    return reduce(DataFrame.unionByName, parts, landed)
+
+
+def _rates(spark, sf_dir, window, slide, keys):
+    folder = ingest.run_folder(spark)
+    # the watermark delay exceeds the data span: file order is not time order
+    rates = windows.window_rates(windows.classified_stream(_log_stream(spark, sf_dir)), keys, window, slide,
+                                 delay=timedelta(days=60))
+    _finished(ingest.start_available(
+        rates, lambda df, n: ingest.write_batch(df, f"{folder}/rates", n), f"{folder}/checkpoint", "update"))
+    updates = spark.read.parquet(f"{folder}/rates")
+    return windows.latest_updates(updates, ["window_start", *keys]).select(
+        plain_time("window_start"), plain_time("window_end"), *keys, "count",
+        F.round("rate_per_minute", 9).alias("rate_per_minute"))
+
+
+@query
+def stream_rates_tumbling(spark, sf_dir):
+    return _rates(spark, sf_dir, timedelta(hours=1), None, ["category"])
+
+
+@query
+def stream_rates_sliding(spark, sf_dir):
+    return _rates(spark, sf_dir, timedelta(hours=12), timedelta(hours=6), ["source"])
+
+
+@query
+def stream_burst(spark, sf_dir):
+    folder = ingest.run_folder(spark)
+    _finished(carried.burst_stream(_log_stream(spark, sf_dir), folder, BURST_WINDOW))
+    return spark.read.parquet(f"{folder}/scores").drop("batch")
+
+
+@query
+def stream_baseline(spark, sf_dir):
+    folder = ingest.run_folder(spark)
+    _finished(carried.baseline_stream(_log_stream(spark, sf_dir), folder))
+    return spark.read.parquet(f"{folder}/scores").select(
+        "log_id", "source", "metric", "value", "samples",
+        F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), F.round("z_score", 9).alias("z_score"))
+
+
+@query
+def stream_cascade(spark, sf_dir):
+    folder = ingest.run_folder(spark)
+    edges = windows.cascade_stream(windows.classified_stream(_log_stream(spark, sf_dir)), delay=timedelta(days=60))
+    _finished(ingest.append_to(edges, f"{folder}/edges", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/edges")
+
+
+@query
+def stream_device_health(spark, sf_dir):
+    folder = ingest.run_folder(spark)
+    _finished(carried.device_health_stream(_log_stream(spark, sf_dir), folder, as_of(), ALERT_THRESHOLD))
+    return windows.latest_updates(spark.read.parquet(f"{folder}/scores"), ["device"]).select(
+        "alert_id", "device", "failure_probability", "predicted_failure_type", "risk_level", "maintenance_window")

@@ -1,5 +1,5 @@
 """DuckDB SQL per query, used only to check results."""
 
-from oracles import analysis, classification, reporting
+from oracles import analysis, classification, reporting, streams
 
-ORACLES = {**classification.SQL, **analysis.SQL, **reporting.SQL}
+ORACLES = {**classification.SQL, **analysis.SQL, **reporting.SQL, **streams.SQL}
