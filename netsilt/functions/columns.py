@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,19 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sql_literal(value) -> str:
+    """A Python constant as SQL text. Long constant lists and maps are parsed from
+    one text: building them value by value costs a call to the JVM each."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(sql_literal(v) for v in value) + ")"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
 def literal_map(mapping: Mapping) -> Column:
     """A constant map column; Catalyst folds it into one literal."""
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.expr("map(" + ", ".join(sql_literal(x) for pair in mapping.items() for x in pair) + ")")
 
 
 def lookup(mapping: Mapping, key: str | Column, default=None) -> Column:
@@ -23,12 +33,24 @@ def lookup(mapping: Mapping, key: str | Column, default=None) -> Column:
 
 
 def list_lookup(mapping: Mapping[str, Sequence[str]], key: str | Column, default: Sequence[str]) -> Column:
-    pairs = [x for k, v in mapping.items() for x in (F.lit(k), string_array(v))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), col(key)), string_array(default))
+    return F.coalesce(F.try_element_at(literal_map(mapping), col(key)), string_array(default))
 
 
 def string_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(sql_literal(list(values))) if values else F.array().cast("array<string>")
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns as generator output.
+
+    The optimizer moves a filter on a projected column below the projection by
+    repeating the column's expression, so a filter on a pattern match would run
+    every pattern twice, and more often with each further step. It does not reach
+    through a generator: filters on these columns stay above it, filters on the
+    other columns still go down to the scan.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
 
 
 def numbered(values: Sequence[str], number: str | Column, default: str) -> Column:

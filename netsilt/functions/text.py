@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from netsilt import rules
-from netsilt.functions.columns import col, string_array
+from netsilt.functions.columns import col, sql_literal
 
 
 def rx(pattern: str, ignore_case: bool = False) -> str:
@@ -47,11 +47,11 @@ def keyword_hits(lower_text: str, words: Sequence[str]) -> Column:
     One small loop over a constant list: a hundred inlined ``contains`` calls make
     the generated method too large to be compiled.
     """
-    return F.size(F.filter(string_array(words), lambda w: F.contains(F.col(lower_text), w)))
+    return F.expr(f"size(filter({sql_literal(list(words))}, w -> contains({lower_text}, w)))")
 
 
 def any_keyword(lower_text: str, words: Sequence[str]) -> Column:
-    return F.exists(string_array(words), lambda w: F.contains(F.col(lower_text), w))
+    return F.expr(f"exists({sql_literal(list(words))}, w -> contains({lower_text}, w))")
 
 
 def message_template(text: str | Column) -> Column:

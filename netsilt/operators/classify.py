@@ -1,8 +1,7 @@
 """Log classification: rules, features, threats, actions.
 
-All of it is one narrow projection over the log table (no shuffle). Costly
-intermediate values (search text, rule number, threat number) are columns of
-their own so that Catalyst evaluates each once per row.
+All of it is a narrow pass over the log table (no shuffle). The numbers of the
+matched rule and threat are computed once per row, whatever is filtered later.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netsilt import rules
 from netsilt.functions import text as X
-from netsilt.functions.columns import clip, lookup, metric, numbered
+from netsilt.functions.columns import clip, computed_once, lookup, metric, numbered
 from netsilt.schema import CLASSIFIED_COLUMNS
 
 FEATURES = (
@@ -61,7 +60,7 @@ def with_rule(logs: DataFrame) -> DataFrame:
     """Adds rule_category, rule_subcategory, rule_confidence, rule_action from the
     first rule that matches the text (needs ``_text``)."""
     table = rules.CLASSIFICATION_RULES
-    matched = logs.withColumn("_rule", X.first_match("_text", [r[0] for r in table]))
+    matched = computed_once(logs, _rule=X.first_match("_text", [r[0] for r in table]))
 
     def pick(position: int, default: str) -> Column:
         return numbered([r[position] for r in table], "_rule", default)
@@ -94,10 +93,9 @@ def with_threat(logs: DataFrame, category: str = "category") -> DataFrame:
     The score depends on severity and CPU load only, so the best threat is the
     first pattern that matches.
     """
-    matched = logs.withColumn(
-        "_threat",
-        F.when(F.col(category) == "SECURITY", X.first_match("_lower", [p for _, p in rules.THREAT_PATTERNS])),
-    )
+    patterns = [p for _, p in rules.THREAT_PATTERNS]
+    matched = computed_once(
+        logs, _threat=F.when(F.col(category) == "SECURITY", X.first_match("_lower", patterns)))
     base = lookup(rules.THREAT_SCORE, F.upper("severity"), rules.DEFAULT_THREAT_SCORE)
     hot = F.coalesce(metric("cpu_usage"), F.lit(0.0)) > rules.THREAT_CPU_LIMIT
     score = F.when(hot, clip(base + rules.THREAT_CPU_BONUS)).otherwise(base)

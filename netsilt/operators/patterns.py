@@ -22,7 +22,7 @@ def _cells(classified: DataFrame) -> DataFrame:
     """
     return with_template(classified).groupBy("template", "source", "category", "severity").agg(
         F.count("*").alias("n"),
-        F.min(F.struct("timestamp", "log_id")).alias("first"),
+        F.min("timestamp").alias("first"),
         F.max("timestamp").alias("last"),
     )
 
@@ -38,12 +38,12 @@ def recurring_patterns(classified: DataFrame, min_frequency: int = rules.MIN_PAT
     rank = lookup(order, "severity", 0)
     weight = lookup(rules.IMPACT_WEIGHT, F.upper("severity"), rules.DEFAULT_IMPACT_WEIGHT)
     # worst severity: highest rank, first seen among equals
-    earliest = -F.unix_micros("first.timestamp")
+    earliest = -F.unix_micros("first")
     whole = cells.groupBy("template").agg(
         F.sum("n").alias("frequency"),
         F.count_distinct("source").alias("source_count"),
         F.sort_array(F.collect_set("category")).alias("categories"),
-        F.min("first.timestamp").alias("first_seen"),
+        F.min("first").alias("first_seen"),
         F.max("last").alias("last_seen"),
         F.max_by("severity", F.struct(rank, earliest)).alias("severity"),
         (F.sum(weight * F.col("n")) / F.sum("n")).alias("_impact"),
@@ -52,7 +52,7 @@ def recurring_patterns(classified: DataFrame, min_frequency: int = rules.MIN_PAT
     top = (
         cells.groupBy("template", "category").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
         .groupBy("template")
-        .agg(F.max_by("category", F.struct("n", -F.unix_micros("first.timestamp"))).alias("top_category"))
+        .agg(F.max_by("category", F.struct("n", -F.unix_micros("first"))).alias("top_category"))
     )
     return whole.join(top, "template").select(
         surrogate_id("PAT", "template").alias("pattern_id"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netsilt import rules
 from netsilt.functions import text as X
-from netsilt.functions.columns import bucket, list_lookup, string_array, surrogate_id
+from netsilt.functions.columns import bucket, computed_once, list_lookup, string_array, surrogate_id
 
 
 def incident_severity(score: str | Column) -> Column:
@@ -31,7 +31,7 @@ def incident_actions(threat_type: Column, severity: Column, source_ips: Column)
 def threat_logs(classified: DataFrame) -> DataFrame:
     """Logs that carry a threat of at least the minimum score, with their IOCs."""
     threats = classified.filter(F.col("security_threat") & (F.col("threat_score") >= rules.MIN_INCIDENT_SCORE))
-    return threats.withColumn("_iocs", X.iocs(X.search_text()))
+    return computed_once(threats, _iocs=X.iocs(X.search_text()))
 
 
 def _assessment(c: dict[str, Column]) -> dict[str, Column]:

@@ -26,16 +26,27 @@ class Settings:
     horizon_hours: int = rules.HORIZON_HOURS
 
 
+# what the analyses and the report read of a classified log
+ANALYSIS_COLUMNS = [
+    "log_id", "timestamp", "source", "source_ip", "description", "raw_message", "metrics", "category", "severity",
+    "security_threat", "threat_type", "threat_score", "is_anomaly", "anomaly_score",
+]
+
+
 @dataclass
 class Analysis:
-    """Lazy result tables; ``counts`` and the report are the only small outputs."""
+    """Lazy result tables; ``counts`` and the report are the only small outputs.
+
+    ``classified`` has all columns; ``base`` is what the analyses read.
+    """
 
     classified: DataFrame
+    base: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def counts(self) -> dict[str, int]:
         """Log count and the count of each result that was run."""
-        small = {"log_count": self.classified}
+        small = {"log_count": self.base}
         if "anomalies" in self.tables:
             small["anomalies"] = self.tables["anomalies"].filter("is_anomaly")
         for name in ("threats", "patterns", "maintenance_alerts"):
@@ -49,7 +60,7 @@ class Analysis:
     def report(self, as_of: Column) -> DataFrame:
         t = self.tables
         return report.health_report(
-            self.classified, t["anomalies"], t["threats"], t["patterns"], t["maintenance_alerts"], as_of)
+            self.base, t["anomalies"], t["threats"], t["patterns"], t["maintenance_alerts"], as_of)
 
 
 def analyse(raw: DataFrame, as_of: Column, settings: Settings | None = None, *, run_anomaly: bool = True,
@@ -58,36 +69,40 @@ def analyse(raw: DataFrame, as_of: Column, settings: Settings | None = None, *,
             probabilities: DataFrame | None = None, reuse: bool = True) -> Analysis:
     """Classify raw logs and run any subset of the analyses on them.
 
-    ``reuse`` keeps the classified logs (memory, spilling to disk) since every
-    analysis reads them; call ``classified.unpersist()`` when done. For input far
-    beyond the cluster's storage write them with ``append_logs`` and analyse that
-    table through ``analyse_classified``.
+    ``reuse`` keeps the columns all analyses read (in memory, beyond that on the
+    executors' disks), so that patterns are matched once per log and not once per
+    analysis; call ``base.unpersist()`` when done. For input far beyond the
+    cluster's storage write the classified logs with ``append_logs`` and analyse
+    that table through ``analyse_classified``.
     """
     classified = classify.classify(raw, predictions)
+    base = classified.select(*ANALYSIS_COLUMNS)
     if reuse:
-        classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
     return analyse_classified(
         classified, as_of, settings, run_anomaly=run_anomaly, run_security=run_security, run_patterns=run_patterns,
-        run_prediction=run_prediction, ml_scores=ml_scores, probabilities=probabilities)
+        run_prediction=run_prediction, ml_scores=ml_scores, probabilities=probabilities, base=base)
 
 
 def analyse_classified(classified: DataFrame, as_of: Column, settings: Settings | None = None, *,
                        run_anomaly: bool = True, run_security: bool = True, run_patterns: bool = True,
                        run_prediction: bool = True, ml_scores: DataFrame | None = None,
-                       probabilities: DataFrame | None = None) -> Analysis:
+                       probabilities: DataFrame | None = None, base: DataFrame | None = None) -> Analysis:
+    """The analyses over classified logs, for example a stored table of them."""
     s = settings or Settings()
-    out = Analysis(classified)
+    base = classified.select(*ANALYSIS_COLUMNS) if base is None else base
+    out = Analysis(classified, base)
     if run_anomaly:
         out.tables["anomalies"] = anomaly.anomaly_scores(
-            classified, ml_scores, s.anomaly_threshold, s.burst_window, s.baseline_window)
+            base, ml_scores, s.anomaly_threshold, s.burst_window, s.baseline_window)
     if run_security:
-        out.tables["threats"] = security.security_incidents(classified)
+        out.tables["threats"] = security.security_incidents(base)
     if run_patterns:
-        out.tables["patterns"] = patterns.recurring_patterns(classified, s.min_pattern_frequency)
-        out.tables["correlations"] = cascade.cascade_correlations(classified, s.cascade_window)
+        out.tables["patterns"] = patterns.recurring_patterns(base, s.min_pattern_frequency)
+        out.tables["correlations"] = cascade.cascade_correlations(base, s.cascade_window)
     if run_prediction:
         out.tables["maintenance_alerts"] = maintenance.maintenance_alerts(
-            maintenance.device_features(classified), as_of, s.alert_threshold, probabilities, s.horizon_hours)
+            maintenance.device_features(base), as_of, s.alert_threshold, probabilities, s.horizon_hours)
     return out
 
 

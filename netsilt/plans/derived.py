@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsilt.functions.columns import sql_literal
 from netsilt.sources.readers import spread_small
 
 # (description, raw_message) by event_id % 15; {A} = user_id % 10, {B} = event_id % 250
@@ -43,19 +44,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _fill(template: str):
-    """'text {A} text' as concat('text ', A, ' text')."""
+def _fill(template: str) -> str:
+    """'text {A} text' as SQL: concat('text ', _a, ' text')."""
     parts, rest = [], template
     while rest:
         at = rest.find("{")
         if at < 0:
-            parts.append(F.lit(rest))
+            parts.append(sql_literal(rest))
             break
-        if at > 0:
-            parts.append(F.lit(rest[:at]))
-        parts.append(F.col("_" + rest[at + 1].lower()))
+        parts += [sql_literal(rest[:at])] if at else []
+        parts.append("_" + rest[at + 1].lower())
         rest = rest[at + 3:]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return f"concat({', '.join(parts)})"
 
 
 def _padded(number: str, width: int):
@@ -65,11 +65,8 @@ def _padded(number: str, width: int):
 
 
 def _by_template(position: int):
-    number = F.col("event_id") % 15
-    out = F.when(number == 0, _fill(TEMPLATES[0][position]))
-    for i, pair in enumerate(TEMPLATES[1:], start=1):
-        out = out.when(number == i, _fill(pair[position]))
-    return out
+    arms = " ".join(f"WHEN {i} THEN {_fill(pair[position])}" for i, pair in enumerate(TEMPLATES))
+    return F.expr(f"CASE event_id % 15 {arms} END")
 
 
 def logs_from_events(ev: DataFrame) -> DataFrame:

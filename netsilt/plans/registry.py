@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,34 @@ def classified_logs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classify(derived.logs(spark, sf_dir))
 
 
+_KEPT: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Keep a frame that several branches of one query read (memory, then local
+    disk; a lost part is recomputed). The frame of the query before is released."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[-1]
+
+
+def analysis_logs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The given columns of the classified logs, for queries with several branches."""
+    return kept(classified_logs_of(spark, sf_dir).select(*(columns or plan.ANALYSIS_COLUMNS)))
+
+
+THREAT_COLUMNS = ["log_id", "timestamp", "source", "source_ip", "description", "raw_message", "security_threat",
+                  "threat_type", "threat_score"]
+PATTERN_COLUMNS = ["timestamp", "source", "category", "severity", "description"]
+CASCADE_COLUMNS = ["log_id", "timestamp", "source", "category"]
+
+
+def threat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threat logs only: the incident operators read them more than once."""
+    return kept(classified_logs_of(spark, sf_dir).filter("security_threat").select(*THREAT_COLUMNS))
+
+
 # ---------------------------------------------------------------- classification
 
 
@@ -119,7 +148,7 @@ def template_tokens(spark, sf_dir):
 
 @query
 def recurring_patterns(spark, sf_dir):
-    found = P.recurring_patterns(classified_logs_of(spark, sf_dir))
+    found = P.recurring_patterns(analysis_logs(spark, sf_dir, *PATTERN_COLUMNS))
     return P.patterns_by_frequency(found).select(
         "pattern_id", "description", "frequency", "source_count", joined(F.col("categories")).alias("categories"),
         plain_time("first_seen"), plain_time("last_seen"), "severity", "is_recurring", "impact_score",
@@ -128,7 +157,7 @@ def recurring_patterns(spark, sf_dir):
 
 @query
 def pattern_sources(spark, sf_dir):
-    return P.pattern_sources(classified_logs_of(spark, sf_dir))
+    return P.pattern_sources(analysis_logs(spark, sf_dir, *PATTERN_COLUMNS))
 
 
 def _ioc_columns(found):
@@ -171,22 +200,22 @@ def threat_assessments(spark, sf_dir):
 
 @query
 def security_incidents(spark, sf_dir):
-    return _incident_text(S.threats_by_score(S.security_incidents(classified_logs_of(spark, sf_dir))))
+    return _incident_text(S.threats_by_score(S.security_incidents(threat_candidates(spark, sf_dir))))
 
 
 @query
 def incident_logs(spark, sf_dir):
-    return S.incident_logs(classified_logs_of(spark, sf_dir))
+    return S.incident_logs(threat_candidates(spark, sf_dir))
 
 
 @query
 def threat_summary(spark, sf_dir):
-    return S.threat_summary(S.security_incidents(classified_logs_of(spark, sf_dir)))
+    return S.threat_summary(S.security_incidents(threat_candidates(spark, sf_dir)))
 
 
 @query
 def top_source_ips(spark, sf_dir):
-    return S.top_source_ips(S.security_incidents(classified_logs_of(spark, sf_dir)))
+    return S.top_source_ips(S.security_incidents(threat_candidates(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- anomalies
@@ -233,27 +262,30 @@ def rate_by_category(spark, sf_dir):
         "rate_per_minute", F.round("rate_per_minute", 9))
 
 
+ANOMALY_COLUMNS = ["log_id", "timestamp", "source", "category", "severity", "metrics"]
+
+
 def anomalies_of(classified):
     return A.anomaly_scores(classified, threshold=ANOMALY_THRESHOLD, burst_window=BURST_WINDOW)
 
 
 @query
 def anomaly_scores(spark, sf_dir):
-    return anomalies_of(classified_logs_of(spark, sf_dir)).select(
+    return anomalies_of(analysis_logs(spark, sf_dir, *ANOMALY_COLUMNS)).select(
         "log_id", plain_time("timestamp"), "source", "anomaly_score", "is_anomaly", "anomaly_type",
         joined(F.col("contributing_factors")).alias("contributing_factors"), "baseline_deviation", "severity_upgrade")
 
 
 @query
 def enriched_logs(spark, sf_dir):
-    classified = classified_logs_of(spark, sf_dir)
+    classified = analysis_logs(spark, sf_dir, *ANOMALY_COLUMNS, "security_threat", "is_anomaly", "anomaly_score")
     return A.enrich_logs(classified, anomalies_of(classified)).select(
         "log_id", "source", "category", "severity", "is_anomaly", "anomaly_score", "security_threat")
 
 
 @query
 def top_anomalous_devices(spark, sf_dir):
-    return A.top_anomalous_devices(anomalies_of(classified_logs_of(spark, sf_dir)))
+    return A.top_anomalous_devices(anomalies_of(analysis_logs(spark, sf_dir, *ANOMALY_COLUMNS)))
 
 
 # ---------------------------------------------------------------- cascades
@@ -261,17 +293,17 @@ def top_anomalous_devices(spark, sf_dir):
 
 @query
 def cascade_correlations(spark, sf_dir):
-    return K.cascade_correlations(classified_logs_of(spark, sf_dir))
+    return K.cascade_correlations(analysis_logs(spark, sf_dir, *CASCADE_COLUMNS))
 
 
 @query
 def cascade_edges(spark, sf_dir):
-    return K.cascade_edges(classified_logs_of(spark, sf_dir))
+    return K.cascade_edges(analysis_logs(spark, sf_dir, *CASCADE_COLUMNS))
 
 
 @query
 def cascade_sources(spark, sf_dir):
-    return K.affected_sources(K.cascade_edges(classified_logs_of(spark, sf_dir)))
+    return K.affected_sources(K.cascade_edges(analysis_logs(spark, sf_dir, *CASCADE_COLUMNS)))
 
 
 # ---------------------------------------------------------------- maintenance
@@ -336,14 +368,15 @@ def log_by_id(spark, sf_dir):
 
 @query
 def anomaly_view(spark, sf_dir):
-    found = Q.anomaly_view(anomalies_of(classified_logs_of(spark, sf_dir)))["rows"]
+    found = Q.anomaly_view(anomalies_of(analysis_logs(spark, sf_dir, *ANOMALY_COLUMNS)))["rows"]
     return found.select("log_id", "source", "anomaly_score", "anomaly_type", "severity_upgrade")
 
 
 def analysis_of(spark, sf_dir) -> plan.Analysis:
     settings = plan.Settings(
         anomaly_threshold=ANOMALY_THRESHOLD, burst_window=BURST_WINDOW, alert_threshold=ALERT_THRESHOLD)
-    return plan.analyse(derived.logs(spark, sf_dir), as_of(), settings, reuse=False)
+    base = analysis_logs(spark, sf_dir)
+    return plan.analyse_classified(base, as_of(), settings, base=base)
 
 
 @query
@@ -373,7 +406,7 @@ def critical_alerts(spark, sf_dir):
 def recommendations(spark, sf_dir):
     a = analysis_of(spark, sf_dir)
     t = a.tables
-    facts = R.health_facts(a.classified, t["anomalies"], t["threats"], t["patterns"], t["maintenance_alerts"])
+    facts = R.health_facts(a.base, t["anomalies"], t["threats"], t["patterns"], t["maintenance_alerts"])
     return facts.select(
         F.round("overall_health_score", 1).alias("overall_health_score"), "health_status",
         F.posexplode("recommendations").alias("position", "recommendation"))
@@ -566,7 +599,7 @@ def iforest_scores(spark, sf_dir):
 @query
 def anomaly_scores_trained(spark, sf_dir):
     """Anomaly rows with a trained forest's part and the default threshold."""
-    classified = classified_logs_of(spark, sf_dir)
+    classified = analysis_logs(spark, sf_dir, *ANOMALY_COLUMNS, "source_ip")
     scores = IF.score(classified, IF.fit(classified))
     return A.anomaly_scores(classified, scores, burst_window=BURST_WINDOW).select(
         "log_id", "source", "anomaly_score", "is_anomaly", "anomaly_type",
