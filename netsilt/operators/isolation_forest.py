@@ -39,11 +39,14 @@ def standardise(rows: DataFrame, columns: list[str], moments: dict[str, tuple[fl
 
 
 def column_moments(rows: DataFrame, columns: list[str]) -> tuple[int, dict[str, tuple[float, float]]]:
-    """Row count, and mean and population deviation per column (one small row)."""
+    """Row count, and mean and population deviation per column (one small row).
+
+    Rounded, so that the order of summation does not show in a fitted model.
+    """
     row = rows.agg(
         F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns],
         *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    return row["n"], {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 0.0) for c in columns}
+    return row["n"], {c: (round(row[f"m_{c}"] or 0.0, 12), round(row[f"s_{c}"] or 0.0, 12)) for c in columns}
 
 
 def mean_path(n: float) -> float:

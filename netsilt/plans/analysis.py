@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from netsilt import rules
 from netsilt.operators import anomaly, cascade, classify, maintenance, patterns, report, security
+from netsilt.sources.readers import with_ids
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,7 @@ def analyse(raw: DataFrame, as_of: Column, settings: Settings | None = None, *,
     cluster's storage write the classified logs with ``append_logs`` and analyse
     that table through ``analyse_classified``.
     """
-    classified = classify.classify(raw, predictions)
+    classified = classify.classify(with_ids(raw), predictions)
     base = classified.select(*ANALYSIS_COLUMNS)
     if reuse:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)

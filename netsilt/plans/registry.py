@@ -632,9 +632,11 @@ def failure_alerts(spark, sf_dir):
 
 
 def _log_stream(spark, sf_dir):
-    """The derived logs as a file stream over the events table."""
+    """The derived logs as a file stream over the events table (one file, hence
+    one split, so rows are spread before the patterns run)."""
     schema = derived.events(spark, sf_dir).schema
-    return derived.logs_from_events(ingest.table_stream(spark, sf_dir, schema, "events.parquet"))
+    landed = ingest.table_stream(spark, sf_dir, schema, "events.parquet")
+    return derived.logs_from_events(landed.repartition(spark.sparkContext.defaultParallelism))
 
 
 def _finished(running):

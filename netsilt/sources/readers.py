@@ -73,6 +73,14 @@ def with_defaults(records: DataFrame, collected_at: datetime | Column | None = N
     return records.select(*out)
 
 
+def with_ids(logs: DataFrame) -> DataFrame:
+    """Fill empty ids with a digest of the record: scores are joined to logs by id."""
+    identity = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
+                ("timestamp", "source", "severity", "description", "raw_message")]
+    return logs.withColumn(
+        "log_id", F.coalesce(F.nullif(F.col("log_id"), F.lit("")), surrogate_id("LOG", *identity)))
+
+
 def json_logs(records: DataFrame, collected_at: datetime | Column | None = None) -> DataFrame:
     """JSON log records (``record_text`` plus the fields of ``JSON_RECORD``) to raw logs.
 
