@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from netsilt.operators.log_classifier import aligned, evaluation_report, share
 from netsilt.operators.maintenance import FEATURE_NAMES
 
+ROWS_PER_TASK = 50_000
 CLASSES = {0: "normal", 1: "pre-failure"}
 
 
@@ -32,7 +33,10 @@ def train_failure_model(features: DataFrame, labels: DataFrame, max_iter: int =
     """
     rows = aligned(features, labels, "device")
     try:
-        ready = rows.withColumn("part", share("device", seed)).persist(StorageLevel.MEMORY_AND_DISK)
+        # boosting runs hundreds of short jobs one after another: no more tasks than the
+        # device count asks for
+        tasks = rows.count() // ROWS_PER_TASK + 1
+        ready = rows.withColumn("part", share("device", seed)).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
         steps = Pipeline(stages=[
             VectorAssembler(inputCols=FEATURE_NAMES, outputCol="raw_features"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),

@@ -2,8 +2,9 @@
 
 A window partitioned by a device or category puts the whole key into one task.
 The functions here first look at the largest key (a map-side combined count over
-the key columns only). Small keys: one plain window, one shuffle. Otherwise rows
-are range-partitioned by their full, unique sort order, so no key, time stamp or
+the key columns only). Where no key exceeds ``max_key_rows``: one plain window,
+one shuffle. Otherwise the rows of the larger keys, and only those, are
+range-partitioned by their full, unique sort order, so no key, time stamp or
 category can overload a task, given dense positions, and cut into slices of equal
 size; what crosses a slice border (a base total, or the preceding rows) is added
 exactly. Both ways give the same rows.
@@ -12,6 +13,7 @@ exactly. Both ways give the same rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,20 @@ def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys with at most ``limit`` rows, and the rows of the larger keys
+    (None where there are none). A limit of 0 treats every key as large."""
+    if not limit:
+        return df.limit(0), df
+    if largest_key(df, keys) <= limit:
+        return df, None
+    large = df.groupBy(*keys).count().filter(F.col("count") > limit)
+    # at most rows / limit keys; written once so that both joins see the same list
+    large = pin(large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+
+
 def with_slices(df: DataFrame, order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds ``_pos`` (dense global position in ``order``) and ``_slice``.
 
@@ -55,12 +71,13 @@ def with_slices(df: DataFrame, order: Sequence[str], slice_rows: int = SLICE_ROW
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
                   max_key_rows: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds ``out``: sum of ``value`` over all rows of the key up to this one."""
-    limit = MAX_KEY_ROWS if max_key_rows is None else max_key_rows
     rows = Window.unboundedPreceding, Window.currentRow
-    if limit and largest_key(df, keys) <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)
-        return df.withColumn(out, F.sum(value).over(w))
-    sliced = with_slices(df, [*keys, *order], slice_rows)
+    small, large = split_by_size(df, keys, MAX_KEY_ROWS if max_key_rows is None else max_key_rows)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)
+    plain = small.withColumn(out, F.sum(value).over(w))
+    if large is None:
+        return plain
+    sliced = with_slices(large, [*keys, *order], slice_rows)
     within = Window.partitionBy("_slice", *keys).orderBy("_pos").rowsBetween(*rows)
     # one row per key and slice it touches
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +89,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return (
         local.join(bases, ["_slice", *keys])
         .withColumn(out, F.col("_local") + F.col("_base"))
-        .drop("_local", "_base", "_slice", "_pos")
+        .select(*plain.columns).unionByName(plain)
     )
 
 
@@ -80,14 +97,15 @@ def over_previous_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                        columns: dict[str, Column], max_key_rows: int | None = None,
                        slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds aggregate ``columns`` over the last ``size`` rows of the key, this one included."""
-    limit = MAX_KEY_ROWS if max_key_rows is None else max_key_rows
     back = -(size - 1)
-    if limit and largest_key(df, keys) <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(back, 0)
-        return df.withColumns({name: c.over(w) for name, c in columns.items()})
     if slice_rows < size:
         raise ValueError("slice_rows must be at least the window size")
-    sliced = with_slices(df, [*keys, *order], slice_rows)
+    small, large = split_by_size(df, keys, MAX_KEY_ROWS if max_key_rows is None else max_key_rows)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(back, 0)
+    plain = small.withColumns({name: c.over(w) for name, c in columns.items()})
+    if large is None:
+        return plain
+    sliced = with_slices(large, [*keys, *order], slice_rows)
     # the last rows of a slice are also the context of the next one
     carried = F.col("_pos") % slice_rows >= slice_rows - (size - 1)
     own = F.struct(F.col("_slice").alias("n"), F.lit(False).alias("context"))
@@ -97,5 +115,5 @@ def over_previous_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return (
         spread.withColumns({name: c.over(w) for name, c in columns.items()})
         .filter(~F.col("_in.context"))
-        .drop("_in", "_slice", "_pos")
+        .select(*plain.columns).unionByName(plain)
     )

@@ -46,12 +46,12 @@ def table(df, key, *cols):
     return {tuple(r[k] for k in key): tuple(r[c] for c in cols) for r in df.collect()}
 
 
-@pytest.mark.parametrize("sliced", [False, True])
-def test_running_total(spark, sliced):
+@pytest.mark.parametrize("limit", [None, 0, 100])  # no large key, all large, one large
+def test_running_total(spark, limit):
     rng = random.Random(1)
     data = [("a" if i % 3 else f"k{i % 7}", rng.randrange(50), i, rng.randrange(10)) for i in range(500)]
     df = spark.createDataFrame(data, "k string, x int, id int, v long").repartition(6)
-    out = running_total(df, ["k"], ["x", "id"], "v", "total", *((0, 40) if sliced else (None,)))
+    out = running_total(df, ["k"], ["x", "id"], "v", "total", limit, 40)
     want, sums = {}, defaultdict(int)
     for k, x, i, v in sorted(data, key=lambda r: (r[0], r[1], r[2])):
         sums[k] += v
@@ -59,12 +59,12 @@ def test_running_total(spark, sliced):
     assert table(out, ["id"], "total") == want
 
 
-@pytest.mark.parametrize("slice_rows", [20, 33, 1000])
-def test_previous_rows(spark, slice_rows):
+@pytest.mark.parametrize("slice_rows,limit", [(20, 0), (33, 100), (1000, 0)])
+def test_previous_rows(spark, slice_rows, limit):
     rng = random.Random(2)
     data = [("a" if i % 3 else f"k{i % 7}", rng.randrange(50), i, float(rng.randrange(10))) for i in range(500)]
     df = spark.createDataFrame(data, "k string, x int, id int, v double").repartition(6)
-    out = over_previous_rows(df, ["k"], ["x", "id"], 20, {"n": F.count("v"), "s": F.sum("v")}, 0, slice_rows)
+    out = over_previous_rows(df, ["k"], ["x", "id"], 20, {"n": F.count("v"), "s": F.sum("v")}, limit, slice_rows)
     want, seen = {}, defaultdict(list)
     for k, x, i, v in sorted(data, key=lambda r: (r[0], r[1], r[2])):
         seen[k].append(v)
@@ -72,7 +72,7 @@ def test_previous_rows(spark, slice_rows):
     assert table(out, ["id"], "n", "s") == want
 
 
-SLICED = {"max_key_rows": 0, "slice_rows": 128}
+SLICED = {"max_key_rows": 100, "slice_rows": 128}
 
 
 @pytest.mark.parametrize("options", [{}, SLICED])
@@ -90,7 +90,7 @@ def test_zscores(logs, rows, options):
             assert n_got == len(last) and z_got == pytest.approx(z, abs=1e-9)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_key_rows": 0, "slice_rows": 50}])
+@pytest.mark.parametrize("options", [{}, {"max_key_rows": 200, "slice_rows": 50}])
 def test_bursts(logs, rows, options):
     window = timedelta(minutes=30)
     got = table(anomaly.burst_ratio(logs, "source", window, **options), ["log_id"], "current_count", "burst_ratio", "is_burst")
