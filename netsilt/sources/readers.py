@@ -13,6 +13,9 @@ from netsilt.schema import JSON_RECORD, RAW_LOG
 from netsilt.sources.syslog import parse_syslog
 
 
+MAX_SPREAD = 32  # tasks made of one file split at most
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread a scan of few file splits over all cores.
 
@@ -21,7 +24,8 @@ def spread_small(df: DataFrame) -> DataFrame:
     per core, as on any large table, are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(min(cores, max(splits, 1) * MAX_SPREAD)) if splits < cores else df
 
 
 def metrics_map(metrics: str | Column) -> Column:
@@ -143,7 +147,12 @@ def read_json_logs(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 def read_syslog_logs(spark: SparkSession, path: str) -> DataFrame:
     """Text file with one syslog message per line; blank lines are dropped."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("message"))
+    return syslog_lines(spark.read.text(path))
+
+
+def syslog_lines(texts: DataFrame) -> DataFrame:
+    """Raw logs of text lines (column ``value``), white space around them removed."""
+    lines = texts.select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("message"))
     return parse_syslog(lines.filter(F.col("message") != ""), "message", F.lit("file"))
 
 

@@ -19,9 +19,12 @@ def table_path(store: str, table: str) -> str:
 
 
 def append_logs(classified: DataFrame, store: str) -> None:
-    """Add classified logs; day partitions let later reads prune by time."""
+    """Add classified logs; day partitions let later reads prune by time.
+
+    Rebalancing by day keeps files large and splits a day that holds too much.
+    """
     dated = classified.withColumn("log_date", F.to_date("timestamp"))
-    dated.write.mode("append").partitionBy("log_date").parquet(table_path(store, "classified_logs"))
+    dated.hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(table_path(store, "classified_logs"))
 
 
 def replace_results(store: str, **results: DataFrame) -> None:

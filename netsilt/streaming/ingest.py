@@ -6,12 +6,10 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from netsilt.session import shared_folder
 from netsilt.sources import readers
-from netsilt.sources.syslog import parse_syslog
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -28,8 +26,7 @@ def json_log_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def syslog_stream(spark: SparkSession, path: str) -> DataFrame:
     """Syslog text files landing in a folder, as raw logs."""
-    lines = spark.readStream.text(path).select(F.trim("value").alias("message")).filter(F.col("message") != "")
-    return parse_syslog(lines, "message", F.lit("file"))
+    return readers.syslog_lines(spark.readStream.text(path))
 
 
 def table_stream(spark: SparkSession, folder: str, schema, file_name: str = "*.parquet") -> DataFrame:
