@@ -76,6 +76,30 @@ def clip(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
+def fixed(value: str | Column, digits: int) -> Column:
+    """A number as text with that many digits after the point, rounded by its exact
+    binary value, ties to even."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", col(value), F.lit(pattern))
+
+
+def rounded(value: str | Column, digits: int) -> Column:
+    """A number rounded by its exact binary value, ties to even.
+
+    Decimal rounding differs from that only close to a tie, so only there the
+    slower exact way is taken.
+    """
+    part = F.pmod(F.abs(col(value)) * F.lit(float(10 ** digits)), F.lit(1.0))
+    near_tie = F.abs(part - F.lit(0.5)) < F.lit(1e-6)
+    return F.when(near_tie, fixed(value, digits).cast("double")).otherwise(F.round(col(value), digits))
+
+
+def mean_of_thousandths(value: Column, count: Column) -> Column:
+    """Mean of values with at most three decimals, free of summation order (an aggregate)."""
+    whole = F.sum(F.round(value * 1000).cast("long") * count)
+    return whole / F.sum(count) / F.lit(1000.0)
+
+
 def surrogate_id(prefix: str, *key: str | Column) -> Column:
     """Stable short id: prefix plus the first 8 hex digits of the md5 of the key."""
     text = F.concat_ws("|", *[col(k).cast("string") for k in key])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsilt import rules
-from netsilt.functions.columns import clip, lookup, micros
+from netsilt.functions.columns import clip, fixed, lookup, mean_of_thousandths, micros, rounded
 from netsilt.operators.ordered import over_previous_rows, running_total
 
 
@@ -55,7 +55,7 @@ def baseline_table(logs: DataFrame, window_size: int = rules.BASELINE_WINDOW) ->
 def log_deviation(logs: DataFrame, **kw) -> DataFrame:
     """Per log: largest z-score over its metrics, and one text per metric above the limit."""
     z = rolling_zscore(logs, **kw)
-    factor = F.format_string("%s z-score=%.1fσ (value=%.1f)", "metric", "z_score", "value")
+    factor = F.concat("metric", F.lit(" z-score="), fixed("z_score", 1), F.lit("σ (value="), fixed("value", 1), F.lit(")"))
     over = F.when(F.col("z_score") > rules.Z_SCORE_LIMIT, F.struct("position", factor.alias("text")))
     return z.groupBy("log_id").agg(
         F.max("z_score").alias("max_z"),
@@ -104,7 +104,7 @@ def burst_columns(current, total):
     return [
         current.alias("current_count"),
         baseline.alias("baseline"),
-        F.round(ratio, 2).alias("burst_ratio"),
+        rounded(ratio, 2).alias("burst_ratio"),
         (known & (ratio >= rules.BURST_RATIO)).alias("is_burst"),
     ]
 
@@ -169,20 +169,21 @@ def combine_scores(parts: DataFrame, threshold: float = rules.ANOMALY_THRESHOLD)
     )
     no_text = F.array().cast("array<string>")
     factors = F.concat(
-        F.when(by_ml, F.array(F.format_string("ML anomaly score=%.2f", "ml_score"))).otherwise(no_text),
+        F.when(by_ml, F.array(F.concat(F.lit("ML anomaly score="), fixed("ml_score", 2)))).otherwise(no_text),
         F.coalesce("metric_factors", no_text),
-        F.when(F.col("is_burst"), F.array(F.format_string("Log burst: %.1fx normal rate", "burst_ratio")))
+        F.when(F.col("is_burst"), F.array(F.concat(
+            F.lit("Log burst: "), fixed("burst_ratio", 1), F.lit("x normal rate"))))
         .otherwise(no_text),
-        F.when(F.col("_boost").isNotNull(), F.array(F.format_string(
-            "Security category severity boost (+%.0f%%)", F.col("_boost") * 100))).otherwise(no_text),
+        F.when(F.col("_boost").isNotNull(), F.array(F.concat(
+            F.lit("Security category severity boost (+"), fixed(F.col("_boost") * 100, 0), F.lit("%)")))).otherwise(no_text),
     )
     return flagged.select(
         "log_id", "timestamp", "source",
-        F.round("_score", 3).alias("anomaly_score"),
+        rounded("_score", 3).alias("anomaly_score"),
         "is_anomaly",
         kind.alias("anomaly_type"),
         factors.alias("contributing_factors"),
-        F.round("max_z", 2).alias("baseline_deviation"),
+        rounded("max_z", 2).alias("baseline_deviation"),
         (F.col("is_anomaly") & F.col("severity").isin("INFO", "WARNING")
          & (F.col("_score") > rules.SEVERITY_UPGRADE_SCORE)).alias("severity_upgrade"),
     )
@@ -201,7 +202,7 @@ def enrich_logs(classified: DataFrame, anomalies: DataFrame) -> DataFrame:
 def top_anomalous_devices(anomalies: DataFrame, n: int = 10) -> DataFrame:
     return (
         anomalies.filter("is_anomaly").groupBy("source")
-        .agg(F.count("*").alias("anomaly_count"), F.round(F.avg("anomaly_score"), 3).alias("avg_score"))
-        .select(F.col("source").alias("device"), "anomaly_count", "avg_score")
+        .agg(F.count("*").alias("anomaly_count"), mean_of_thousandths(F.col("anomaly_score"), F.lit(1)).alias("_mean"))
+        .select(F.col("source").alias("device"), "anomaly_count", rounded("_mean", 3).alias("avg_score"))
         .orderBy(F.desc("avg_score"), "device").limit(n)
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netsilt import rules
 from netsilt.functions import text as X
-from netsilt.functions.columns import clip, computed_once, lookup, metric, numbered
+from netsilt.functions.columns import clip, computed_once, lookup, metric, numbered, rounded
 from netsilt.schema import CLASSIFIED_COLUMNS
 
 FEATURES = (
@@ -104,7 +104,7 @@ def with_threat(logs: DataFrame, category: str = "category") -> DataFrame:
         *logs.columns,
         F.col("_threat").isNotNull().alias("security_threat"),
         numbered(names, "_threat", "").alias("threat_type"),
-        F.when(F.col("_threat").isNotNull(), F.round(score, 3)).otherwise(F.lit(0.0)).alias("threat_score"),
+        F.when(F.col("_threat").isNotNull(), rounded(score, 3)).otherwise(F.lit(0.0)).alias("threat_score"),
     )
 
 
@@ -151,7 +151,7 @@ def classify(logs: DataFrame, predictions: DataFrame | None = None) -> DataFrame
         "subcategory": F.col("rule_subcategory"),
         "impacted_components": X.impacted_components("_text", "_lower"),
         "version": X.software_version("version", "_text"),
-        "classification_confidence": F.round("_confidence", 3),
+        "classification_confidence": rounded("_confidence", 3),
         "classification_method": F.col("_method"),
         "is_anomaly": F.lit(False),
         "anomaly_score": F.lit(0.0),

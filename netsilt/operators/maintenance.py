@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsilt import rules
-from netsilt.functions.columns import bucket, clip, list_lookup, metric, string_array, surrogate_id
+from netsilt.functions.columns import bucket, clip, fixed, list_lookup, metric, rounded, string_array, surrogate_id
 from netsilt.operators.classify import severity_rank
 
 # feature, signal, statistic, divisor; the order is the feature vector's order
@@ -100,14 +100,18 @@ def failure_type() -> Column:
 
 
 def contributing_signals() -> Column:
-    pct = lambda name: F.col(name) * 100
+    pct = lambda name, digits=0: fixed(F.col(name) * 100, digits)
+    load = lambda label, kind: F.concat(
+        F.lit(f"{label} at "), pct(f"{kind}_last"), F.lit("% (mean "), pct(f"{kind}_mean"), F.lit("%)"))
     texts = [
-        F.when(F.col("cpu_last") > 0.75, F.format_string("CPU at %.0f%% (mean %.0f%%)", pct("cpu_last"), pct("cpu_mean"))),
-        F.when(F.col("cpu_trend") > 0.02, F.format_string("CPU increasing at +%.1f%%/sample", pct("cpu_trend"))),
-        F.when(F.col("mem_last") > 0.80, F.format_string(
-            "Memory at %.0f%% (mean %.0f%%)", pct("mem_last"), pct("mem_mean"))),
-        F.when(F.col("err_last") > 0.05, F.format_string("Interface errors at %.0f/sample", pct("err_last"))),
-        F.when(F.col("err_trend") > 0.01, F.format_string("Error count trending up (+%.1f/sample)", pct("err_trend"))),
+        F.when(F.col("cpu_last") > 0.75, load("CPU", "cpu")),
+        F.when(F.col("cpu_trend") > 0.02,
+               F.concat(F.lit("CPU increasing at +"), pct("cpu_trend", 1), F.lit("%/sample"))),
+        F.when(F.col("mem_last") > 0.80, load("Memory", "mem")),
+        F.when(F.col("err_last") > 0.05,
+               F.concat(F.lit("Interface errors at "), pct("err_last"), F.lit("/sample"))),
+        F.when(F.col("err_trend") > 0.01,
+               F.concat(F.lit("Error count trending up (+"), pct("err_trend", 1), F.lit("/sample)"))),
     ]
     found = F.array_compact(F.array(*texts))
     return F.when(F.size(found) == 0, string_array([rules.DEFAULT_SIGNAL])).otherwise(found)
@@ -153,10 +157,10 @@ def maintenance_alerts(features: DataFrame, as_of: datetime | Column, threshold:
     return alerts.select(
         surrogate_id("MAINT", "device", "predicted_failure_type").alias("alert_id"),
         "device",
-        F.round("_p", 3).alias("failure_probability"),
+        rounded("_p", 3).alias("failure_probability"),
         "predicted_failure_type",
         F.lit(horizon_hours).alias("time_horizon_hours"),
-        F.round("_p", 3).alias("confidence"),
+        rounded("_p", 3).alias("confidence"),
         "risk_level",
         contributing_signals().alias("contributing_signals"),
         maintenance_actions(F.col("predicted_failure_type"), F.col("risk_level")).alias("recommended_actions"),

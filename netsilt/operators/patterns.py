@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsilt import rules
-from netsilt.functions.columns import lookup, surrogate_id
+from netsilt.functions.columns import lookup, mean_of_thousandths, rounded, surrogate_id
 from netsilt.functions.text import message_template
 
 
@@ -46,7 +46,7 @@ def recurring_patterns(classified: DataFrame, min_frequency: int = rules.MIN_PAT
         F.min("first").alias("first_seen"),
         F.max("last").alias("last_seen"),
         F.max_by("severity", F.struct(rank, earliest)).alias("severity"),
-        (F.sum(weight * F.col("n")) / F.sum("n")).alias("_impact"),
+        mean_of_thousandths(weight, F.col("n")).alias("_impact"),
     ).filter(F.col("frequency") >= min_frequency)
     # most common category, first seen among equals
     top = (
@@ -59,7 +59,7 @@ def recurring_patterns(classified: DataFrame, min_frequency: int = rules.MIN_PAT
         F.substring("template", 1, rules.PATTERN_DESCRIPTION_LENGTH).alias("description"),
         "frequency", "source_count", "categories", "first_seen", "last_seen", "severity",
         F.lit(True).alias("is_recurring"),
-        F.round("_impact", 3).alias("impact_score"),
+        rounded("_impact", 3).alias("impact_score"),
         lookup(rules.PATTERN_ACTION, "top_category", rules.DEFAULT_PATTERN_ACTION).alias("recommended_action"),
     )
 

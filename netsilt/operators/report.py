@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsilt import rules
-from netsilt.functions.columns import bucket, lookup, string_array, surrogate_id
+from netsilt.functions.columns import bucket, fixed, lookup, rounded, string_array, surrogate_id
 from netsilt.operators.anomaly import top_anomalous_devices
 
 TOP_SOURCES = 20
@@ -204,7 +204,7 @@ def health_report(classified: DataFrame, anomalies: DataFrame, threats: DataFram
         as_of.alias("generated_at"),
         F.coalesce("period_start", as_of).alias("period_start"),
         F.coalesce("period_end", as_of).alias("period_end"),
-        F.round("overall_health_score", 1).alias("overall_health_score"),
+        rounded("overall_health_score", 1).alias("overall_health_score"),
         "health_status",
         F.struct("total_logs", "total_anomalies", "total_threats", "total_patterns", "maintenance_alerts")
         .alias("summary"),
@@ -238,10 +238,10 @@ def report_sections(report: DataFrame) -> DataFrame:
         ("categories", counted("logs_by_category"), rules.NO_DATA),
         ("severities", counted("logs_by_severity"), rules.NO_DATA),
         ("anomalous_devices", F.transform(F.slice("top_anomalous_devices", 1, 10), lambda d: line(
-            d["device"], F.format_string("%d / %.3f", d["anomaly_count"], d["avg_score"]), blank)),
+            d["device"], F.concat(d["anomaly_count"].cast("string"), F.lit(" / "), fixed(d["avg_score"], 3)), blank)),
          rules.NO_ANOMALOUS_DEVICES),
         ("maintenance", F.transform("maintenance_summary", lambda a: line(
-            a["device"], F.format_string("%s %.1f%%", a["type"], a["probability"] * 100), a["risk"])),
+            a["device"], F.concat(a["type"], F.lit(" "), fixed(a["probability"] * 100, 1), F.lit("%")), a["risk"])),
          rules.NO_MAINTENANCE_ALERTS),
     ]
     stacked = F.array(*[

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netsilt import rules
 from netsilt.functions import text as X
-from netsilt.functions.columns import bucket, computed_once, list_lookup, string_array, surrogate_id
+from netsilt.functions.columns import bucket, computed_once, list_lookup, rounded, string_array, surrogate_id
 
 
 def incident_severity(score: str | Column) -> Column:
@@ -117,7 +117,7 @@ def security_incidents(classified: DataFrame) -> DataFrame:
     )
     joined = incidents.join(address_lists, keys, "left").withColumns({
         "_ips": F.coalesce("_ips", F.array().cast("array<string>")),
-        "score": F.round(F.least(
+        "score": rounded(F.least(
             F.col("_max_score") + rules.EVENT_SCORE_STEP * (F.col("event_count") - 1), F.lit(1.0)), 3),
     })
     fields = _assessment({

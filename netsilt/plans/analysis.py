@@ -38,12 +38,27 @@ ANALYSIS_COLUMNS = [
 class Analysis:
     """Lazy result tables; ``counts`` and the report are the only small outputs.
 
-    ``classified`` has all columns; ``base`` is what the analyses read.
+    ``classified`` has all columns; ``base`` is what the analyses read. ``release``
+    frees what the run and its report keep.
     """
 
     classified: DataFrame
     base: DataFrame
+    settings: Settings = field(default_factory=Settings)
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def release(self) -> None:
+        for df in [self.base, *self.kept]:
+            df.unpersist()
+        self.kept.clear()
+
+    def correlations(self) -> DataFrame:
+        return cascade.cascade_correlations(self.base, self.settings.cascade_window)
 
     def counts(self) -> dict[str, int]:
         """Log count and the count of each result that was run."""
@@ -59,9 +74,12 @@ class Analysis:
         return anomaly.enrich_logs(self.classified, self.tables["anomalies"])
 
     def report(self, as_of: Column) -> DataFrame:
+        """The one-row report. It reads each result several times, so the results
+        are kept: anomalies only as far as the report reads them."""
         t = self.tables
-        return report.health_report(
-            self.base, t["anomalies"], t["threats"], t["patterns"], t["maintenance_alerts"], as_of)
+        flagged = t["anomalies"].filter("is_anomaly").select("source", "is_anomaly", "anomaly_score")
+        inputs = [self._keep(df) for df in (flagged, t["threats"], t["patterns"], t["maintenance_alerts"])]
+        return report.health_report(self.base, *inputs, as_of)
 
 
 def analyse(raw: DataFrame, as_of: Column, settings: Settings | None = None, *, run_anomaly: bool = True,
@@ -72,7 +90,7 @@ def analyse(raw: DataFrame, as_of: Column, settings: Settings | None = None, *,
 
     ``reuse`` keeps the columns all analyses read (in memory, beyond that on the
     executors' disks), so that patterns are matched once per log and not once per
-    analysis; call ``base.unpersist()`` when done. For input far beyond the
+    analysis; call ``release()`` when done. For input far beyond the
     cluster's storage write the classified logs with ``append_logs`` and analyse
     that table through ``analyse_classified``.
     """
@@ -92,7 +110,7 @@ def analyse_classified(classified: DataFrame, as_of: Column, settings: Settings
     """The analyses over classified logs, for example a stored table of them."""
     s = settings or Settings()
     base = classified.select(*ANALYSIS_COLUMNS) if base is None else base
-    out = Analysis(classified, base)
+    out = Analysis(classified, base, s)
     if run_anomaly:
         out.tables["anomalies"] = anomaly.anomaly_scores(
             base, ml_scores, s.anomaly_threshold, s.burst_window, s.baseline_window)
@@ -100,7 +118,6 @@ def analyse_classified(classified: DataFrame, as_of: Column, settings: Settings
         out.tables["threats"] = security.security_incidents(base)
     if run_patterns:
         out.tables["patterns"] = patterns.recurring_patterns(base, s.min_pattern_frequency)
-        out.tables["correlations"] = cascade.cascade_correlations(base, s.cascade_window)
     if run_prediction:
         out.tables["maintenance_alerts"] = maintenance.maintenance_alerts(
             maintenance.device_features(base), as_of, s.alert_threshold, probabilities, s.horizon_hours)

@@ -376,7 +376,9 @@ def analysis_of(spark, sf_dir) -> plan.Analysis:
     settings = plan.Settings(
         anomaly_threshold=ANOMALY_THRESHOLD, burst_window=BURST_WINDOW, alert_threshold=ALERT_THRESHOLD)
     base = analysis_logs(spark, sf_dir)
-    return plan.analyse_classified(base, as_of(), settings, base=base)
+    run = plan.analyse_classified(base, as_of(), settings, base=base)
+    run.kept = _KEPT  # released with the frame of this query
+    return run
 
 
 @query

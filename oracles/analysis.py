@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from netsilt import rules
-from oracles.base import CLASSIFIED, LOGS, case_of, q, with_ctes
+from oracles.base import CLASSIFIED, LOGS, case_of, q, rounded, with_ctes
 from oracles.classification import distinct_list
 
 SQL: dict[str, str] = {}
@@ -48,7 +48,7 @@ patterns AS (
     list_sort(list(DISTINCT t.category)) AS category_list,
     min(ts) AS first_seen, max(ts) AS last_seen,
     arg_max(severity, sev_rank * 1e18 - us) AS severity, true AS is_recurring,
-    round(avg(weight), 3) AS impact_score,
+    {rounded('sum(round(weight * 1000)::BIGINT) / count(*) / 1000.0::DOUBLE', 3)} AS impact_score,
     {case_of('any_value(c.category)', rules.PATTERN_ACTION, q(rules.DEFAULT_PATTERN_ACTION))} AS recommended_action,
     t.template
   FROM templated t JOIN top_category c ON t.template = c.template
@@ -110,7 +110,7 @@ keyed AS (SELECT *, coalesce(ips[1], source) AS origin FROM threat_logs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY threat_type, origin ORDER BY us, log_id) AS nth FROM keyed),
 grouped AS (
   SELECT threat_type, origin, count(*) AS event_count, max(ts) AS last_seen,
-    round(least(max(threat_score) + 0.05::DOUBLE * (count(*) - 1), 1.0::DOUBLE), 3) AS score
+    {rounded('least(max(threat_score) + 0.05::DOUBLE * (count(*) - 1), 1.0::DOUBLE)', 3)} AS score
   FROM ranked GROUP BY threat_type, origin
 ),
 addresses AS (
@@ -206,7 +206,7 @@ counted AS (
 based AS (SELECT *, greatest((n6 - n1) / 5.0::DOUBLE, 1.0::DOUBLE) AS baseline FROM counted),
 bursts AS (
   SELECT log_id, source, n1 AS current_count, baseline,
-    round(CASE WHEN n6 >= 5 THEN n1 / baseline ELSE 1.0::DOUBLE END, 2) AS burst_ratio,
+    {rounded('CASE WHEN n6 >= 5 THEN n1 / baseline ELSE 1.0::DOUBLE END', 2)} AS burst_ratio,
     n6 >= 5 AND n1 / baseline >= 3.0::DOUBLE AS is_burst FROM based
 )"""
 SQL["burst_ratio"] = with_ctes(LOGS, BURSTS, select="SELECT log_id, source, current_count, baseline, burst_ratio, is_burst FROM bursts")
@@ -231,7 +231,7 @@ scored AS (
     / (1 + (max_z > 0)::INTEGER + is_burst::INTEGER + (boost IS NOT NULL)::INTEGER) AS raw_score FROM parts_of
 ),
 anomalies AS (
-  SELECT *, round(raw_score, 3) AS anomaly_score, raw_score >= 0.25::DOUBLE AS is_anomaly,
+  SELECT *, {rounded('raw_score', 3)} AS anomaly_score, raw_score >= 0.25::DOUBLE AS is_anomaly,
     CASE WHEN raw_score < 0.25::DOUBLE THEN 'none' WHEN max_z > 2.5 THEN 'metric' WHEN is_burst THEN 'frequency'
          ELSE 'pattern' END AS anomaly_type,
     raw_score >= 0.25::DOUBLE AND severity IN ('INFO', 'WARNING') AND raw_score > 0.80::DOUBLE AS severity_upgrade,
@@ -242,13 +242,13 @@ anomalies AS (
 )"""
 SQL["anomaly_scores"] = with_ctes(LOGS, CLASSIFIED, ANOMALIES, select=f"""
 SELECT log_id, ts AS "timestamp", source, anomaly_score, is_anomaly, anomaly_type, {text_of('all_factors')} AS contributing_factors,
-  round(max_z, 2) AS baseline_deviation, severity_upgrade FROM anomalies""")
+  {rounded('max_z', 2)} AS baseline_deviation, severity_upgrade FROM anomalies""")
 SQL["enriched_logs"] = with_ctes(LOGS, CLASSIFIED, ANOMALIES, select="""
 SELECT log_id, c.source, c.category, c.severity, a.is_anomaly, a.anomaly_score, c.security_threat
 FROM classified c JOIN anomalies a USING (log_id)""")
-TOP_DEVICES = """
+TOP_DEVICES = f"""
 top_devices AS (
-  SELECT source AS device, count(*) AS anomaly_count, round(avg(anomaly_score), 3) AS avg_score
+  SELECT source AS device, count(*) AS anomaly_count, {rounded('sum(round(anomaly_score * 1000)::BIGINT) / count(*) / 1000.0::DOUBLE', 3)} AS avg_score
   FROM anomalies WHERE is_anomaly GROUP BY source ORDER BY avg_score DESC, device LIMIT 10
 )"""
 SQL["top_anomalous_devices"] = with_ctes(LOGS, CLASSIFIED, ANOMALIES, TOP_DEVICES, select="SELECT * FROM top_devices")
@@ -339,8 +339,8 @@ typed AS (
   FROM probable WHERE p >= 0.3::DOUBLE
 ),
 alerts AS (
-  SELECT {short_id('MAINT', "device || '|' || failure")} AS alert_id, device, round(p, 3) AS failure_probability,
-    failure AS predicted_failure_type, 24::INTEGER AS time_horizon_hours, round(p, 3) AS confidence, risk_level,
+  SELECT {short_id('MAINT', "device || '|' || failure")} AS alert_id, device, {rounded('p', 3)} AS failure_probability,
+    failure AS predicted_failure_type, 24::INTEGER AS time_horizon_hours, {rounded('p', 3)} AS confidence, risk_level,
     list_filter([
       CASE WHEN cpu_last > 0.75::DOUBLE THEN format('CPU at {{:.0f}}% (mean {{:.0f}}%)', cpu_last * 100, cpu_mean * 100) END,
       CASE WHEN cpu_trend > 0.02::DOUBLE THEN format('CPU increasing at +{{:.1f}}%/sample', cpu_trend * 100) END,

@@ -34,6 +34,11 @@ def has(pattern: str, text: str = "txt", flags: str = "i") -> str:
     return f"regexp_matches({text}, {q(pattern)}, {q(flags)})"
 
 
+def rounded(expr: str, digits: int) -> str:
+    """Rounded by the exact binary value, ties to even: print and read back."""
+    return f"format('{{:.{digits}f}}', ({expr})::DOUBLE)::DOUBLE"
+
+
 LOGS = f"""
 parts AS (
   SELECT *, (user_id % 10)::VARCHAR AS a, (event_id % 250)::VARCHAR AS b FROM events
@@ -84,8 +89,8 @@ judged AS (
 classified AS (
   SELECT *, threat_type <> '' AS security_threat,
     CASE WHEN threat_type = '' THEN 0.0::DOUBLE
-         ELSE round(least({case_of('upper(severity)', rules.THREAT_SCORE, '0.60::DOUBLE')}
-                          + CASE WHEN cpu > 80 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE), 3)
+         ELSE {rounded(f"least({case_of('upper(severity)', rules.THREAT_SCORE, '0.60::DOUBLE')}"
+                       "+ CASE WHEN cpu > 80 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE)", 3)}
          END AS threat_score
   FROM judged
 )"""

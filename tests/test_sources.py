@@ -119,5 +119,7 @@ def test_report_files(spark, five_classified, tmp_path):
 
 def test_whole_run_reuses_base(spark, five):
     out = analysis.analyse(five, analysis.at("2025-09-02 00:00:00"))
-    assert out.base.is_cached and out.enriched().count() == 5
-    out.base.unpersist()
+    assert out.base.is_cached and out.enriched().count() == 5 and out.correlations().count() == 2
+    out.report(analysis.at("2025-09-02 00:00:00")).collect()
+    out.release()
+    assert not out.base.is_cached and not out.kept

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from netsilt import rules
 from netsilt.functions import text as X
-from netsilt.functions.columns import bucket, lookup, sql_literal
+from netsilt.functions.columns import bucket, fixed, lookup, rounded, sql_literal
 from pyspark.sql import functions as F
 
 PIECES = [
@@ -54,6 +54,18 @@ def test_bucket_and_lookup(spark):
     assert got == [("HI", 1), ("MID", 7), ("LO", 7)]
 
 
+def test_rounding_agrees_with_python(spark):
+    rng = random.Random(8)
+    values = [rng.randrange(-4000, 4000) / d for d in (1, 2, 8, 16, 100, 1000, 10_000, 3, 7) for _ in range(60)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", *[rounded("v", n).alias(f"r{n}") for n in (1, 2, 3)], fixed("v", 0).alias("f0"),
+                    fixed("v", 1).alias("f1"), fixed("v", 3).alias("f3")).collect()
+    for r in got:
+        v = r["v"]
+        assert (r["r1"], r["r2"], r["r3"]) == (round(v, 1), round(v, 2), round(v, 3))
+        assert [float(r[f"f{n}"]) for n in (0, 1, 3)] == [float(f"{v:.{n}f}") for n in (0, 1, 3)]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(max_size=8), min_size=1, max_size=4))
 def test_sql_literal_round_trip(spark, values):
