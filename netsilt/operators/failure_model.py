@@ -34,9 +34,10 @@ def train_failure_model(features: DataFrame, labels: DataFrame, max_iter: int =
     rows = aligned(features, labels, "device")
     try:
         # boosting runs hundreds of short jobs one after another: no more tasks than the
-        # device count asks for
+        # device count asks for. Subsampling goes by row order, so the order is fixed.
         tasks = rows.count() // ROWS_PER_TASK + 1
-        ready = rows.withColumn("part", share("device", seed)).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+        placed = rows.repartition(tasks, "device").sortWithinPartitions("device")
+        ready = placed.withColumn("part", share("device", seed)).persist(StorageLevel.MEMORY_AND_DISK)
         steps = Pipeline(stages=[
             VectorAssembler(inputCols=FEATURE_NAMES, outputCol="raw_features"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),

@@ -536,7 +536,9 @@ def solarwinds_last_day(spark, sf_dir):
 @query
 def normalise_zabbix(spark, sf_dir):
     host = F.when(F.col("n") % 5 == 0, F.lit("[]")).otherwise(F.concat(F.lit('[{"host":"'), "source", F.lit('"}]')))
-    item = F.concat(F.lit('{"clock":"'), F.unix_timestamp("timestamp").cast("string"), F.lit('","hosts":'), host,
+    # the events' times are wall-clock times without a zone; read as UTC
+    clock = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("timestamp").cast("timestamp_ntz"))
+    item = F.concat(F.lit('{"clock":"'), clock.cast("string"), F.lit('","hosts":'), host,
                     F.lit(',"severity":"'), (F.col("n") % 7).cast("string"), F.lit('","name":"DHCP lease"}'))
     payloads = _source_rows(spark, sf_dir).select(F.concat(F.lit('{"result":['), item, F.lit("]}")).alias("payload"))
     logs = payload_sources.normalise(payloads, "zabbix")
