@@ -172,14 +172,16 @@ def ioc_logs(spark, sf_dir):
 
 @query
 def ioc_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.iocs("text").alias("iocs"))
-    return docs.select("doc_id", *_ioc_columns(F.col("iocs")))
+    docs = readers.spread_small(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = docs.select("doc_id", X.iocs("text").alias("iocs"))
+    return found.select("doc_id", *_ioc_columns(F.col("iocs")))
 
 
 @query
 def ioc_pages(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.iocs("html").alias("iocs"))
-    return pages.select("page_id", *_ioc_columns(F.col("iocs")))
+    pages = readers.spread_small(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    found = pages.select("page_id", X.iocs("html").alias("iocs"))
+    return found.select("page_id", *_ioc_columns(F.col("iocs")))
 
 
 # ---------------------------------------------------------------- security
