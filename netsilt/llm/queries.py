@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsilt.llm import packing, simhash, toxicity as tox
+from netsilt.llm import decontaminate, packing, repeats, simhash, toxicity as tox
 from netsilt.llm.common import crc_mod
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,3 +40,18 @@ def op3_packing(spark, sf_dir):
 @query
 def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_repeats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
+    return repeats.without_repeats(docs).select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "words", "same_words",
+                        (F.col("same_words") / F.col("words")).alias("similarity"))
