@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsilt.llm.common import as_bytes, fixed, mix, record, share, some_rows, stored
+from netsilt.llm.common import as_bytes, fixed, mix, record, share, some_rows, stored, word_hashes
+from netsilt.llm.repeats import rolling
 from netsilt.llm.components import components, forest
 
 RADIUS = 3
@@ -119,7 +120,15 @@ def _variants(buckets: int):
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _meet(radius: int):
+def _least_hub(node: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per node its smallest direct partner."""
+    order = np.lexsort((hub, node))
+    node, hub = node[order], hub[order]
+    first = np.concatenate([[True], node[1:] != node[:-1]]) if len(node) else np.zeros(0, bool)
+    return node[first], hub[first]
+
+
+def _meet(radius: int, reduce):
     def run(table: pa.Table) -> pa.Table:
         values = np.frombuffer(b"".join(table.column("values").to_pylist()), dtype=_U)
         codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), dtype=np.uint16)
@@ -137,17 +146,18 @@ def _meet(radius: int):
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
         hub = np.repeat(fps[first], np.diff(np.append(first, len(values))))
         near = (hub != fps) & (np.bitwise_count(hub ^ fps) <= radius)  # verified on the fingerprints
-        node, root = forest(fps[near], hub[near])
+        node, root = reduce(fps[near], hub[near])
         return pa.table([node.view(np.int64), root.view(np.int64)], schema=_LINKS)
     return run
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Links ``a, b`` that span every group of distinct fingerprints within 3 bits."""
+def links(prints: DataFrame, reduce=forest) -> DataFrame:
+    """Links ``a, b`` that span every group of distinct fingerprints within 3 bits; with
+    ``reduce=_least_hub`` only direct ones, a partner per fingerprint and bucket."""
     distinct = stored(prints.select("fp").distinct(), "simhash-fps")
     buckets = share(distinct.count() * 560.0, BUCKET_VALUES, LEAST_BUCKETS)
     packed = distinct.mapInArrow(_variants(buckets), "bucket int, values binary, codes binary")
-    return packed.groupBy("bucket").applyInArrow(_meet(RADIUS), "a long, b long")
+    return packed.groupBy("bucket").applyInArrow(_meet(RADIUS, reduce), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -167,3 +177,87 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     classes = of.join(smallest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --------------------------------------------------- one document of each group
+
+SHINGLE = 5
+SIMILARITY = 0.8
+_CLASSES = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("fp", pa.int64())])
+_SETS = pa.schema([("digest", pa.string()), ("shingles", pa.binary())])
+
+
+def shingle_sets(texts: list[bytes], words: int = SHINGLE) -> list[np.ndarray]:
+    """Distinct hashes of each text's shingles; fewer words are one shingle."""
+    return [np.unique(rolling(h, min(words, len(h)))) if len(h) else h for h in word_hashes([t.lower() for t in texts])]
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
+    """``digest, doc_id, keeps_digest, keeps_doc_id`` per distinct text (by MD5) of ``docs``:
+    its smallest doc_id, and the text and document that stand for its group.
+
+    Near copies replace scattered words, and each takes ``words`` shingles with it, so a
+    SimHash of shingles sees few of them within 3 bits. Candidates therefore come
+    from the SimHash of the set of a text's words, and each is verified: the Jaccard
+    similarity of five-word shingles is at least ``similarity``. Groups are what verified
+    links connect. Texts of one fingerprint are compared with its first text.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = fixed(docs, doc_id=F.col("doc_id").cast("long"), digest=F.md5(text), text=text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in some_rows(batches, "text"):
+            fps = np.array([fingerprint(b" ".join(sorted(set(t.lower().split()))), 1)
+                            for t in batch.column("text").to_pylist()], dtype=_U)
+            yield record(_CLASSES, batch.column("doc_id"), batch.column("digest"), fps.view(np.int64))
+
+    classes = rows.mapInArrow(run, "doc_id long, digest string, fp long")
+    classes = stored(classes.groupBy("fp", "digest").agg(F.min("doc_id").alias("doc_id")), "texts")
+    first = stored(classes.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("f")).select("fp", "f.*"), "first-texts")
+    a = first.select(F.col("fp").alias("a"), F.col("digest").alias("x"))
+    b = first.select(F.col("fp").alias("b"), F.col("digest").alias("y"))
+    pairs = links(classes, _least_hub).distinct().join(a, "a").join(b, "b").select("x", "y").unionByName(
+        classes.join(b, classes.fp == b.b).filter("digest != y").select(F.col("digest").alias("x"), "y"))
+    pairs = stored(pairs, "text-pairs")
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct().join(
+        classes, "digest").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in some_rows(batches, "text"):
+            yield record(_SETS, batch.column("digest"),
+                         [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)])
+
+    shown = rows.join(asked, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
+    shown = shown.select("digest", "text").mapInArrow(sets, "digest string, shingles binary").dropDuplicates(["digest"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True):
+                one, two = np.frombuffer(one, dtype=_U), np.frombuffer(two, dtype=_U)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(two) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    set_of = lambda key, name: shown.select(F.col("digest").alias(key), F.col("shingles").alias(name))
+    verified = pairs.join(set_of("x", "one"), "x").join(set_of("y", "two"), "y").select(
+        F.col("x").alias("a"), F.col("y").alias("b"), "one", "two").mapInArrow(verify, "a string, b string")
+    roots = components(verified)
+    grouped = stored(classes.join(roots, F.col("digest") == F.col("node"), "left").select(
+        "digest", "doc_id", F.coalesce("root", "digest").alias("root")), "text-groups")
+    stands = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("s"))
+    return grouped.join(stands, "root").select("digest", "doc_id", F.col("s.digest").alias("keeps_digest"),
+                                               F.col("s.doc_id").alias("keeps_doc_id"))
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for each group of exact or near copies, with all its columns: the
+    smallest doc_id (a null one comes first). Null text counts as empty, and empty texts
+    are copies of each other; repeated rows are copies; an empty table stays empty.
+    """
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    keep = similar_documents(docs, **options).filter("digest = keeps_digest").select(
+        F.col("digest").alias("_digest_kept"), F.col("doc_id").alias("_doc_kept"))
+    marked = docs.withColumns({"_digest": digest, "_doc": F.col("doc_id").cast("long")})
+    kept = marked.join(keep, (F.col("_digest") == F.col("_digest_kept")) & F.col("_doc").eqNullSafe(F.col("_doc_kept")), "left_semi")
+    return kept.dropDuplicates(["_digest", "_doc"]).drop("_digest", "_doc")
