@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsilt.llm import decontaminate, packing, repeats, simhash, toxicity as tox
+from netsilt.llm import decontaminate, kneser_ney, packing, repeats, simhash, toxicity as tox
 from netsilt.llm.common import crc_mod
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,3 +55,10 @@ def op6_decontaminate(spark, sf_dir):
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start", "words", "same_words",
                         (F.col("same_words") / F.col("words")).alias("similarity"))
+
+
+@query
+def op4_kneser_ney(spark, sf_dir):
+    held_out = crc_mod("doc_id", 10) == 0
+    scored = kneser_ney.language_model_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
