@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsilt.llm import chat, decontaminate, kneser_ney, language_id, packing, repeats, simhash, toxicity as tox
+from netsilt.llm import chat, decontaminate, kneser_ney, language_id, packing, repeats, simhash, topk, warc
+from netsilt.llm import toxicity as tox
 from netsilt.llm.common import crc_mod
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -87,3 +88,17 @@ def op7_chat(spark, sf_dir):
                ).alias("turns_sha256"),
         F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op1_topk(spark, sf_dir):
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op10_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    # the table has no time stamps: a second per page from the start of 2025
+    captured_at = F.timestamp_seconds(F.lit(1735689600) + F.pmod(F.col("page_id"), F.lit(31536000)))
+    history, folder = warc.archive(pages, captured_at)
+    return warc.read_archives(history, folder).drop("payload")
