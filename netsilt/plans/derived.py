@@ -15,16 +15,15 @@ from netsilt.sources.readers import spread_small
 
 # (description, raw_message) by event_id % 15; {A} = user_id % 10, {B} = event_id % 250
 TEMPLATES = [
-    ("BGP neighbor 10.0.{A}.{B} went down - Hold timer expired",
-     "%BGP-3-NOTIFICATION: sent to neighbor 10.0.{A}.{B} 6/2"),
+    ("BGP neighbor 10.0.{A}.{B} left the established state",
+     "rpd: hold timer of peer 10.0.{A}.{B} ran out"),
     ("OSPF adjacency lost on area {B}", "%OSPF-5-ADJCHG: Process 1, Nbr 10.1.{A}.{B}"),
     ("Topology change received on port {B}", "%STP-4-TCN: bpdu seen, root bridge moved"),
-    ("Interface GigabitEthernet0/{A}/{B} link down",
-     "%LINK-3-UPDOWN: Interface GigabitEthernet0/{A}/{B}, changed state to down"),
-    ("Port scan detected from 203.0.113.{B}", "%ASA-3-338001: Dynamic filter monitored blacklisted IP"),
-    ("Brute force SSH login attempt from 198.51.100.{B} - 50 failed attempts",
-     "[**] SSH Brute Force [**] 198.51.100.{B}:42315 -> 10.1.1.5:22"),
-    ("High CPU utilization 9{A}% for 5 minutes", "%CPU_REPORT-3-CPU_UTILIZATION: CPU utilization 9{A}%"),
+    ("Interface TenGigE0/{A}/{B} went down", "xcvr: no light on TenGigE0/{A}/{B}"),
+    ("Horizontal port scan by 203.0.113.{B}", "gw: 40 hosts probed within 10 s"),
+    ("Repeated failed login over ssh by 198.51.100.{B}",
+     "sshd: 198.51.100.{B}:42315 -> 10.1.1.5:22 looks like brute force"),
+    ("Processor busy: CPU utilization at 9{A}%", "poll: cpu utilization 9{A}%"),
     ("Memory alert: pool usage 9{A}%", "%MEMORY-2-LOW: processor pool"),
     ("DNS query spike from resolver ns{A}.example.com", "dns amplification suspected, ANY zone query"),
     ("Voice queue overflow", "%QOS-4-POLICER: packet drop on queue {A}"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 NOW = datetime(2025, 9, 2)
 RECORDS = [
     {"log_id": "LOG-001", "timestamp": "2025-09-01T08:00:00Z", "source": "router", "severity": "warning",
-     "description": "BGP neighbor went down", "raw_message": "%BGP-3-X: y", "metrics": {"cpu_usage": 45, "bad": "x"}},
+     "description": "BGP session closed", "raw_message": "%BGP-4-PEER: y", "metrics": {"cpu_usage": 45, "bad": "x"}},
     {"source": "switch", "severity": None, "timestamp": "not a time"},
     {"description": "no time at all"},
 ]
@@ -43,11 +43,11 @@ def test_json_array_and_lines(spark, tmp_path):
 
 def test_syslog_file(spark, tmp_path):
     path = tmp_path / "messages.log"
-    path.write_text("<34>Sep 01 08:00:00 router-01 %BGP-3-NOTIFICATION: sent to neighbor 10.0.0.2\n\n"
+    path.write_text("<34>Mar 07 21:10:05 edge-a %BGP-4-PEER: session with 192.0.2.9 closed\n\n"
                     "  \t<999999999999999999999>long priority firewall \nno priority\n<7>" + "x" * 300 + "\n")
     rows = {r["raw_message"][:6]: r for r in readers.read_logs(spark, str(path)).collect()}
     assert len(rows) == 4
-    bgp = rows["<34>Se"]
+    bgp = rows["<34>Ma"]
     assert (bgp["severity"], bgp["component"], bgp["platform"], bgp["source_ip"]) == ("CRITICAL", "BGP", "syslog", "file")
     assert rows["<99999"]["severity"] == "DEBUG" and rows["<99999"]["component"] == "SECURITY"
     assert rows["no pri"]["severity"] == "INFO" and rows["no pri"]["component"] == "UNKNOWN"
@@ -95,7 +95,7 @@ def test_store_and_search(spark, five_classified, tmp_path):
     sinks.append_logs(five_classified, store)
     logs = sinks.read_table(spark, store, "classified_logs")
     assert logs.count() == 5
-    found = search.search_logs(logs, limit=1, offset=1, category="security", severity="critical", source="IDS")
+    found = search.search_logs(logs, limit=1, offset=1, category="security", severity="critical", source="PROBE")
     assert found["total"].first()["total"] == 1 and found["logs"].count() == 0
     assert search.log_by_id(logs, "LOG-003").first()["category"] == "HARDWARE"
     out = analysis.analyse_classified(logs, analysis.at("2025-09-02 00:00:00"))
