@@ -101,9 +101,9 @@ def mean_of_thousandths(value: Column, count: Column) -> Column:
 
 
 def surrogate_id(prefix: str, *key: str | Column) -> Column:
-    """Stable short id: prefix plus the first 8 hex digits of the md5 of the key."""
+    """Stable id: prefix plus the md5 of the key, whole, as rows are joined by it."""
     text = F.concat_ws("|", *[col(k).cast("string") for k in key])
-    return F.concat(F.lit(prefix + "-"), F.upper(F.substring(F.md5(text), 1, 8)))
+    return F.concat(F.lit(prefix + "-"), F.upper(F.md5(text)))
 
 
 def micros(ts: str | Column) -> Column:

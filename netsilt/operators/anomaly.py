@@ -13,26 +13,24 @@ from netsilt.operators.ordered import over_previous_rows, running_total
 
 
 def metric_samples(logs: DataFrame) -> DataFrame:
-    """(log_id, timestamp, source, metric, position, value): one row per metric of a log."""
-    return logs.select(
+    """(log_id, timestamp, source, metric, position, value): one row per metric of a log
+    that has a time."""
+    return logs.filter(F.col("timestamp").isNotNull()).select(
         "log_id", "timestamp", "source", F.posexplode("metrics").alias("position", "metric", "value"),
     ).filter(F.col("value").isNotNull())
 
 
-def rolling_zscore(logs: DataFrame, window_size: int = rules.BASELINE_WINDOW,
-                   max_key_rows: int | None = None, **slicing) -> DataFrame:
+def rolling_zscore(logs: DataFrame, window_size: int = rules.BASELINE_WINDOW, **slicing) -> DataFrame:
     """Deviation of each sample from the last ``window_size`` samples of its
     device and metric, itself included."""
-    return sample_zscores(metric_samples(logs), window_size, max_key_rows, **slicing)
+    return sample_zscores(metric_samples(logs), window_size, **slicing)
 
 
-def sample_zscores(samples: DataFrame, window_size: int = rules.BASELINE_WINDOW,
-                   max_key_rows: int | None = None, **slicing) -> DataFrame:
+def sample_zscores(samples: DataFrame, window_size: int = rules.BASELINE_WINDOW, **slicing) -> DataFrame:
     value = F.col("value")
     rolled = over_previous_rows(
         samples, ["source", "metric"], ["timestamp", "log_id"], window_size,
-        {"samples": F.count(value), "mean": F.avg(value), "std": F.stddev_pop(value)},
-        max_key_rows, **slicing)
+        {"samples": F.count(value), "mean": F.avg(value), "std": F.stddev_pop(value)}, **slicing)
     flat = (F.col("samples") < rules.BASELINE_MIN_SAMPLES) | (F.col("std") < rules.BASELINE_MIN_STD)
     z = F.when(flat, F.lit(0.0)).otherwise(F.abs((value - F.col("mean")) / F.col("std")))
     return rolled.withColumn("z_score", z)
@@ -64,7 +62,7 @@ def log_deviation(logs: DataFrame, **kw) -> DataFrame:
 
 
 def window_counts(logs: DataFrame, key: str = "source", window: timedelta | None = None, spans: tuple[int, ...] = (1,),
-                  max_key_rows: int | None = None, **slicing) -> DataFrame:
+                  **slicing) -> DataFrame:
     """Per log: how many logs of its key lie in (t - n * window, t], for each n in ``spans``.
 
     Instead of a sliding frame (work grows with frame length times rows), every
@@ -82,17 +80,16 @@ def window_counts(logs: DataFrame, key: str = "source", window: timedelta | None
         .select("log_id", "key", F.inline(at))
     )
     # a probe counts every log at or before its point, a log counts itself
-    counted = running_total(points, ["key"], ["x", "probe", "log_id", "span"], "n", "seen", max_key_rows, **slicing)
+    counted = running_total(points, ["key"], ["x", "probe", "log_id", "span"], "n", "seen", **slicing)
     seen = lambda s: F.max(F.when(F.col("span") == s, F.col("seen")))
     return counted.groupBy("log_id").agg(
         F.first("key").alias(key), *[(seen(0) - seen(s)).alias(f"n_{s}") for s in spans])
 
 
-def burst_ratio(logs: DataFrame, key: str = "source", window: timedelta | None = None,
-                max_key_rows: int | None = None, **slicing) -> DataFrame:
+def burst_ratio(logs: DataFrame, key: str = "source", window: timedelta | None = None, **slicing) -> DataFrame:
     """Per log: events of its key in the current window against the mean of the five before."""
     history = rules.BURST_HISTORY_WINDOWS
-    counts = window_counts(logs, key, window, (1, history + 1), max_key_rows, **slicing)
+    counts = window_counts(logs, key, window, (1, history + 1), **slicing)
     return counts.select("log_id", key, *burst_columns(F.col("n_1"), F.col(f"n_{history + 1}")))
 
 
@@ -109,25 +106,24 @@ def burst_columns(current, total):
     ]
 
 
-def rate_in_window(logs: DataFrame, key: str = "source", window: timedelta | None = None,
-                   max_key_rows: int | None = None, **slicing) -> DataFrame:
+def rate_in_window(logs: DataFrame, key: str = "source", window: timedelta | None = None, **slicing) -> DataFrame:
     """Per log: events per minute of its key in the window that ends at the log."""
     window = window or timedelta(minutes=rules.BURST_WINDOW_MINUTES)
     minutes = window / timedelta(minutes=1)
-    counts = window_counts(logs, key, window, (1,), max_key_rows, **slicing)
+    counts = window_counts(logs, key, window, (1,), **slicing)
     return counts.select("log_id", key, (F.col("n_1") / F.lit(minutes)).alias("rate_per_minute"))
 
 
 def anomaly_scores(classified: DataFrame, ml_scores: DataFrame | None = None,
                    threshold: float = rules.ANOMALY_THRESHOLD, burst_window: timedelta | None = None,
-                   window_size: int = rules.BASELINE_WINDOW, max_key_rows: int | None = None, **slicing) -> DataFrame:
+                   window_size: int = rules.BASELINE_WINDOW, **slicing) -> DataFrame:
     """One anomaly row per log: the mean of the parts that apply to it.
 
     ``ml_scores`` (log_id, ml_score) is the isolation forest's answer; without it
     the part is 0, as for an untrained forest. The inputs meet on log_id.
     """
-    deviation = log_deviation(classified, window_size=window_size, max_key_rows=max_key_rows, **slicing)
-    bursts = burst_ratio(classified, "source", burst_window, max_key_rows, **slicing)
+    deviation = log_deviation(classified, window_size=window_size, **slicing)
+    bursts = burst_ratio(classified, "source", burst_window, **slicing)
     base = classified.select("log_id", "timestamp", "source", "category", "severity")
     joined = (
         base.join(deviation, "log_id", "left")

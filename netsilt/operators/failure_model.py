@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from netsilt.operators.log_classifier import aligned, evaluation_report, share
 from netsilt.operators.maintenance import FEATURE_NAMES
 
-ROWS_PER_TASK = 50_000
 CLASSES = {0: "normal", 1: "pre-failure"}
 
 
@@ -26,17 +25,17 @@ class TrainedFailureModel:
 
 
 def train_failure_model(features: DataFrame, labels: DataFrame, max_iter: int = 150, max_depth: int = 4,
-                        step_size: float = 0.05, subsample: float = 0.8, seed: int = 42) -> TrainedFailureModel:
+                        step_size: float = 0.05, subsample: float = 0.8, seed: int = 42,
+                        partitions: int = 8) -> TrainedFailureModel:
     """Fit on 80 % of the devices, evaluate on the rest.
 
-    ``features`` is the device feature table, ``labels`` (device, label 0/1).
+    ``features`` is the device feature table, ``labels`` (device, label 0/1). Devices are
+    dealt into ``partitions`` by hash whatever their number, as subsampling goes by partition.
     """
     rows = aligned(features, labels, "device")
     try:
-        # boosting runs hundreds of short jobs one after another: no more tasks than the
-        # device count asks for. Subsampling goes by row order, so the order is fixed.
-        tasks = rows.count() // ROWS_PER_TASK + 1
-        placed = rows.repartition(tasks, "device").sortWithinPartitions("device")
+        # subsampling goes by row order, so the order is fixed
+        placed = rows.repartition(partitions, "device").sortWithinPartitions("device")
         ready = placed.withColumn("part", share("device", seed)).persist(StorageLevel.MEMORY_AND_DISK)
         steps = Pipeline(stages=[
             VectorAssembler(inputCols=FEATURE_NAMES, outputCol="raw_features"),

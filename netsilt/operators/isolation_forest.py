@@ -95,14 +95,15 @@ class IsolationForest:
 
 
 def _tree_samples(rows: DataFrame, total: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` rows for each tree, chosen by hash of the id.
+    """``sample`` rows for each tree, chosen among all rows by a hash of the id and the tree.
 
-    A pool of about 40 samples is drawn first, so only pool rows meet the trees.
+    A row first picks its trees, each with the same small probability, so about four
+    samples a tree reach the ranking whatever the number of rows.
     """
-    pool_share = min(1.0, 40.0 * sample / max(total, 1))
-    draw = lambda *key: F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    pool = rows.filter(draw("log_id") < pool_share)
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    chance = min(1.0, 4.0 * sample / max(total, 1))
+    draw = lambda t: F.pmod(F.xxhash64("log_id", t, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    picked = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < chance)
+    spread = rows.withColumn("tree", F.explode(picked))
     rank = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "log_id", F.lit(seed)), "log_id")
     return spread.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= sample).drop("_r")
 

@@ -36,13 +36,13 @@ METRIC_SIGNALS = ["cpu_usage", "memory_usage", "interface_errors"]
 
 
 def device_samples(classified: DataFrame) -> DataFrame:
-    """(device, timestamp, log_id, signal, value): the health signals of every log."""
+    """(device, timestamp, log_id, signal, value): the health signals of every log that has a time."""
     errors = F.coalesce(metric("interface_errors"), F.lit(0.0))
     rank = severity_rank(rules.DEVICE_SEVERITY_RANK).cast("double")
     signals = [F.struct(F.lit(s).alias("signal"), metric(s).alias("value")) for s in METRIC_SIGNALS]
     signals += [F.struct(F.lit("severity_num").alias("signal"), rank.alias("value")),
                 F.struct(F.lit("error_count").alias("signal"), errors.alias("value"))]
-    return classified.select(
+    return classified.filter(F.col("timestamp").isNotNull()).select(
         F.col("source").alias("device"), "timestamp", "log_id", F.inline(F.array(*signals)),
     ).filter(F.col("value").isNotNull())
 

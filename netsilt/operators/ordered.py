@@ -1,119 +1,72 @@
 """Ordered computations per key that hold up when one key owns much of the data.
 
-A window partitioned by a device or category puts the whole key into one task.
-The functions here first look at the largest key (a map-side combined count over
-the key columns only). Where no key exceeds ``max_key_rows``: one plain window,
-one shuffle. Otherwise the rows of the larger keys, and only those, are
-range-partitioned by their full, unique sort order, so no key, time stamp or
-category can overload a task, given dense positions, and cut into slices of equal
-size; what crosses a slice border (a base total, or the preceding rows) is added
-exactly. Both ways give the same rows.
+A window partitioned by a device or category puts the whole key into one task. Here
+a key is cut into slices of time, so a task gets the rows of one key and slice. What
+crosses a slice border, the totals of earlier slices, is one row per key and slice and
+is added by a join that keeps the partitioning. There is one way for keys of any size:
+nothing is counted first, and building the plan runs no job.
+
+A slice is as fine as ``slice_width`` says. Rows of one key and one time stamp stay
+together, ordered by the rest of the order (the log's id); a running frame over them
+needs no memory for more than one row at a time, beyond what the sort spills.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsilt.session import pin
+SLICE_WIDTH = 86_400_000_000   # a day, in microseconds
+BLOCK_ROWS = 4096              # rows per block of ``over_previous_rows``
 
-MAX_KEY_ROWS = 5_000_000   # largest key one window task sorts
-SLICE_ROWS = 1_000_000     # rows per slice beyond that
 
+def _slice(df: DataFrame, column: str, width: int) -> Column:
+    time = dict(df.dtypes)[column].startswith("timestamp")
+    return F.floor((F.unix_micros(column) if time else F.col(column)) / F.lit(width))
 
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest key; one number reaches the driver."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_k``: the key columns as a struct, which is never null and joins nulls too."""
+    return df.withColumn("_k", F.struct(*keys))
 
-def split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of keys with at most ``limit`` rows, and the rows of the larger keys
-    (None where there are none). A limit of 0 treats every key as large."""
-    if not limit:
-        return df.limit(0), df
-    if largest_key(df, keys) <= limit:
-        return df, None
-    large = df.groupBy(*keys).count().filter(F.col("count") > limit)
-    # at most rows / limit keys; written once so that both joins see the same list
-    large = pin(large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
 
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
+                  slice_width: int = SLICE_WIDTH) -> DataFrame:
+    """Adds ``out``: sum of ``value`` over all rows of the key up to this one.
 
-def with_slices(df: DataFrame, order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds ``_pos`` (dense global position in ``order``) and ``_slice``.
-
-    ``order`` must identify a row. Range partitioning places rows by sampled
-    bounds, so the placement is pinned before positions are read from it.
+    ``order`` must identify a row; its first column, a number or time stamp, makes the slices.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = pin(spread.withColumn("_mid", F.monotonically_increasing_id()))
-    # monotonically_increasing_id = partition number << 33 | row number in it
-    placed = placed.withColumns({
-        "_part": F.shiftright("_mid", 33),
-        "_row": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)),
-    })
-    # one row per partition: bounded by the partition count
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_part").count().select(
-        "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    sliced = _keyed(df, keys).withColumn("_slice", _slice(df, order[0], slice_width))
+    before = Window.unboundedPreceding
+    within = Window.partitionBy("_k", "_slice").orderBy(*order).rowsBetween(before, Window.currentRow)
+    earlier = Window.partitionBy("_k").orderBy("_slice").rowsBetween(before, -1)
+    bases = sliced.groupBy("_k", "_slice").agg(F.sum(value).alias("_sum")).select(
+        "_k", "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
     return (
-        placed.join(F.broadcast(starts), "_part")
-        .withColumn("_pos", F.col("_start") + F.col("_row"))
-        .withColumn("_slice", F.floor(F.col("_pos") / F.lit(slice_rows)).cast("long"))
-        .drop("_mid", "_part", "_row", "_start")
+        sliced.withColumn("_local", F.sum(value).over(within)).join(bases, ["_k", "_slice"])
+        .select(*df.columns, (F.col("_local") + F.col("_base")).alias(out))
     )
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                  max_key_rows: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds ``out``: sum of ``value`` over all rows of the key up to this one."""
-    rows = Window.unboundedPreceding, Window.currentRow
-    small, large = split_by_size(df, keys, MAX_KEY_ROWS if max_key_rows is None else max_key_rows)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)
-    plain = small.withColumn(out, F.sum(value).over(w))
-    if large is None:
-        return plain
-    sliced = with_slices(large, [*keys, *order], slice_rows)
-    within = Window.partitionBy("_slice", *keys).orderBy("_pos").rowsBetween(*rows)
-    # one row per key and slice it touches
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        sliced.groupBy("_slice", *keys).agg(F.sum(value).alias("_sum"))
-        .withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-    )
-    local = sliced.withColumn("_local", F.sum(value).over(within))
-    return (
-        local.join(bases, ["_slice", *keys])
-        .withColumn(out, F.col("_local") + F.col("_base"))
-        .select(*plain.columns).unionByName(plain)
-    )
-
+def over_previous_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, columns: dict[str, Column],
+                       slice_width: int = SLICE_WIDTH, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds aggregate ``columns`` over the last ``size`` rows of the key, this one included.
 
-def over_previous_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int,
-                       columns: dict[str, Column], max_key_rows: int | None = None,
-                       slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds aggregate ``columns`` over the last ``size`` rows of the key, this one included."""
-    back = -(size - 1)
-    if slice_rows < size:
-        raise ValueError("slice_rows must be at least the window size")
-    small, large = split_by_size(df, keys, MAX_KEY_ROWS if max_key_rows is None else max_key_rows)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(back, 0)
-    plain = small.withColumns({name: c.over(w) for name, c in columns.items()})
-    if large is None:
-        return plain
-    sliced = with_slices(large, [*keys, *order], slice_rows)
-    # the last rows of a slice are also the context of the next one
-    carried = F.col("_pos") % slice_rows >= slice_rows - (size - 1)
-    own = F.struct(F.col("_slice").alias("n"), F.lit(False).alias("context"))
-    following = F.struct((F.col("_slice") + 1).alias("n"), F.lit(True).alias("context"))
-    spread = sliced.withColumn("_in", F.explode(F.when(carried, F.array(own, following)).otherwise(F.array(own))))
-    w = Window.partitionBy(F.col("_in.n"), *keys).orderBy("_pos").rowsBetween(back, 0)
+    Rows are numbered per key and dealt into blocks of ``block_rows``; the last rows of a
+    block are also the context of the next one.
+    """
+    block_rows = max(block_rows, size)
+    back = size - 1
+    numbered = running_total(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", "_n", slice_width)
+    at = F.col("_n") - 1
+    block = F.floor(at / F.lit(block_rows))
+    place = lambda shift: F.struct((block + shift).alias("block"), F.lit(shift == 1).alias("context"))
+    spread = _keyed(numbered, keys).withColumn("_in", F.explode(
+        F.when(at % block_rows >= block_rows - back, F.array(place(0), place(1))).otherwise(F.array(place(0)))))
+    w = Window.partitionBy("_k", F.col("_in.block")).orderBy("_n").rowsBetween(-back, 0)
     return (
         spread.withColumns({name: c.over(w) for name, c in columns.items()})
-        .filter(~F.col("_in.context"))
-        .select(*plain.columns).unionByName(plain)
+        .filter(~F.col("_in.context")).select(*df.columns, *columns)
     )

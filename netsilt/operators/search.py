@@ -30,7 +30,8 @@ def search_logs(logs: DataFrame, limit: int = 100, offset: int = 0, **filters) -
 
 
 def log_by_id(logs: DataFrame, log_id: str) -> DataFrame:
-    return logs.filter(F.col("log_id") == log_id).limit(1)
+    """The log with the id; of several, the first by time."""
+    return logs.filter(F.col("log_id") == log_id).orderBy("timestamp", "log_id").limit(1)
 
 
 def with_total(rows: DataFrame) -> dict[str, DataFrame]:

@@ -71,14 +71,29 @@ class Analysis:
         return {name: df.count() for name, df in small.items()}
 
     def enriched(self) -> DataFrame:
-        return anomaly.enrich_logs(self.classified, self.tables["anomalies"])
+        """Classified logs with their anomaly scores, as they were where none were made."""
+        return anomaly.enrich_logs(self.classified, self.tables["anomalies"]) if "anomalies" in self.tables else self.classified
+
+    def _table(self, name: str) -> DataFrame:
+        """A result, empty where its analysis was not run."""
+        if name not in self.tables:
+            none, s = self.base.filter("false"), self.settings
+            return {
+                "anomalies": lambda: anomaly.combine_scores(none.withColumns({
+                    "max_z": F.lit(0.0), "metric_factors": F.array().cast("array<string>"), "ml_score": F.lit(0.0),
+                    "burst_ratio": F.lit(1.0), "is_burst": F.lit(False)}), s.anomaly_threshold),
+                "threats": lambda: security.security_incidents(none),
+                "patterns": lambda: patterns.recurring_patterns(none),
+                "maintenance_alerts": lambda: maintenance.maintenance_alerts(
+                    maintenance.device_features(none), F.current_timestamp(), s.alert_threshold, None, s.horizon_hours),
+            }[name]()
+        return self.tables[name]
 
     def report(self, as_of: Column) -> DataFrame:
         """The one-row report. It reads each result several times, so the results
         are kept: anomalies only as far as the report reads them."""
-        t = self.tables
-        flagged = t["anomalies"].filter("is_anomaly").select("source", "is_anomaly", "anomaly_score")
-        inputs = [self._keep(df) for df in (flagged, t["threats"], t["patterns"], t["maintenance_alerts"])]
+        flagged = self._table("anomalies").filter("is_anomaly").select("source", "is_anomaly", "anomaly_score")
+        inputs = [self._keep(df) for df in (flagged, *map(self._table, ("threats", "patterns", "maintenance_alerts")))]
         return report.health_report(self.base, *inputs, as_of)
 
 

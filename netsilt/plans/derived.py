@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsilt.functions.columns import sql_literal
-from netsilt.sources.readers import spread_small
+from netsilt.sources.readers import spread_input
 
 # (description, raw_message) by event_id % 15; {A} = user_id % 10, {B} = event_id % 250
 TEMPLATES = [
@@ -116,4 +116,4 @@ def logs_from_events(ev: DataFrame) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs_from_events(spread_small(events(spark, sf_dir)))
+    return logs_from_events(spread_input(events(spark, sf_dir)))

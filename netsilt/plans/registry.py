@@ -172,14 +172,14 @@ def ioc_logs(spark, sf_dir):
 
 @query
 def ioc_documents(spark, sf_dir):
-    docs = readers.spread_small(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = readers.spread_input(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     found = docs.select("doc_id", X.iocs("text").alias("iocs"))
     return found.select("doc_id", *_ioc_columns(F.col("iocs")))
 
 
 @query
 def ioc_pages(spark, sf_dir):
-    pages = readers.spread_small(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    pages = readers.spread_input(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
     found = pages.select("page_id", X.iocs("html").alias("iocs"))
     return found.select("page_id", *_ioc_columns(F.col("iocs")))
 
@@ -472,7 +472,17 @@ def syslog_parse(spark, sf_dir):
     lines = rows.select(F.concat(F.lit("<"), (F.col("n") % 8 + 128).cast("string"), F.lit(">"), "raw_message")
                         .alias("message"))
     return parse_syslog(lines, "message", F.lit("file")).select(
-        "log_id", "source_ip", "platform", "component", "severity", "description", "raw_message")
+        "source_ip", "platform", "component", "severity", "description", "raw_message")
+
+
+@query
+def enriched_syslog(spark, sf_dir):
+    """Lines of which many are equal, classified, scored and joined: every line is one log."""
+    rows = _source_rows(spark, sf_dir)
+    logs = parse_syslog(rows, "raw_message", F.lit("file"))
+    classified = kept(C.classify(logs).withColumn("timestamp", F.lit("2024-01-01").cast("timestamp")))
+    rich = A.enrich_logs(classified, A.anomaly_scores(classified, burst_window=BURST_WINDOW))
+    return rich.groupBy("category").agg(F.count("*").alias("logs"), F.count_distinct("log_id").alias("ids"))
 
 
 def _record(shape: int):
@@ -511,7 +521,7 @@ def normalise_rest(spark, sf_dir):
                .when(shape == 1, F.concat(F.lit('{"results":['), item, F.lit("]}")))
                .otherwise(F.concat(F.lit('{"logs":['), item, F.lit(","), item, F.lit("]}"))))
     payloads = _records(spark, sf_dir).select(payload.alias("payload"))
-    return _raw_columns(payload_sources.normalise(payloads, "rest", default_source="http://nms"), "log_id")
+    return _raw_columns(payload_sources.normalise(payloads, "rest", default_source="http://nms"))
 
 
 def _solarwinds(spark, sf_dir):
@@ -532,7 +542,7 @@ def solarwinds_last_day(spark, sf_dir):
     """Events of the 24 hours before a point in time, newest first, as the system's own query gives them."""
     now = F.lit("2024-01-31 00:00:00").cast("timestamp")
     logs = payload_sources.normalise(_solarwinds(spark, sf_dir), "solarwinds", as_of=now)
-    return logs.orderBy(F.desc("timestamp"), "log_id").select("log_id", plain_time("timestamp"), "source", "description")
+    return logs.orderBy(F.desc("timestamp"), "source", "description").select(plain_time("timestamp"), "source", "description")
 
 
 @query
@@ -638,11 +648,10 @@ def failure_alerts(spark, sf_dir):
 
 
 def _log_stream(spark, sf_dir):
-    """The derived logs as a file stream over the events table (one file, hence
-    one split, so rows are spread before the patterns run)."""
+    """The derived logs as a file stream over the events table, one file or many."""
     schema = derived.events(spark, sf_dir).schema
-    landed = ingest.table_stream(spark, sf_dir, schema, "events.parquet")
-    return derived.logs_from_events(landed.repartition(spark.sparkContext.defaultParallelism))
+    landed = ingest.table_stream(spark, f"{sf_dir}/events.parquet", schema)
+    return derived.logs_from_events(readers.spread_input(landed))
 
 
 def _finished(running):

@@ -6,6 +6,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting: deal the rows of an input into so many parts before patterns run. For
+#: small files of one row group only, as in tests and the bench; unset, no input is shuffled.
+SPREAD_SETTING = "spark.netsilt.inputPartitions"
+
 
 def local_session(cores: int | str = "*", app: str = "netsilt", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench. A cluster brings its own settings."""
@@ -21,6 +25,7 @@ def local_session(cores: int | str = "*", app: str = "netsilt", shuffle_partitio
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.codegen.cache.maxEntries", "1000")
+        .config(SPREAD_SETTING, str(shuffle_partitions))
         .getOrCreate()
     )
 

@@ -16,8 +16,6 @@ from netsilt.functions.columns import lookup
 from netsilt.schema import JSON_RECORD, RAW_LOG
 from netsilt.sources.readers import metrics_map, time_or_arrival, with_defaults
 
-BATCH_SIZE = 500  # items one call to a monitoring system returns
-
 _SOLARWINDS = "EventTime string, NetObjectID string, NetObjectType string, Message string"
 _ZABBIX = "clock string, hosts array<struct<host:string>>, severity string, name string"
 
@@ -31,11 +29,12 @@ def _items(payload: Column) -> Column:
     return F.coalesce(whole, part("results"), part("logs"), part("result"))
 
 
-def normalise_rest(payloads: DataFrame, default_source: str | Column = "", batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Generic REST responses; at most ``batch_size`` items are taken of each."""
+def normalise_rest(payloads: DataFrame, default_source: str | Column = "", batch_size: int | None = None) -> DataFrame:
+    """Generic REST responses: all items, or with ``batch_size`` the first so many of each."""
     base = default_source if isinstance(default_source, Column) else F.lit(default_source)
+    texts = _items(F.col("payload"))
     items = payloads.select(
-        base.alias("base"), F.explode(F.slice(_items(F.col("payload")), 1, batch_size)).alias("record_text"))
+        base.alias("base"), F.explode(F.slice(texts, 1, batch_size) if batch_size else texts).alias("record_text"))
     rows = items.withColumn("r", F.from_json("record_text", JSON_RECORD))
     return with_defaults(rows.select(
         F.coalesce("r.source", "base").alias("source"),

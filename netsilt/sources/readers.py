@@ -10,22 +10,42 @@ from pyspark.sql import functions as F
 from netsilt.functions.columns import surrogate_id
 from netsilt.functions.text import parse_timestamp
 from netsilt.schema import JSON_RECORD, RAW_LOG
+from netsilt.session import SPREAD_SETTING
 from netsilt.sources.syslog import parse_syslog
 
 
-MAX_SPREAD = 32  # tasks made of one file split at most
+def spread_input(df: DataFrame) -> DataFrame:
+    """Deal the rows into as many parts as the session asks for (``SPREAD_SETTING``).
 
+    The log projections are CPU-bound (patterns over every message), so a small
+    file in one row group would keep one core busy. Large tables need none of this
+    and the setting is unset for them: file splits decide.
+    """
+    parts = df.sparkSession.conf.get(SPREAD_SETTING, None)
+    return df.repartition(int(parts)) if parts else df
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a scan of few file splits over all cores.
 
-    The log projections are CPU-bound (patterns over every message), so a small
-    file in one row group would keep one core busy. Scans with at least one split
-    per core, as on any large table, are left as they are.
+def positioned(texts: DataFrame) -> DataFrame:
+    """Adds ``_at``, the place of a file's record: equal records have different ones.
+
+    Batch: file, split and row, the same each time the same files are read with the same
+    settings. Streams have no row numbers, so a record gets a random id when it lands.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(min(cores, max(splits, 1) * MAX_SPREAD)) if splits < cores else df
+    if texts.isStreaming:
+        return texts.withColumn("_at", F.uuid())
+    return texts.withColumn("_at", F.concat_ws(
+        ":", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().cast("string")))
+
+
+def _place(df: DataFrame) -> Column:
+    """What tells equal records apart: the place of a file's record, else the row's number."""
+    if "_at" in df.columns:
+        return F.col("_at")
+    return F.uuid() if df.isStreaming else F.monotonically_increasing_id().cast("string")
+
+
+def _kept_place(df: DataFrame) -> list[str]:
+    return ["_at"] if "_at" in df.columns else []
 
 
 def metrics_map(metrics: str | Column) -> Column:
@@ -50,8 +70,9 @@ def with_defaults(records: DataFrame, collected_at: datetime | Column | None = N
     """Complete any frame of log fields to the raw log schema.
 
     Absent columns and nulls take the record defaults, but a time stamp that could
-    not be read stays null. A missing id becomes a digest of the record, so the
-    same record keeps its id when read again.
+    not be read stays null. A missing id becomes a digest of the record and its place
+    in the input, so equal records are different logs; read again from the same files,
+    a record keeps its id. Store the logs and go on from the table where inputs may change.
     """
     now = _now(collected_at)
     have = set(records.columns)
@@ -59,7 +80,7 @@ def with_defaults(records: DataFrame, collected_at: datetime | Column | None = N
     identity = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
                 ("timestamp", "source", "severity", "description", "raw_message") if c in have]
     cols = {
-        "log_id": surrogate_id("LOG", *identity) if identity else F.lit("LOG-"),
+        "log_id": surrogate_id("LOG", *identity, _place(records)),
         "timestamp": F.col("timestamp") if "timestamp" in have else now,
         "severity": field("severity", "INFO"),
         "metrics": F.coalesce("metrics", F.create_map().cast("map<string,double>")) if "metrics" in have
@@ -78,11 +99,11 @@ def with_defaults(records: DataFrame, collected_at: datetime | Column | None = N
 
 
 def with_ids(logs: DataFrame) -> DataFrame:
-    """Fill empty ids with a digest of the record: scores are joined to logs by id."""
+    """Fill empty ids with a digest of the record and its row: scores are joined to logs by id."""
     identity = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
                 ("timestamp", "source", "severity", "description", "raw_message")]
     return logs.withColumn(
-        "log_id", F.coalesce(F.nullif(F.col("log_id"), F.lit("")), surrogate_id("LOG", *identity)))
+        "log_id", F.coalesce(F.nullif(F.col("log_id"), F.lit("")), surrogate_id("LOG", *identity, _place(logs))))
 
 
 def json_logs(records: DataFrame, collected_at: datetime | Column | None = None) -> DataFrame:
@@ -102,7 +123,7 @@ def json_logs(records: DataFrame, collected_at: datetime | Column | None = None)
         F.upper(F.coalesce("severity", F.lit("INFO"))).alias("severity"),
         F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce("raw_message", "record_text").alias("raw_message"),
-        metrics_map("metrics").alias("metrics"),
+        metrics_map("metrics").alias("metrics"), *_kept_place(records),
     ), collected_at)
 
 
@@ -129,7 +150,8 @@ def with_record(texts: DataFrame, text_column: str) -> DataFrame:
     """Parse one JSON record per row; keeps the text as ``record_text``."""
     return texts.select(
         F.col(text_column).alias("record_text"), F.from_json(text_column, JSON_RECORD).alias("r"),
-    ).select("record_text", "r.*")
+        *_kept_place(texts),
+    ).select("record_text", "r.*", *_kept_place(texts))
 
 
 def read_json_logs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -139,20 +161,20 @@ def read_json_logs(spark: SparkSession, path: str, multi_line: bool = False) ->
     array is read by one task.
     """
     if multi_line:
-        rows = spark.read.schema(JSON_RECORD).option("multiLine", True).json(path)
-        text = F.to_json(F.struct(*[c for c in rows.columns]))
-        return json_logs(rows.withColumn("record_text", text))
-    return json_logs(with_record(spark.read.text(path).filter(F.trim("value") != ""), "value"))
+        # each record as its own text, fields we do not know included
+        items = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+        return json_logs(with_record(items, "value"))
+    return json_logs(with_record(positioned(spark.read.text(path)).filter(F.trim("value") != ""), "value"))
 
 
 def read_syslog_logs(spark: SparkSession, path: str) -> DataFrame:
     """Text file with one syslog message per line; blank lines are dropped."""
-    return syslog_lines(spark.read.text(path))
+    return syslog_lines(positioned(spark.read.text(path)))
 
 
 def syslog_lines(texts: DataFrame) -> DataFrame:
     """Raw logs of text lines (column ``value``), white space around them removed."""
-    lines = texts.select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("message"))
+    lines = texts.select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("message"), *_kept_place(texts))
     return parse_syslog(lines.filter(F.col("message") != ""), "message", F.lit("file"))
 
 

@@ -21,16 +21,17 @@ def run_folder(spark: SparkSession) -> str:
 
 def json_log_stream(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines files landing in a folder, as raw logs."""
-    return readers.json_logs(readers.with_record(spark.readStream.text(path), "value"))
+    return readers.json_logs(readers.with_record(readers.positioned(spark.readStream.text(path)), "value"))
 
 
 def syslog_stream(spark: SparkSession, path: str) -> DataFrame:
     """Syslog text files landing in a folder, as raw logs."""
-    return readers.syslog_lines(spark.readStream.text(path))
+    return readers.syslog_lines(readers.positioned(spark.readStream.text(path)))
 
 
-def table_stream(spark: SparkSession, folder: str, schema, file_name: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_name).parquet(folder)
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table as a stream of its files: a folder of part files or a single file."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def start_available(stream: DataFrame, each: Handler, checkpoint: str, mode: str = "append") -> StreamingQuery:

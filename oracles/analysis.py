@@ -10,7 +10,7 @@ SQL: dict[str, str] = {}
 
 
 def short_id(prefix: str, key: str) -> str:
-    return f"'{prefix}-' || upper(substr(md5({key}), 1, 8))"
+    return f"'{prefix}-' || upper(md5({key}))"
 
 
 def list_case(expr: str, mapping: dict, default: list) -> str:

@@ -155,9 +155,12 @@ SQL["syslog_parse"] = with_ctes(LOGS, f"""
 messages AS (SELECT event_id, '<' || (event_id % 8 + 128) || '>' || raw_message AS message FROM logs),
 parsed AS (SELECT *, {_SEVERITY} AS severity, {_COMPONENT} AS component, substr(message, 1, 200) AS description FROM messages)""",
     select=f"""
-SELECT {short_id('LOG', "severity || '|' || description || '|' || message")} AS log_id, 'file' AS source_ip, 'syslog' AS platform,
+SELECT 'file' AS source_ip, 'syslog' AS platform,
   component, severity, description, message AS raw_message FROM parsed""")
 
+SQL["enriched_syslog"] = with_ctes(LOGS, CLASSIFIED.replace("FROM logs", "FROM (SELECT * REPLACE (substr(raw_message, 1, 200) AS description) FROM logs)"), select="""
+SELECT category, count(*) AS logs, count(DISTINCT log_id) AS ids FROM classified GROUP BY category""")
+
 _RECORDS = """
 records AS (
   SELECT *, mem::INTEGER AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS sec FROM logs
@@ -193,7 +196,7 @@ _REST = "(SELECT * FROM shaped UNION ALL SELECT * FROM shaped WHERE event_id % 3
 SQL["normalise_rest"] = with_ctes(LOGS, _RECORDS, f"rest AS (SELECT event_id, " + _raw(
     "'api'", f"CASE WHEN {_FULL} THEN 'BGP' ELSE 'UNKNOWN' END", f"CASE WHEN {_FULL} THEN severity ELSE 'INFO' END",
     "description", "record") + f" FROM {_REST})", select=f"""
-SELECT * EXCLUDE (event_id), {short_id('LOG', "source || '|' || severity || '|' || description || '|' || raw_message")} AS log_id FROM rest""")
+SELECT * EXCLUDE (event_id) FROM rest""")
 _SW = """
 sw AS (
   SELECT *, json_object('EventTime', strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'NetObjectID', source, 'NetObjectType', 'Interface',
@@ -203,8 +206,7 @@ SQL["normalise_solarwinds"] = with_ctes(LOGS, _SW, select="""
 SELECT source, 'nms_solarwinds' AS platform, 'Interface' AS component, '' AS version, 'INFO' AS severity, description,
   item AS raw_message, '' AS metrics, at_second AS "timestamp" FROM sw""")
 SQL["solarwinds_last_day"] = with_ctes(LOGS, _SW, select=f"""
-SELECT {short_id('LOG', "strftime(at_second, '%Y-%m-%d %H:%M:%S') || '|' || source || '|' || description || '|' || item")} AS log_id,
-  at_second AS "timestamp", source, description FROM sw
+SELECT at_second AS "timestamp", source, description FROM sw
 WHERE at_second > TIMESTAMP '2024-01-30'""")
 _Z = case_of("(event_id % 7)", rules.ZABBIX_SEVERITY, "'INFO'")
 SQL["normalise_zabbix"] = with_ctes(LOGS, f"""

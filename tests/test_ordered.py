@@ -1,4 +1,4 @@
-"""Ordered operators: plain and sliced ways agree, and agree with brute force."""
+"""Ordered operators agree with brute force, whatever the slices."""
 
 import random
 from collections import defaultdict
@@ -46,25 +46,26 @@ def table(df, key, *cols):
     return {tuple(r[k] for k in key): tuple(r[c] for c in cols) for r in df.collect()}
 
 
-@pytest.mark.parametrize("limit", [None, 0, 100])  # no large key, all large, one large
-def test_running_total(spark, limit):
+@pytest.mark.parametrize("width", [1, 7, 1000])  # each number alone, some, all in one slice
+def test_running_total(spark, width):
     rng = random.Random(1)
-    data = [("a" if i % 3 else f"k{i % 7}", rng.randrange(50), i, rng.randrange(10)) for i in range(500)]
+    data = [("a" if i % 3 else None if i % 7 == 1 else f"k{i % 7}", rng.randrange(-20, 50), i, rng.randrange(10)) for i in range(500)]
     df = spark.createDataFrame(data, "k string, x int, id int, v long").repartition(6)
-    out = running_total(df, ["k"], ["x", "id"], "v", "total", limit, 40)
+    out = running_total(df, ["k"], ["x", "id"], "v", "total", width)
+    assert out.columns == [*df.columns, "total"]
     want, sums = {}, defaultdict(int)
-    for k, x, i, v in sorted(data, key=lambda r: (r[0], r[1], r[2])):
+    for k, x, i, v in sorted(data, key=lambda r: (r[1], r[2])):
         sums[k] += v
         want[(i,)] = (sums[k],)
     assert table(out, ["id"], "total") == want
 
 
-@pytest.mark.parametrize("slice_rows,limit", [(20, 0), (33, 100), (1000, 0)])
-def test_previous_rows(spark, slice_rows, limit):
+@pytest.mark.parametrize("block,width", [(20, 1), (33, 9), (1000, 1000)])
+def test_previous_rows(spark, block, width):
     rng = random.Random(2)
     data = [("a" if i % 3 else f"k{i % 7}", rng.randrange(50), i, float(rng.randrange(10))) for i in range(500)]
     df = spark.createDataFrame(data, "k string, x int, id int, v double").repartition(6)
-    out = over_previous_rows(df, ["k"], ["x", "id"], 20, {"n": F.count("v"), "s": F.sum("v")}, limit, slice_rows)
+    out = over_previous_rows(df, ["k"], ["x", "id"], 20, {"n": F.count("v"), "s": F.sum("v")}, width, block)
     want, seen = {}, defaultdict(list)
     for k, x, i, v in sorted(data, key=lambda r: (r[0], r[1], r[2])):
         seen[k].append(v)
@@ -72,7 +73,8 @@ def test_previous_rows(spark, slice_rows, limit):
     assert table(out, ["id"], "n", "s") == want
 
 
-SLICED = {"max_key_rows": 100, "slice_rows": 128}
+MINUTE = 60_000_000
+SLICED = {"slice_width": 90 * MINUTE, "block_rows": 128}
 
 
 @pytest.mark.parametrize("options", [{}, SLICED])
@@ -90,7 +92,7 @@ def test_zscores(logs, rows, options):
             assert n_got == len(last) and z_got == pytest.approx(z, abs=1e-9)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_key_rows": 200, "slice_rows": 50}])
+@pytest.mark.parametrize("options", [{}, {"slice_width": 20 * MINUTE}])
 def test_bursts(logs, rows, options):
     window = timedelta(minutes=30)
     got = table(anomaly.burst_ratio(logs, "source", window, **options), ["log_id"], "current_count", "burst_ratio", "is_burst")
@@ -107,7 +109,7 @@ def test_bursts(logs, rows, options):
     assert any(v[2] for v in got.values())
 
 
-@pytest.mark.parametrize("options", [{}, {"max_key_rows": 0, "slice_rows": 60}])
+@pytest.mark.parametrize("options", [{}, {"slice_width": 45 * MINUTE}])
 def test_cascades(logs, rows, options, monkeypatch):
     monkeypatch.setattr(cascade, "EDGE_BLOCK", 7)
     from netsilt.rules import CASCADE_RULES
@@ -136,3 +138,19 @@ def test_cascades(logs, rows, options, monkeypatch):
         sources[r["correlation_id"]].add(r["source"])
     assert sorted(map(sorted, sources.values())) == sorted(sorted(v[5]) for v in want.values())
     edges.unpersist()
+
+
+def test_building_a_plan_runs_no_job(spark, logs):
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
+    anomaly.anomaly_scores(logs)
+    cascade.cascade_correlations(logs)
+    assert not status.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_logs_without_a_time_stay_out(spark):
+    rows = [raw_row(f"L{i}", "d", "api", "INFO", "x", "y", 10 + i, 1, 1, T0 + timedelta(minutes=i)) for i in range(12)]
+    lost = raw_row("LOST", "d", "api", "INFO", "x", "y", 99, 1, 1, None)
+    out = anomaly.rolling_zscore(spark.createDataFrame([*rows, lost], RAW_LOG)).filter("metric = 'cpu_usage'").collect()
+    assert len(out) == 12 and max(r["samples"] for r in out) == 12

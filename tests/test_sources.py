@@ -97,7 +97,7 @@ def test_store_and_search(spark, five_classified, tmp_path):
     assert logs.count() == 5
     found = search.search_logs(logs, limit=1, offset=1, category="security", severity="critical", source="PROBE")
     assert found["total"].first()["total"] == 1 and found["logs"].count() == 0
-    assert search.log_by_id(logs, "LOG-003").first()["category"] == "HARDWARE"
+    assert search.log_by_id(logs, "LOG-103").first()["category"] == "HARDWARE"
     out = analysis.analyse_classified(logs, analysis.at("2025-09-02 00:00:00"))
     for _ in range(2):  # replacing is repeatable
         sinks.replace_results(store, security_threats=out.tables["threats"], anomaly_results=out.tables["anomalies"])
@@ -123,3 +123,28 @@ def test_whole_run_reuses_base(spark, five):
     out.report(analysis.at("2025-09-02 00:00:00")).collect()
     out.release()
     assert not out.base.is_cached and not out.kept
+
+
+def test_equal_lines_are_different_logs(spark, tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("<34>same line\n" * 3 + "<34>other\n" * 4)
+    logs = readers.read_logs(spark, str(path))
+    ids = [r["log_id"] for r in logs.collect()]
+    assert len(set(ids)) == len(ids) == 7 and ids == [r["log_id"] for r in logs.select("log_id").collect()]
+    frame = spark.createDataFrame([("same",)] * 5, "message string")
+    from netsilt.sources.syslog import parse_syslog
+    assert parse_syslog(frame, "message", F.lit("x")).select("log_id").distinct().count() == 5
+
+
+def test_array_file_keeps_unknown_fields(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text('[{"note": "port scan seen"}, {"severity": "error", "x": 1}]')
+    assert sorted(r["raw_message"] for r in readers.read_logs(spark, str(path)).collect()) == [
+        '{"note":"port scan seen"}', '{"severity":"error","x":1}']
+
+
+def test_all_items_of_a_response(spark):
+    payload = "[" + ",".join('{"source": "s%d"}' % k for k in range(600)) + "]"
+    df = spark.createDataFrame([(payload,)], "payload string")
+    assert payloads.normalise(df, "rest").count() == 600
+    assert payloads.normalise(df, "rest", batch_size=500).count() == 500
