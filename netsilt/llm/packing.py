@@ -29,7 +29,7 @@ from netsilt.llm.common import as_bytes, fixed, pieces, record, share, some_rows
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 512
 BLOCK_PIECES = 4096         # rests one task packs together
-CACHE_WORDS = 200_000       # encoded words a worker keeps
+CACHE_WORDS = 300_000       # encoded words in each of a worker's two generations
 SLACK_CUT = 64              # a gap of this many tokens or more is filled by cutting an example
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("loss", pa.int64()),
@@ -37,26 +37,61 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 PIECES = "doc_id long, start long, length long, loss long, doc_tokens long, ids binary"
 
 
+def _letters_of_bytes() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand
+    for themselves, the others for the letters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class Encoder(dict):
-    """Bytes of a word -> its ids as little-endian 32-bit bytes. The vocabulary drops
-    white space and never joins over it, so a text's ids are its words' ids in a row."""
+    """Bytes of a lower-cased word -> its ids as little-endian 32-bit bytes.
+
+    The vocabulary lower-cases, drops white space and never joins over it, nor between
+    a letter and punctuation, so a text's ids are those of its words in a row, and a
+    word's those of its stem and of the punctuation that ends it. A stem of letters
+    goes straight to the merges; anything odd goes through the whole tokenizer. Words
+    met lately are kept in two generations.
+    """
+
+    PUNCTUATION = b".,;:!?|*#&%$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _letters_of_bytes()
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes()
+        out = self.old.get(word)
+        if out is None:
+            stem = word.rstrip(self.PUNCTUATION)
+            if len(stem) < len(word) and stem[-1:].isalpha():
+                out = self[stem] + self[word[len(stem):]]
+            else:
+                out = np.array(self._encode(word), dtype="<u4").tobytes()
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
         if len(word) < 64:
             self[word] = out
         return out
 
+    def _encode(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8", "replace")
+        # letters below U+0250 that are lower-cased and composed already: one token to merge
+        if text.isalpha() and max(text) < "\u0250" and text.lower() == text:
+            return [t.id for t in self.merge("".join([self.letters[b] for b in word]))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: bytes) -> bytes:
-        return b"".join([b"".join(map(self.__getitem__, part.split())) for part in pieces(text)])
+        if b"<|" in text:   # may hold a special token, which is not lower-cased
+            return b"".join([np.array(self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
+                             .tobytes() for part in pieces(text)])
+        return b"".join([b"".join(map(self.__getitem__, part.lower().split())) for part in pieces(text)])
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = MAX_TOKENS,

@@ -20,8 +20,10 @@ def ids_of(text):
 
 def test_words_make_the_ids_of_the_text():
     encoder = P.Encoder(TOKENIZER)
+    assert "".join(encoder.letters[:3]) == "\u0100\u0101\u0102" and encoder.letters[65] == "A"
     for text in ("Hello  World, it's 3.5!", "Été\tnaïve ΣΑΣ İx", "<|endoftext|> a<|startoftext|>b", " a b\x85c\x1cd",
-                 "é ñ", "你好 😀😀", "", "don't WE'LL"):
+                 "é ñ", "你好 😀😀", "", "don't WE'LL",
+                 "erst, Erst. \u00c9T\u00c9. 1, *, a',. x!?|y|. \u00b5. \u00df, \u017f \u0149a \u01c5, \u00aa. a\u2026, \u0130. \ufb01,", "K\u212a \u212b e\u0301. \u0390"):
         assert np.array_equal(np.frombuffer(encoder.ids(text.encode()) + b"\1\0\0\0", dtype="<u4"), ids_of(text)), text
 
 
