@@ -30,8 +30,12 @@ def syslog_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table as a stream of its files: a folder of part files or a single file."""
-    return spark.readStream.schema(schema).parquet(path)
+    """A table as a stream of its files: a folder of part files or a single file.
+
+    A plain path must be a folder, a pattern need not; so the last letter becomes one.
+    """
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def start_available(stream: DataFrame, each: Handler, checkpoint: str, mode: str = "append") -> StreamingQuery:
