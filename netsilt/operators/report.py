@@ -28,6 +28,12 @@ def log_counters(classified: DataFrame) -> DataFrame:
     return counted.select(dimension.alias("dimension"), F.coalesce(*dims).alias("key"), "count")
 
 
+def source_counters(logs: DataFrame) -> DataFrame:
+    """The counters by source alone; raw logs do, no pattern is matched for them."""
+    return logs.groupBy(F.col("source").alias("key")).agg(F.count("*").alias("count")).select(
+        F.lit("source").alias("dimension"), "key", "count")
+
+
 def top_sources(counters: DataFrame, n: int = TOP_SOURCES) -> DataFrame:
     return counters.filter("dimension = 'source'").orderBy(F.desc("count"), "key").limit(n)
 

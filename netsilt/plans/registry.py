@@ -347,7 +347,7 @@ def log_counters(spark, sf_dir):
 
 @query
 def top_sources(spark, sf_dir):
-    return R.top_sources(R.log_counters(classified_logs_of(spark, sf_dir))).select("key", "count")
+    return R.top_sources(R.source_counters(derived.logs(spark, sf_dir))).select("key", "count")
 
 
 @query

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tests.conftest import raw_row
 from netsilt.operators import anomaly, cascade, classify
-from netsilt.operators.ordered import over_previous_rows, running_total
+from netsilt.operators.ordered import over_previous_rows, running, running_total
 from netsilt.schema import RAW_LOG
 from pyspark.sql import functions as F
 
@@ -60,6 +60,22 @@ def test_running_total(spark, width):
     assert table(out, ["id"], "total") == want
 
 
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_last_and_following(spark, width):
+    rng = random.Random(3)
+    data = [(f"k{i % 3}", rng.randrange(60), i, i if rng.random() < 0.2 else None) for i in range(300)]
+    out = running(spark.createDataFrame(data, "k string, x int, id int, v int").repartition(5), ["k"], ["x", "id"],
+                  last={"before": "v"}, following={"after": "v"}, slice_width=width)
+    want = {}
+    for key in ("k0", "k1", "k2"):
+        mine = sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2]))
+        for i, r in enumerate(mine):
+            before = [s[3] for s in mine[:i + 1] if s[3] is not None]
+            after = [s[3] for s in mine[i:] if s[3] is not None]
+            want[(r[2],)] = (before[-1] if before else None, after[0] if after else None)
+    assert table(out, ["id"], "before", "after") == want
+
+
 @pytest.mark.parametrize("block,width", [(20, 1), (33, 9), (1000, 1000)])
 def test_previous_rows(spark, block, width):
     rng = random.Random(2)
