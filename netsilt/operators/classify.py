@@ -6,6 +6,8 @@ matched rule and threat are computed once per row, whatever is filtered later.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ def with_text(logs: DataFrame) -> DataFrame:
     return logs.withColumn("_text", X.search_text()).withColumn("_lower", F.lower("_text"))
 
 
-def log_features(logs: DataFrame) -> DataFrame:
-    """log_id plus the 27 numeric features of a log."""
+def feature_columns() -> dict[str, Column]:
+    """The 27 numeric features of a log with ``_lower`` (see ``with_text``), by name."""
     flag = lambda c: c.cast("int")
     cols = {"severity_num": severity_rank(rules.FEATURE_SEVERITY_RANK)}
     for name, words in rules.COMPONENT_KEYWORDS.items():
@@ -53,7 +55,12 @@ def log_features(logs: DataFrame) -> DataFrame:
     cols["has_ip_address"] = flag(F.col("_lower").rlike(X.rx(rules.IPV4_LOOSE)))
     cols["has_percent_code"] = flag(raw.contains("%"))
     cols["has_port_number"] = flag(F.col("_lower").rlike(X.rx(rules.PORT_PRESENT)))
-    return with_text(logs).select("log_id", *[cols[name].alias(name) for name in FEATURES])
+    return {name: cols[name] for name in FEATURES}
+
+
+def log_features(logs: DataFrame) -> DataFrame:
+    """log_id plus the 27 numeric features of a log."""
+    return with_text(logs).select("log_id", *[c.alias(name) for name, c in feature_columns().items()])
 
 
 def with_rule(logs: DataFrame) -> DataFrame:
@@ -119,15 +126,23 @@ def recommended_action(category: Column, subcategory: Column, threat_type: Colum
     )
 
 
-def classify(logs: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+def classify(logs: DataFrame, predictions: DataFrame | None = None,
+             answer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Raw logs to classified logs.
 
-    ``predictions`` (log_id, category, confidence, method) comes from a trained
-    model; logs without a prediction, and all logs when it is absent, take the
-    rule's answer. The subcategory always comes from the rules.
+    A trained model's answers come as ``answer`` (``log_classifier.answering``), which adds
+    them row by row and so works on streams too, or as a table ``predictions`` (log_id,
+    category, confidence, method). Logs without one take the rule's answer. The
+    subcategory always comes from the rules.
     """
     ruled = with_rule(with_text(logs))
-    if predictions is None:
+    if answer is not None:
+        judged = answer(ruled).withColumns({
+            "category": F.coalesce("_ml_category", "rule_category"),
+            "_confidence": F.coalesce("_ml_confidence", "rule_confidence"),
+            "_method": F.when(F.col("_ml_category").isNull(), F.lit("rule")).otherwise(F.lit("ml")),
+        })
+    elif predictions is None:
         judged = ruled.withColumns({
             "category": F.col("rule_category"),
             "_confidence": F.col("rule_confidence"),

@@ -158,6 +158,16 @@ def incident_logs(classified: DataFrame) -> DataFrame:
         surrogate_id("THR", "_first.log_id").alias("threat_id"), "log_id")
 
 
+def incident_addresses(classified: DataFrame) -> DataFrame:
+    """(threat_id, ip): all addresses in the logs of each incident; the incident itself lists
+    the first few."""
+    logs = _keyed(classified).select("threat_type", "origin", "timestamp", "log_id", F.col("_iocs.ips").alias("ips"))
+    ids = logs.groupBy("threat_type", "origin").agg(F.min(F.struct("timestamp", "log_id")).alias("_first"))
+    found = logs.select("threat_type", "origin", F.explode("ips").alias("ip")).distinct()
+    return found.join(ids, ["threat_type", "origin"]).select(
+        surrogate_id("THR", "_first.log_id").alias("threat_id"), "ip")
+
+
 def threats_by_score(threats: DataFrame) -> DataFrame:
     return threats.orderBy(F.desc("score"), "threat_id")
 

@@ -26,7 +26,7 @@ from netsilt.operators import security as S
 from netsilt.plans import analysis as plan
 from netsilt.plans import derived
 from netsilt.sources import payloads as payload_sources
-from netsilt.sources import readers
+from netsilt.sources import readers, sinks
 from netsilt.sources.syslog import parse_syslog
 from netsilt.streaming import carried, ingest, windows
 
@@ -485,6 +485,51 @@ def enriched_syslog(spark, sf_dir):
     return rich.groupBy("category").agg(F.count("*").alias("logs"), F.count_distinct("log_id").alias("ids"))
 
 
+def _landed(rows: DataFrame, name: str) -> str:
+    """Write one text column to the shared folder, a line per row."""
+    folder = f"{ingest.run_folder(rows.sparkSession)}/{name}"
+    rows.write.text(folder)
+    return folder
+
+
+@query
+def read_syslog_files(spark, sf_dir):
+    """Syslog text written to files and read back by the file reader."""
+    rows = _source_rows(spark, sf_dir)
+    lines = rows.select(F.concat(F.lit("<"), (F.col("n") % 8 + 128).cast("string"), F.lit(">"), "raw_message").alias("value"))
+    logs = readers.read_logs(spark, _landed(lines, "syslog"), "syslog")
+    return logs.select("source_ip", "platform", "component", "severity", "description", "raw_message")
+
+
+@query
+def read_json_files(spark, sf_dir):
+    """JSON lines written to files and read back by the file reader."""
+    logs = readers.read_logs(spark, _landed(_records(spark, sf_dir).select("record"), "json"), "jsonl")
+    return _raw_columns(logs, "source_ip", F.when(F.col("component") == "BGP", F.col("log_id")).alias("log_id"))
+
+
+@query
+def stored_logs(spark, sf_dir):
+    """Classified logs appended to the day-partitioned table and read back."""
+    store = f"{ingest.run_folder(spark)}/store"
+    sinks.append_logs(classified_logs_of(spark, sf_dir), store)
+    return sinks.read_table(spark, store, "classified_logs").select(
+        "log_id", "category", "subcategory", "severity", "security_threat", "threat_type", "threat_score", "recommended_action")
+
+
+@query
+def threat_view(spark, sf_dir):
+    """Totals and summary of the threat endpoint."""
+    view = Q.threat_view(S.security_incidents(threat_candidates(spark, sf_dir)))
+    total = view["total"].select(F.lit("listed").alias("kind"), F.lit("").alias("key"), F.col("total").alias("count"))
+    return view["summary"].select("kind", "key", "count").unionByName(total)
+
+
+@query
+def incident_addresses(spark, sf_dir):
+    return S.incident_addresses(threat_candidates(spark, sf_dir))
+
+
 def _record(shape: int):
     """JSON records of two shapes: all fields, and few fields."""
     metrics = F.struct(F.col("k").alias("cpu_usage"))
@@ -596,8 +641,7 @@ def classifier_train(spark, sf_dir):
 @query
 def classifier_predict(spark, sf_dir):
     logs = derived.logs(spark, sf_dir)
-    predictions = LC.predict(logs, _trained(spark, sf_dir, folds=2).model)
-    return C.classify(logs, predictions).select(
+    return C.classify(logs, answer=LC.answering(_trained(spark, sf_dir, folds=2).model)).select(
         "log_id", "category", "subcategory", "classification_confidence", "classification_method")
 
 

@@ -361,3 +361,8 @@ SQL["maintenance_alerts"] = with_ctes(LOGS, ALERTS, select=f"""
 SELECT alert_id, device, failure_probability, predicted_failure_type, time_horizon_hours, confidence, risk_level,
   CASE WHEN len(signals) = 0 THEN {q(rules.DEFAULT_SIGNAL)} ELSE {text_of('signals')} END AS contributing_signals,
   {text_of('actions')} AS recommended_actions, maintenance_window, created_at FROM alerts""")
+SQL["incident_addresses"] = with_ctes(LOGS, CLASSIFIED, THREATS, select=f"""
+SELECT {short_id('THR', 'f.log_id')} AS threat_id, a.ip FROM addresses a
+JOIN ranked f ON f.nth = 1 AND f.threat_type = a.threat_type AND f.origin = a.origin""")
+SQL["threat_view"] = with_ctes(LOGS, CLASSIFIED, THREATS, THREAT_SUMMARY, select="""
+SELECT kind, key, count FROM summary UNION ALL SELECT 'listed', '', count(*) FROM threats""")

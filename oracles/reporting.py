@@ -224,3 +224,5 @@ merged AS (
   UNION ALL SELECT CASE WHEN {_FULL} THEN platform ELSE 'api' END, CASE WHEN {_FULL} THEN lower(severity) ELSE 'INFO' END FROM logs
   UNION ALL SELECT 'nms_solarwinds', 'INFO' FROM logs
 )""", select="SELECT platform, severity, count(*) AS count FROM merged GROUP BY platform, severity")
+SQL["read_syslog_files"] = SQL["syslog_parse"]
+SQL["read_json_files"] = SQL["json_logs"]

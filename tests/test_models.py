@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from netsilt.operators import classify, failure_model, isolation_forest, log_classifier, maintenance
 from netsilt.plans import derived
+from netsilt.streaming import ingest, windows
 from pyspark.sql import functions as F
 from tests.conftest import SF
 
@@ -45,6 +46,22 @@ def test_prediction_and_fallback(spark, logs, trained, tmp_path):
     assert len(importance) == 27 and abs(sum(r["importance"] for r in importance) - 1) < 1e-6
 
 
+def test_answers_without_a_join_agree(spark, logs, trained, tmp_path):
+    cols = ["log_id", "category", "subcategory", "classification_confidence", "classification_method", "threat_type"]
+    rows = lambda df: sorted(map(tuple, df.select(*cols).collect()))
+    by_join = classify.classify(logs, log_classifier.predict(logs, trained.model))
+    narrow = classify.classify(logs, answer=log_classifier.answering(trained.model))
+    assert narrow.columns == by_join.columns and rows(narrow) == rows(by_join)
+    assert "Exchange" not in narrow._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert rows(classify.classify(logs, answer=log_classifier.answering(None))) == rows(classify.classify(logs))
+    # and on a stream
+    logs.write.parquet(f"{tmp_path}/in")
+    stream = ingest.table_stream(spark, f"{tmp_path}/in", logs.schema)
+    classified = windows.classified_stream(stream, log_classifier.answering(trained.model))
+    ingest.append_to(classified, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(narrow)
+
+
 def test_labels_must_match(logs, labels):
     with pytest.raises(ValueError, match="one to one"):
         log_classifier.train_classifier(logs, labels.limit(10))
