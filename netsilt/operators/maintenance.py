@@ -11,26 +11,7 @@ from netsilt import rules
 from netsilt.functions.columns import bucket, clip, fixed, list_lookup, metric, rounded, string_array, surrogate_id
 from netsilt.operators.classify import severity_rank
 
-# feature, signal, statistic, divisor; the order is the feature vector's order
-FEATURES = [
-    ("cpu_mean", "cpu_usage", "mean", 100.0),
-    ("cpu_std", "cpu_usage", "std", 100.0),
-    ("cpu_trend", "cpu_usage", "trend", 10.0),
-    ("cpu_last", "cpu_usage", "last", 100.0),
-    ("mem_mean", "memory_usage", "mean", 100.0),
-    ("mem_std", "memory_usage", "std", 100.0),
-    ("mem_trend", "memory_usage", "trend", 10.0),
-    ("mem_last", "memory_usage", "last", 100.0),
-    ("err_mean", "interface_errors", "mean", 100.0),
-    ("err_std", "interface_errors", "std", 100.0),
-    ("err_trend", "interface_errors", "trend", 10.0),
-    ("err_last", "interface_errors", "last", 100.0),
-    ("sev_mean", "severity_num", "mean", 7.0),
-    ("sev_trend", "severity_num", "trend", 2.0),
-    ("sev_last", "severity_num", "last", 7.0),
-    ("cnt_mean", "error_count", "mean", 20.0),
-    ("cnt_trend", "error_count", "trend", 5.0),
-]
+FEATURES = rules.DEVICE_FEATURES
 FEATURE_NAMES = [f[0] for f in FEATURES]
 METRIC_SIGNALS = ["cpu_usage", "memory_usage", "interface_errors"]
 
@@ -101,24 +82,16 @@ def failure_type() -> Column:
 
 def contributing_signals() -> Column:
     pct = lambda name, digits=0: fixed(F.col(name) * 100, digits)
-    load = lambda label, kind: F.concat(
-        F.lit(f"{label} at "), pct(f"{kind}_last"), F.lit("% (mean "), pct(f"{kind}_mean"), F.lit("%)"))
     texts = [
-        F.when(F.col("cpu_last") > 0.75, load("CPU", "cpu")),
-        F.when(F.col("cpu_trend") > 0.02,
-               F.concat(F.lit("CPU increasing at +"), pct("cpu_trend", 1), F.lit("%/sample"))),
-        F.when(F.col("mem_last") > 0.80, load("Memory", "mem")),
-        F.when(F.col("err_last") > 0.05,
-               F.concat(F.lit("Interface errors at "), pct("err_last"), F.lit("/sample"))),
-        F.when(F.col("err_trend") > 0.01,
-               F.concat(F.lit("Error count trending up (+"), pct("err_trend", 1), F.lit("/sample)"))),
+        F.when(F.col(feature) > limit, F.format_string(text, *[pct(name, digits) for name, digits in shown]))
+        for feature, limit, text, shown in rules.DEVICE_SIGNALS
     ]
     found = F.array_compact(F.array(*texts))
     return F.when(F.size(found) == 0, string_array([rules.DEFAULT_SIGNAL])).otherwise(found)
 
 
 def maintenance_actions(failure: Column, risk: Column) -> Column:
-    steps = list_lookup(rules.MAINTENANCE_ACTIONS, failure, ["Review device health metrics."])
+    steps = list_lookup(rules.MAINTENANCE_ACTIONS, failure, rules.DEFAULT_MAINTENANCE_ACTIONS)
     return (
         F.when(risk == "CRITICAL", F.concat(string_array([rules.CRITICAL_MAINTENANCE_ACTION]), steps))
         .when(risk == "HIGH", F.concat(string_array([rules.HIGH_MAINTENANCE_ACTION]), steps))
@@ -131,9 +104,9 @@ def maintenance_window(risk: Column, as_of: Column) -> Column:
     next_day = F.date_format(as_of + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd")
     next_week = F.date_format(as_of + F.expr("INTERVAL 7 DAYS"), "yyyy-MM-dd")
     return (
-        F.when(risk == "CRITICAL", F.concat(F.lit("Within 4 hours (by "), within, F.lit(" UTC)")))
-        .when(risk == "HIGH", F.concat(F.lit("Next maintenance window: "), next_day, F.lit(" 02:00-04:00 UTC")))
-        .otherwise(F.concat(F.lit("Routine maintenance before "), next_week, F.lit(" UTC")))
+        F.when(risk == "CRITICAL", F.format_string(rules.CRITICAL_WINDOW, within))
+        .when(risk == "HIGH", F.format_string(rules.HIGH_WINDOW, next_day))
+        .otherwise(F.format_string(rules.ROUTINE_WINDOW, next_week))
     )
 
 

@@ -307,7 +307,44 @@ MAINTENANCE_ACTIONS = {
 }
 CRITICAL_MAINTENANCE_ACTION = "⚠️ URGENT: Schedule maintenance within 4 hours."
 HIGH_MAINTENANCE_ACTION = "Schedule maintenance within next 24 hours."
+DEFAULT_MAINTENANCE_ACTIONS = ["Review device health metrics."]
 DEFAULT_SIGNAL = "Cumulative metric degradation pattern detected"
+CRITICAL_WINDOW = "Within 4 hours (by %s UTC)"
+HIGH_WINDOW = "Next maintenance window: %s 02:00-04:00 UTC"
+ROUTINE_WINDOW = "Routine maintenance before %s UTC"
+
+# --------------------------------------------------------------------------
+# Device features and the signals an alert names
+# --------------------------------------------------------------------------
+
+# feature, signal, statistic, divisor; the order is the feature vector's order
+DEVICE_FEATURES = [
+    ("cpu_mean", "cpu_usage", "mean", 100.0),
+    ("cpu_std", "cpu_usage", "std", 100.0),
+    ("cpu_trend", "cpu_usage", "trend", 10.0),
+    ("cpu_last", "cpu_usage", "last", 100.0),
+    ("mem_mean", "memory_usage", "mean", 100.0),
+    ("mem_std", "memory_usage", "std", 100.0),
+    ("mem_trend", "memory_usage", "trend", 10.0),
+    ("mem_last", "memory_usage", "last", 100.0),
+    ("err_mean", "interface_errors", "mean", 100.0),
+    ("err_std", "interface_errors", "std", 100.0),
+    ("err_trend", "interface_errors", "trend", 10.0),
+    ("err_last", "interface_errors", "last", 100.0),
+    ("sev_mean", "severity_num", "mean", 7.0),
+    ("sev_trend", "severity_num", "trend", 2.0),
+    ("sev_last", "severity_num", "last", 7.0),
+    ("cnt_mean", "error_count", "mean", 20.0),
+    ("cnt_trend", "error_count", "trend", 5.0),
+]
+# (feature, limit, text, features shown in it as percent with that many digits)
+DEVICE_SIGNALS = [
+    ("cpu_last", 0.75, "CPU at %s%% (mean %s%%)", [("cpu_last", 0), ("cpu_mean", 0)]),
+    ("cpu_trend", 0.02, "CPU increasing at +%s%%/sample", [("cpu_trend", 1)]),
+    ("mem_last", 0.80, "Memory at %s%% (mean %s%%)", [("mem_last", 0), ("mem_mean", 0)]),
+    ("err_last", 0.05, "Interface errors at %s/sample", [("err_last", 0)]),
+    ("err_trend", 0.01, "Error count trending up (+%s/sample)", [("err_trend", 1)]),
+]
 
 # --------------------------------------------------------------------------
 # Health report

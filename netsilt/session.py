@@ -1,10 +1,10 @@
-"""Session settings and the one place where lineage is cut."""
+"""Session settings and the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Session setting: deal the rows of an input into so many parts before patterns run. For
 #: small files of one row group only, as in tests and the bench; unset, no input is shuffled.
@@ -44,16 +44,3 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="netsilt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
-
-
-def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and go on from the written rows.
-
-    Used where a value depends on how rows were placed in partitions: after this,
-    a lost executor re-reads the same rows instead of recomputing the placement.
-    """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
