@@ -13,6 +13,7 @@ The model is of fixed size. Features are worked out once per distinct word of a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,10 +68,10 @@ class Words:
             first = np.repeat(s - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
             parts.append(self._range(first, first + n, 20 + n))
             owners.append(np.repeat(np.arange(len(rows)), sizes))
-        owner = np.concatenate(owners)
+        index = np.concatenate([(p >> _U(64 - BITS)).astype(np.int32) for p in parts])
+        owner = np.concatenate([o.astype(np.int32) for o in owners])
         order = np.argsort(owner, kind="stable")
-        index = (np.concatenate(parts)[order] >> _U(64 - BITS)).astype(np.int32)
-        return index, np.searchsorted(owner[order], np.arange(len(rows)))
+        return index[order], np.searchsorted(owner[order], np.arange(len(rows)))
 
 
 def forward_backward(emission: np.ndarray, length: np.ndarray, transition: np.ndarray, start: np.ndarray
@@ -235,8 +236,16 @@ def train(docs: DataFrame) -> Model | None:
     some = rows.filter(F.col("draw") <= bound).dropDuplicates(["draw", "lang"])   # copies of a text are drawn once
     some = some.select("lang", F.col("text").cast("binary").alias("text"))
     stretches = some.mapInArrow(cut, "lang string, text binary").filter(F.octet_length("text") > 0)
-    got = stretches.orderBy(F.xxhash64("text", "lang"), "text", "lang").limit(SAMPLE_STRETCHES).collect()
-    return fit([(r.lang, bytes(r.text)) for r in got]) if got else None
+    drawn = stretches.orderBy(F.xxhash64("text", "lang"), "text", "lang").limit(SAMPLE_STRETCHES)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [pair for b in batches for pair in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        if got:
+            yield record(pa.schema([("model", pa.binary())]), [pickle.dumps(fit(got))])
+
+    # the bounded sample is one partition; a task learns from it, the driver gets the model
+    models = drawn.mapInArrow(learn, "model binary").collect()
+    return pickle.loads(models[0].model) if models else None
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
