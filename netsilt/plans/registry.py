@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -626,6 +627,52 @@ def _trained(spark, sf_dir, folds=5):
     return LC.train_classifier(logs, _rule_labels(logs), folds=folds)
 
 
+@query
+def classifier_split(spark, sf_dir):
+    """Rows per class, part and fold of a training run: supports and sizes of the split."""
+    rows = _rule_labels(derived.logs(spark, sf_dir)).select(
+        "label", F.when(LC.share("log_id", 42) < 0.2, "test").otherwise("train").alias("part"),
+        (LC.share("log_id", 43) * 5).cast("int").alias("fold"))
+    return rows.groupBy("label", "part", "fold").agg(F.count("*").alias("count"))
+
+
+@query
+def evaluation_report(spark, sf_dir):
+    """The per-class report for fixed guesses: every seventh log is called SECURITY."""
+    rows = _rule_labels(derived.logs(spark, sf_dir))
+    seventh = F.substring("log_id", 5, 100).cast("long") % 7 == 0
+    guessed = rows.withColumn("guess", F.when(seventh, "SECURITY").otherwise(F.col("label")))
+    report = LC.evaluation_report(guessed, "label", "guess")
+    return report.select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query
+def prediction_fallback(spark, sf_dir):
+    """Fixed predictions for every third log, the rules' answer for the others."""
+    logs = derived.logs(spark, sf_dir)
+    third = logs.filter(F.substring("log_id", 5, 100).cast("long") % 3 == 0)
+    fixed_answers = third.select("log_id", F.lit("DNS").alias("category"), F.lit(0.9).alias("confidence"), F.lit("ml").alias("method"))
+    return C.classify(logs, fixed_answers).select(
+        "log_id", "category", "subcategory", "classification_confidence", "classification_method")
+
+
+@query
+def iforest_features(spark, sf_dir):
+    return IF.anomaly_features(derived.logs(spark, sf_dir)).select("log_id", *[F.round(c, 9).alias(c) for c in IF.FEATURES])
+
+
+@query
+def iforest_fixed_forest(spark, sf_dir):
+    """Scores of a small forest written down by hand: two trees of one and two splits."""
+    nodes = pd.DataFrame(
+        [(0, 0, 0, 0.5, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 1.5), (0, 2, -1, 0.0, -1, -1, 2.5),
+         (1, 0, 1, 0.3, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 1.0), (1, 2, 4, 0.5, 3, 4, 0.0),
+         (1, 3, -1, 0.0, -1, -1, 2.0), (1, 4, -1, 0.0, -1, -1, 3.0)],
+        columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+    forest = IF.IsolationForest(nodes, {c: (0.0, 1.0) for c in IF.FEATURES}, 4, -0.5)
+    return IF.score(derived.logs(spark, sf_dir), forest).select("log_id", F.round("ml_score", 9).alias("ml_score"))
+
+
 @query
 def classifier_train(spark, sf_dir):
     """Accuracy, cross-validation and per-class report of a training run."""

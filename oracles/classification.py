@@ -80,3 +80,45 @@ SELECT log_id, ts AS "timestamp", source, source_ip, platform, raw_message, desc
   round(confidence, 3) AS classification_confidence, 'rule' AS classification_method, false AS is_anomaly,
   0.0::DOUBLE AS anomaly_score, security_threat, threat_type, threat_score, {ACTION} AS recommended_action
 FROM classified""")
+
+
+# ---------------------------------------------------------------- what is exact about the models
+
+def _share(seed: int) -> str:
+    return f"('0x' || substr(md5(log_id || '|{seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+SQL["classifier_split"] = with_ctes(LOGS, CLASSIFIED, select=f"""
+SELECT category AS label, CASE WHEN {_share(42)} < 0.2 THEN 'test' ELSE 'train' END AS part,
+  floor({_share(43)} * 5)::INTEGER AS fold, count(*) AS count FROM classified GROUP BY ALL""")
+SQL["evaluation_report"] = with_ctes(LOGS, CLASSIFIED, """
+guesses AS (SELECT category AS actual, CASE WHEN event_id % 7 = 0 THEN 'SECURITY' ELSE category END AS guess FROM classified),
+rates AS (
+  SELECT c.class, count(*) FILTER (actual = c.class AND guess = c.class)::DOUBLE AS hits,
+    count(*) FILTER (actual = c.class) AS support, count(*) FILTER (guess = c.class) AS guessed
+  FROM guesses JOIN (SELECT DISTINCT actual AS class FROM guesses) c ON c.class IN (actual, guess) GROUP BY c.class),
+ratios AS (
+  SELECT *, CASE WHEN guessed > 0 THEN hits / guessed ELSE 0.0::DOUBLE END AS p, hits / support AS r FROM rates)""", select="""
+SELECT class, round(p, 9) AS precision, round(r, 9) AS recall,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0::DOUBLE END, 9) AS f1, support FROM ratios""")
+SQL["prediction_fallback"] = with_ctes(LOGS, CLASSIFIED, select="""
+SELECT log_id, CASE WHEN event_id % 3 = 0 THEN 'DNS' ELSE category END AS category, subcategory,
+  CASE WHEN event_id % 3 = 0 THEN 0.9::DOUBLE ELSE confidence END AS classification_confidence,
+  CASE WHEN event_id % 3 = 0 THEN 'ml' ELSE 'rule' END AS classification_method FROM classified""")
+_INPUTS = f"""
+inputs AS (
+  SELECT log_id, coalesce(cpu, 0) / 100.0::DOUBLE AS cpu_usage, coalesce(mem, 0) / 100.0::DOUBLE AS memory_usage,
+    least(coalesce(err, 0), 100) / 100.0::DOUBLE AS interface_errors, {_rank(rules.ANOMALY_SEVERITY_RANK)} / 7.0::DOUBLE AS severity_num,
+    CASE WHEN source_ip <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_ip_address FROM logs)"""
+SQL["iforest_features"] = with_ctes(LOGS, _INPUTS, select="""
+SELECT log_id, round(cpu_usage, 9) AS cpu_usage, round(memory_usage, 9) AS memory_usage, round(interface_errors, 9) AS interface_errors,
+  round(severity_num, 9) AS severity_num, has_ip_address FROM inputs""")
+# expected path length among four points: 2 (ln 3 + Euler's constant) - 2 * 3 / 4
+SQL["iforest_fixed_forest"] = with_ctes(LOGS, _INPUTS, """
+paths AS (
+  SELECT log_id, (CASE WHEN cpu_usage <= 0.5 THEN 1.5::DOUBLE ELSE 2.5::DOUBLE END
+    + CASE WHEN memory_usage <= 0.3 THEN 1.0::DOUBLE WHEN has_ip_address <= 0.5 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END) / 2 AS path
+  FROM inputs)""", select="""
+SELECT log_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+  0.5::DOUBLE + pow(2.0::DOUBLE, -path / (2 * (ln(3.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 1.5::DOUBLE)) - 0.5::DOUBLE)), 9) AS ml_score
+FROM paths""")
