@@ -22,6 +22,7 @@ at most.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,18 @@ def _flips() -> tuple[np.ndarray, np.ndarray]:
 ONE, PAIRS = _flips()
 #: What a value's code stands for: the bits that were flipped.
 FLIPPED = np.concatenate([np.zeros(1, _U), ONE, PAIRS])
+CODE_BITS = 11              # of a code; the upper five hold a weight
+LOW_HALF = _U((1 << 32) - 1)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    planes = h.view(np.uint8).reshape(len(h), 8)
+    if len(h) < 300:
+        counts = np.unpackbits(planes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    else:
+        counts = np.concatenate([np.bincount(planes[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(_U)[0])
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -68,12 +81,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     h = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1:] - 1).tolist(), strict=True)],
                     dtype=_U, count=n)
-    planes = h.view(np.uint8).reshape(n, 8)
-    if n < 300:
-        counts = np.unpackbits(planes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        counts = np.concatenate([np.bincount(planes[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(_U)[0])
+    return _majority(h)
 
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -90,33 +98,41 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         run, "doc_id long, fp long")
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("values", pa.binary()), ("codes", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("values", pa.binary()), ("codes", pa.binary()), ("labels", pa.binary())])
+PACKED = "bucket int, values binary, codes binary, labels binary"
 
 
 def _variants(buckets: int):
-    """Per task: the half-ball values of its fingerprints, packed per bucket."""
+    """Per task: the half-ball values of its fingerprints (``fp``, and if there are such
+    columns ``weight`` below 32 and ``label``), packed per bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(_U)
+            column = {name: batch.column(name).to_numpy() for name in batch.schema.names}
+            fps, weight, label = column["fp"].view(_U), column.get("weight"), column.get("label")
             odd = np.bitwise_count(fps) % 2 == 1
-            for some, codes in ((fps[~odd], range(1, 65)), (fps[odd], range(len(FLIPPED)))):
+            for some, codes in ((np.flatnonzero(~odd), range(1, 65)), (np.flatnonzero(odd), range(len(FLIPPED)))):
                 codes = np.array(codes, dtype=np.uint16)
                 step = (1 << 20) // len(codes)
                 for at in range(0, len(some), step):
                     part = some[at: at + step]
-                    values = (part[:, None] ^ FLIPPED[codes][None, :]).ravel()
+                    values = (fps[part][:, None] ^ FLIPPED[codes][None, :]).ravel()
                     code = np.tile(codes, len(part))
+                    if weight is not None:
+                        code |= np.repeat(weight[part].astype(np.uint16) << CODE_BITS, len(codes))
                     bucket = (mix(values) % _U(buckets)).astype(np.int32)
                     order = np.argsort(bucket, kind="stable")
                     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                    values, code = values[order], code[order]
                     full = np.flatnonzero(np.diff(cuts))
-                    yield record(_PACKED, full.astype(np.int32),
-                                 [values[cuts[k]: cuts[k + 1]].tobytes() for k in full],
-                                 [code[cuts[k]: cuts[k + 1]].tobytes() for k in full])
+                    cut = lambda a: [a[order[cuts[k]: cuts[k + 1]]].tobytes() for k in full]
+                    yield record(_PACKED, full.astype(np.int32), cut(values), cut(code),
+                                 [None] * len(full) if label is None else cut(np.repeat(label[part], len(codes))))
     return run
 
 
+def _buckets(distinct: DataFrame) -> DataFrame:
+    return distinct.mapInArrow(_variants(share(distinct.count() * 560.0, BUCKET_VALUES, LEAST_BUCKETS)), PACKED).groupBy("bucket")
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -128,6 +144,13 @@ def _least_hub(node: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return node[first], hub[first]
 
 
+def _star(values: np.ndarray, fps: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member of sorted values the first member of its value, and that one's weight."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
+    size = np.diff(np.append(first, len(values)))
+    return np.repeat(fps[first], size), np.repeat(weight[first], size)
+
+
 def _meet(radius: int, reduce):
     def run(table: pa.Table) -> pa.Table:
         values = np.frombuffer(b"".join(table.column("values").to_pylist()), dtype=_U)
@@ -138,26 +161,72 @@ def _meet(radius: int, reduce):
         size = np.diff(edge)
         met = np.repeat(size > 1, size)
         values, codes = values[met], codes[order[met]]
+        weight, codes = codes >> CODE_BITS, codes & ((1 << CODE_BITS) - 1)
         fps = values ^ FLIPPED[codes]
         # within a value: the smallest (even, else lowest code) member first; all others link to it
         far = np.bitwise_count(fps) % 2 == 1
         order = np.lexsort((fps, codes, far, values))
-        values, codes, fps = values[order], codes[order], fps[order]
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
-        hub = np.repeat(fps[first], np.diff(np.append(first, len(values))))
+        values, fps, weight = values[order], fps[order], weight[order]
+        hub, _ = _star(values, fps, weight)
         near = (hub != fps) & (np.bitwise_count(hub ^ fps) <= radius)  # verified on the fingerprints
         node, root = reduce(fps[near], hub[near])
+        if weight.any():  # a second star around the heaviest member, one partner per fingerprint again
+            order = np.lexsort((fps, -weight.astype(np.int64), values))
+            values, fps, weight = values[order], fps[order], weight[order]
+            hub, heavy = _star(values, fps, weight)
+            near = np.flatnonzero((hub != fps) & (heavy > 0) & (np.bitwise_count(hub ^ fps) <= radius))
+            near = near[np.lexsort((hub[near], -heavy[near].astype(np.int64), fps[near]))]
+            some, at = np.unique(fps[near], return_index=True)
+            node, root = np.concatenate([node, some]), np.concatenate([root, hub[near][at]])
         return pa.table([node.view(np.int64), root.view(np.int64)], schema=_LINKS)
     return run
 
 
+def _met_at(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The one of the values at which two fingerprints within 3 bits meet that stands for the pair."""
+    differ = a ^ b
+    distance = np.bitwise_count(differ)
+    even = np.where(np.bitwise_count(a) % 2 == 0, a, b)
+    low = differ & (~differ + _U(1))
+    high = differ & ~low
+    mid = high & (~high + _U(1))
+    high &= ~mid
+    in_half = lambda x: ((x & LOW_HALF) == x) | ((x & ~LOW_HALF) == x)
+    third = np.where(in_half(mid | high), low, np.where(in_half(low | high), mid, high))
+    return np.where(distance == 2, np.minimum(a, b) ^ low, even ^ np.where(distance == 1, low, third))
+
+
+def _apart(radius: int):
+    """All pairs within ``radius`` bits whose labels differ, each at one value only. A value has
+    at most 1,057 members."""
+    def run(table: pa.Table) -> pa.Table:
+        get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
+        values, codes, labels = get("values", _U), get("codes", np.uint16), get("labels", np.int64)
+        order = np.argsort(values, kind="stable")
+        values, codes, labels = values[order], codes[order], labels[order]
+        edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+        size = np.diff(edge)
+        mixed = np.repeat(np.minimum.reduceat(labels, edge[:-1]) != np.maximum.reduceat(labels, edge[:-1]), size)
+        end = np.repeat(np.cumsum(size[mixed[edge[:-1]]]), size[mixed[edge[:-1]]])
+        values, labels = values[mixed], labels[mixed]
+        fps = values ^ FLIPPED[codes[mixed]]
+        found, step, at = [np.zeros((2, 0), _U)], 1, np.arange(len(values))
+        while len(at := at[at + step < end[at]]):
+            some = at[labels[at] != labels[at + step]]
+            some = some[np.bitwise_count(fps[some] ^ fps[some + step]) <= radius]
+            a, b = fps[some], fps[some + step]
+            here = _met_at(a, b) == values[some]
+            found.append(np.stack([a[here], b[here]]))
+            step += 1
+        a, b = np.concatenate(found, axis=1)
+        return pa.table([a.view(np.int64), b.view(np.int64)], schema=_LINKS)
+    return run
+
+
 def links(prints: DataFrame, reduce=forest) -> DataFrame:
     """Links ``a, b`` that span every group of distinct fingerprints within 3 bits; with
     ``reduce=_least_hub`` only direct ones, a partner per fingerprint and bucket."""
-    distinct = stored(prints.select("fp").distinct(), "simhash-fps")
-    buckets = share(distinct.count() * 560.0, BUCKET_VALUES, LEAST_BUCKETS)
-    packed = distinct.mapInArrow(_variants(buckets), "bucket int, values binary, codes binary")
-    return packed.groupBy("bucket").applyInArrow(_meet(RADIUS, reduce), "a long, b long")
+    return _buckets(stored(prints.select("fp").distinct(), "simhash-fps")).applyInArrow(_meet(RADIUS, reduce), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -183,7 +252,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 SHINGLE = 5
 SIMILARITY = 0.8
-_CLASSES = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("fp", pa.int64())])
+_CLASSES = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("fp", pa.int64()), ("sketch", pa.int64())])
 _SETS = pa.schema([("digest", pa.string()), ("shingles", pa.binary())])
 
 
@@ -198,38 +267,43 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
 
     Near copies replace scattered words, and each takes ``words`` shingles with it, so a
     SimHash of shingles sees few of them within 3 bits. Candidates therefore come
-    from the SimHash of the set of a text's words, and each is verified: the Jaccard
-    similarity of five-word shingles is at least ``similarity``. Groups are what verified
-    links connect. Texts of one fingerprint are compared with its first text.
+    from the SimHash of the set of a text's words: all pairs within 3 bits. Verified links
+    are those with a Jaccard similarity of five-word shingles of at least ``similarity``;
+    groups are what they connect, over all candidates.
+
+    A first round only saves work: texts meet hubs (the least and the most frequent
+    fingerprint of a value, of one fingerprint the text nearest to the majority of all, which
+    is the original of scattered copies). Then every candidate pair whose texts are not
+    yet in one group is verified, so hubs never decide which texts belong together.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = fixed(docs, doc_id=F.col("doc_id").cast("long"), digest=F.md5(text), text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in some_rows(batches, "text"):
-            fps = np.array([fingerprint(b" ".join(sorted(set(t.lower().split()))), 1)
-                            for t in batch.column("text").to_pylist()], dtype=_U)
-            yield record(_CLASSES, batch.column("doc_id"), batch.column("digest"), fps.view(np.int64))
-
-    classes = rows.mapInArrow(run, "doc_id long, digest string, fp long")
-    classes = stored(classes.groupBy("fp", "digest").agg(F.min("doc_id").alias("doc_id")), "texts")
-    first = stored(classes.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("f")).select("fp", "f.*"), "first-texts")
-    a = first.select(F.col("fp").alias("a"), F.col("digest").alias("x"))
-    b = first.select(F.col("fp").alias("b"), F.col("digest").alias("y"))
-    pairs = links(classes, _least_hub).distinct().join(a, "a").join(b, "b").select("x", "y").unionByName(
-        classes.join(b, classes.fp == b.b).filter("digest != y").select(F.col("digest").alias("x"), "y"))
-    pairs = stored(pairs, "text-pairs")
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct().join(
-        classes, "digest").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i"))
+            texts = [t.lower() for t in batch.column("text").to_pylist()]
+            fps = np.array([fingerprint(b" ".join(sorted(set(t.split()))), 1) for t in texts], dtype=_U)
+            sketch = np.array([_majority(rolling(h, min(words, len(h)))) if len(h) else 0 for h in word_hashes(texts)], dtype=_U)
+            yield record(_CLASSES, batch.column("doc_id"), batch.column("digest"), fps.view(np.int64), sketch.view(np.int64))
+
+    classes = rows.mapInArrow(run, "doc_id long, digest string, fp long, sketch long")
+    classes = stored(classes.groupBy("fp", "digest").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """``a, b`` of the pairs ``x, y, a, b`` whose texts x and y are similar."""
+        asked = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct().join(
+            classes, "digest").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i"))
+        shown = rows.join(asked, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
+        shown = shown.select("digest", "text").mapInArrow(sets, "digest string, shingles binary").dropDuplicates(["digest"])
+        set_of = lambda key, name: shown.select(F.col("digest").alias(key), F.col("shingles").alias(name))
+        return pairs.join(set_of("x", "one"), "x").join(set_of("y", "two"), "y").select(
+            "a", "b", "one", "two").mapInArrow(verify, "a string, b string")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in some_rows(batches, "text"):
             yield record(_SETS, batch.column("digest"),
                          [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)])
 
-    shown = rows.join(asked, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
-    shown = shown.select("digest", "text").mapInArrow(sets, "digest string, shingles binary").dropDuplicates(["digest"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -239,12 +313,41 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
                 keep.append(both >= similarity * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    set_of = lambda key, name: shown.select(F.col("digest").alias(key), F.col("shingles").alias(name))
-    verified = pairs.join(set_of("x", "one"), "x").join(set_of("y", "two"), "y").select(
-        F.col("x").alias("a"), F.col("y").alias("b"), "one", "two").mapInArrow(verify, "a string, b string")
-    roots = components(verified)
+    # first round: hubs
+    sizes = stored(classes.groupBy("fp").agg(
+        F.count("*").alias("n"), F.least(F.lit(31), F.floor(2 * F.log2(F.count("*")))).cast("long").alias("weight")), "text-prints")
+    bit = lambda k: F.shiftrightunsigned("sketch", k).bitwiseAND(F.lit(1))
+    common = classes.join(sizes.filter("n > 2").select("fp"), "fp").groupBy("fp").agg(*[
+        F.when(2 * F.sum(bit(k)) > F.count("*"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(0).alias(f"b{k}")
+        for k in range(64)]).select("fp", reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"b{k}") for k in range(64)]).alias("common"))
+    far = F.coalesce(F.bit_count(F.col("sketch").bitwiseXOR(F.col("common"))), F.lit(0))
+    first = stored(classes.join(common, "fp", "left").groupBy("fp").agg(
+        F.min(F.struct(far.alias("far"), "doc_id", "digest")).alias("f")).select("fp", "f.digest"), "first-texts")
+    a = first.select(F.col("fp").alias("a"), F.col("digest").alias("x"))
+    b = first.select(F.col("fp").alias("b"), F.col("digest").alias("y"))
+    near = stored(_buckets(sizes.select("fp", "weight")).applyInArrow(_meet(RADIUS, _least_hub), "a long, b long").distinct(), "text-links")
+    pairs = near.join(a, "a").join(b, "b").select("x", "y").unionByName(
+        classes.join(b, classes.fp == b.b).filter("digest != y").select(F.col("digest").alias("x"), "y"))
+    pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "text-pairs")
+    roots = components(verified(pairs.withColumns({"a": F.col("x"), "b": F.col("y")})))
     grouped = stored(classes.join(roots, F.col("digest") == F.col("node"), "left").select(
-        "digest", "doc_id", F.coalesce("root", "digest").alias("root")), "text-groups")
+        "fp", "digest", "doc_id", F.coalesce("root", "digest").alias("root")), "text-groups")
+
+    # second round: all other pairs within 3 bits of texts that are not in one group yet
+    groups = grouped.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    label = F.when(F.col("low") == F.col("high"), F.xxhash64("low")).otherwise(F.xxhash64(F.lit("several"), "fp"))
+    met = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    apart = _buckets(stored(groups.join(met, "fp", "left_semi").select("fp", label.alias("label")), "text-labels")).applyInArrow(
+        _apart(RADIUS), "a long, b long")
+    several = groups.filter("low != high").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    x = grouped.select(F.col("fp").alias("a"), F.col("digest").alias("x"), F.col("root").alias("rx"))
+    y = grouped.select(F.col("fp").alias("b"), F.col("digest").alias("y"), F.col("root").alias("ry"))
+    left = apart.unionByName(several).join(x, "a").join(y, "b").filter("rx != ry and (a != b or x < y)").select(
+        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("rx").alias("a"), F.col("ry").alias("b"))
+    left = stored(left.join(pairs, ["x", "y"], "left_anti"), "text-pairs-left")
+    joined = components(verified(left)).select("node", F.col("root").alias("joined"))
+    grouped = stored(grouped.join(joined, F.col("root") == F.col("node"), "left").select(
+        "digest", "doc_id", F.coalesce("joined", "root").alias("root")), "text-groups")
     stands = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("s"))
     return grouped.join(stands, "root").select("digest", "doc_id", F.col("s.digest").alias("keeps_digest"),
                                                F.col("s.doc_id").alias("keeps_doc_id"))

@@ -118,3 +118,65 @@ def test_distinct_documents_of_messy_rows(messy):
     texts = [r.text for r in kept.collect()]
     assert len({t or "" for t in texts}) == len(texts)
     assert S.distinct_documents(messy.limit(0)).collect() == []
+
+
+def test_every_pair_has_one_value():
+    rng = random.Random(4)
+    for bits in (1, 2, 3):
+        for _ in range(200):
+            a = b = rng.getrandbits(64)
+            for k in rng.sample(range(64), bits):
+                b ^= 1 << k
+            balls = [{f ^ int(x) for x in (S.FLIPPED if f.bit_count() % 2 else S.ONE)} for f in (a, b)]
+            both = [np.array([x], dtype=np.uint64) for x in (a, b)]
+            at = int(S._met_at(*both)[0])
+            assert at == int(S._met_at(*both[::-1])[0]) and at in balls[0] & balls[1]
+
+
+def slow_groups(texts, similarity=0.8):
+    """{doc: text} -> doc -> smallest doc over similar pairs within 3 bits, from all pairs."""
+    low = {d: t.lower().encode().split() for d, t in texts.items()}
+    fps = {d: slow_fingerprint(" ".join(sorted({w.decode() for w in ws})), 1) for d, ws in low.items()}
+    grams = {d: {hash(tuple(ws[i: i + 5])) for i in range(max(1, len(ws) - 4))} for d, ws in low.items()}
+    root = {d: d for d in texts}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+    docs = sorted(texts)
+    for i, a in enumerate(docs):
+        for b in docs[i + 1:]:
+            if (fps[a] ^ fps[b]).bit_count() <= 3 and top(a) != top(b):
+                both = len(grams[a] & grams[b])
+                if both >= similarity * (len(grams[a]) + len(grams[b]) - both):
+                    root[max(top(a), top(b))] = min(top(a), top(b))
+    return {d: top(d) for d in texts}
+
+
+def test_groups_of_many_near_copies_are_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = {}
+
+    def copies(at, text, n, changed, word):
+        for k in range(n):
+            near = list(text)
+            for i in rng.sample(range(len(text)), changed):
+                near[i] = word(k, i)
+            texts[at + k] = " ".join(near)
+    one, two = words(rng, 400, 5000), words(rng, 400, 300)
+    copies(0, one, 400, 6, lambda k, i: f"n{k}x{i}")
+    texts[5000] = " ".join(one)                                 # the original has the largest doc_id
+    copies(1000, two, 150, 6, lambda k, i: rng.choice(two))     # many of one fingerprint
+    texts[6000] = " ".join(two)
+    for k in range(40):                                         # one set of words, many texts
+        texts[2000 + k] = " ".join(rng.sample(two, len(two)))
+    chain = words(rng, 200, 5000)                               # each similar to the last only
+    for k in range(30):
+        chain[5 * k] = chain[(5 * k + 7) % 200]
+        texts[3000 + k] = " ".join(chain)
+    slow = slow_groups(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    for least in (S.LEAST_BUCKETS, 3):
+        monkeypatch.setattr(S, "LEAST_BUCKETS", least)
+        assert {r.doc_id: r.keeps_doc_id for r in S.similar_documents(docs).collect()} == slow
