@@ -10,8 +10,8 @@ with a smaller doc_id.
 2. *Confirmed passages.* Windows with a recurring landmark are grouped by their own
    hash. A task settles what it can among its own documents and sends one record
    per window on, so a passage that a third of all documents share makes one
-   record per task. The result says which stretch of which earlier document a document
-   shares.
+   record per task. Rows with the doc_id of the row sent share all that is found for
+   it. The result says which stretch of which earlier document a document shares.
 3. *Automata.* Documents are dealt into shards of bounded size. A shard fetches the
    text of its shared stretches from the earlier documents, cuts them into 25-word
    tiles (every 50-word window inside a stretch holds a whole one), compiles the tiles into
@@ -42,6 +42,7 @@ GROUP_WINDOWS = 1_000_000   # windows a task settles at once
 BUCKET_WORDS = 2_000_000    # words of candidate text per bucket of step 2
 SHARD_WORDS = 400_000       # words of documents per automaton
 LEAST = 24                  # buckets and shards at least
+TIED = -1                   # instead of a place: the row sent on has the same doc_id
 _U = np.uint64
 
 
@@ -103,15 +104,18 @@ SENT = "bucket int, window binary, key binary, rid binary, at binary, shared bin
 
 def _settle(window, key, rid, at):
     """Among records of windows: the first document's record of each window, and for the
-    others with a larger doc_id rows (rid, first's rid, place in first)."""
+    others with a larger doc_id rows (rid, first's rid, place in first), for other rows
+    of the same doc_id (rid, first's rid, TIED)."""
     order = np.lexsort((at, rid, key, window))
     window, key, rid, at = window[order], key[order], rid[order], at[order]
     head = np.concatenate([[True], window[1:] != window[:-1]]) if len(window) else np.zeros(0, bool)
     first = np.flatnonzero(head)
     owner = np.repeat(first, np.diff(np.append(first, len(window))))
     later = key > key[owner]
-    return first, (window[first], key[first], rid[first], at[first]), order, np.stack(
-        [rid[later], rid[owner[later]], at[owner[later]]], axis=1)
+    tied = np.flatnonzero((key == key[owner]) & (rid != rid[owner]))
+    links = np.stack([rid[later], rid[owner[later]], at[owner[later]]], axis=1)
+    ties = np.stack([rid[tied], rid[owner[tied]], np.full(len(tied), TIED)], axis=1)
+    return first, (window[first], key[first], rid[first], at[first]), order, links, ties
 
 
 def _windows(size: int, table, buckets: int):
@@ -120,14 +124,14 @@ def _windows(size: int, table, buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             bucket, window, key, rid, at = map(np.concatenate, zip(*held, strict=True))
-            first, (window, key, rid, at), order, shared = _settle(window, key, rid, at)
+            first, (window, key, rid, at), order, *shared = _settle(window, key, rid, at)
             bucket = bucket[order][first]
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
             cut = lambda a: [a[order[cuts[k]: cuts[k + 1]]].tobytes() for k in full]
             # what is settled here rides along, spread over the records
-            shared = np.unique(shared, axis=0).astype(np.int64)
+            shared = np.unique(np.concatenate(shared), axis=0).astype(np.int64)
             part = (mix(shared[:, 0].astype(_U)) % _U(len(full))).astype(np.int64)
             settled = [shared[part == k].tobytes() for k in range(len(full))]
             yield record(_SENT, full.astype(np.int32), cut(window), cut(key), cut(rid), cut(at.astype(np.uint32)), settled)
@@ -153,7 +157,7 @@ _SHARED = pa.schema([("rid", pa.int64()), ("owner", pa.int64()), ("start", pa.in
 
 def _shared(table: pa.Table) -> pa.Table:
     get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
-    *_, shared = _settle(get("window", _U), get("key", np.int64), get("rid", np.int64), get("at", np.uint32).astype(np.int64))
+    *_, shared, _ = _settle(get("window", _U), get("key", np.int64), get("rid", np.int64), get("at", np.uint32).astype(np.int64))
     shared = np.unique(np.concatenate([shared, get("shared", np.int64).reshape(-1, 3)]), axis=0)
     run = np.ones(len(shared), dtype=bool)   # starts of runs of neighbouring windows
     run[1:] = (np.diff(shared[:, :2], axis=0) != 0).any(axis=1) | (np.diff(shared[:, 2]) != 1)
@@ -275,6 +279,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         _windows(window, table, share(words, BUCKET_WORDS, LEAST)), SENT)
     shared = stored(sent.groupBy("bucket").applyInArrow(_shared, "rid long, owner long, start long, windows long"),
                     "repeats-shared")
+    # a tied row asks for what the row sent on asks for: all of it is text of smaller doc_ids
+    ties = shared.filter(F.col("start") == TIED).select("rid", F.col("owner").alias("sent"))
+    shared = shared.filter(F.col("start") != TIED)
+    shared = shared.unionByName(ties.join(shared.withColumnRenamed("rid", "sent"), "sent").drop("sent"))
     shard = F.pmod(F.xxhash64("rid"), F.lit(share(words, SHARD_WORDS, LEAST)))
     asked = shared.groupBy("owner", shard.alias("shard")).agg(
         F.collect_set("rid").alias("docs"), F.collect_set(F.struct("start", "windows")).alias("runs"))

@@ -77,3 +77,11 @@ def test_one_hot_passage(spark):
     rows = [(d, f"a{d} b{d} {passage} c{d}") for d in range(300)]
     got = R.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert got.agg(F.sum("n_removed"), F.min("n_removed")).first()[:] == (299 * 120, 0)
+
+
+def test_rows_of_one_doc_id_in_one_partition(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "pq")
+    later = [(None, f"a {one}"), (None, f"b {one} c"), (None, f"{two} {one}"), (9, f"d {two}"), (9, f"{two} e {one}"), (9, two)]
+    earlier = [(7, f"f {one} g"), (8, f"h {two}"), (7, f"{one} {one}")]
+    rows = spark.sparkContext.parallelize(later + earlier, 3)   # three rows each
+    assert fast(spark.createDataFrame(rows, "doc_id long, text string"), 50) == slow(later + earlier, 50)
