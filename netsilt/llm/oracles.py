@@ -37,4 +37,91 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLES: dict[str, str] = {"op1_topk": OP1, "op7_chat": OP7, "op10_warc": OP10}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CTE ``crc(doc_id, c)``: unsigned CRC-32 of the decimal doc_id.
+CRC = """
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS c
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table)"""
+
+_DOMAIN = "regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '')"
+_SUFFIXES = """('ac.uk','co.jp','co.nz','co.uk','co.za','com.ar','com.au','com.br','com.cn','com.mx','com.tr','gov.uk',
+  'ne.jp','net.au','or.jp','org.au','org.uk')"""
+_WEIGHT = """(SELECT 1 / least(greatest(CASE WHEN most <> 0 THEN over_::DOUBLE / most::DOUBLE ELSE 1e-4::DOUBLE END, 1e-4::DOUBLE), 0.5::DOUBLE) - 1 AS w FROM (
+  SELECT sum(round_even(((bad - n * m) * (bad - n * m) - n * m * (1 - m)) * 1000000, 0)::HUGEINT) AS over_,
+    sum(round_even(n * m * (1 - m) * (n - 1) * 1000000, 0)::HUGEINT) AS most FROM {}))"""
+
+OP12 = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(verdict, rule, name, start) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+  ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+fit AS (SELECT p.host, p.path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY ALL),
+outcomes AS (SELECT doc_id, max(toxic) AS bad FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+counted AS (SELECT host, count(o.bad)::DOUBLE AS n, coalesce(sum(o.bad), 0)::DOUBLE AS bad FROM p LEFT JOIN outcomes o ON o.doc_id = page_id GROUP BY host),
+named AS (SELECT *, {_DOMAIN} AS name, array_to_string(string_split(name, '.')[-2:], '.') AS two,
+  regexp_matches(name, '^([0-9]+\\.){{3}}[0-9]+$|^\\[') OR NOT contains(name, '.') AS address FROM counted),
+host AS (SELECT host, n, bad, CASE WHEN address THEN name WHEN two IN {_SUFFIXES} THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE two END AS domain,
+  CASE WHEN address THEN '' WHEN two IN {_SUFFIXES} THEN two ELSE string_split(name, '.')[-1] END AS suffix FROM named),
+domain AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM host GROUP BY ALL),
+suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (sum(sum(bad)) OVER () + 1.0::DOUBLE) / (sum(sum(n)) OVER () + 2.0::DOUBLE) AS m FROM domain GROUP BY suffix),
+suffix_share AS (SELECT suffix, (bad + w * m) / ((bad + w * m) + (n - bad + w * (1 - m))) AS m FROM suffix, {_WEIGHT.format('suffix')}),
+domain_prior AS (SELECT domain, d.n, d.bad, s.m FROM domain d JOIN suffix_share s USING (suffix)),
+domain_share AS (SELECT domain, (bad + w * m) / ((bad + w * m) + (n - bad + w * (1 - m))) AS m FROM domain_prior, {_WEIGHT.format('domain_prior')}),
+host_prior AS (SELECT host, h.n, h.bad, d.m FROM host h JOIN domain_share d USING (domain)),
+ab AS (SELECT host, bad + w * m AS a, n - bad + w * (1 - m) AS b FROM host_prior, {_WEIGHT.format('host_prior')}),
+bound AS (SELECT host, greatest(0.0::DOUBLE, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS bound FROM ab)
+SELECT page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN bound > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit ON fit.host = p.host AND fit.path = p.path JOIN bound ON bound.host = p.host
+"""
+
+
+def _tree(name: str, depth: int) -> str:
+    """CTEs of the levels ``{name}0`` (given) to ``{name}<depth>`` and of their runs of 16 nodes."""
+    return ",\n".join(f"""{name}_run{k} AS (SELECT grp, pos // 16 AS run, list(digest ORDER BY pos) AS ds, any_value(n) AS n FROM {name}{k} WHERE n > 1 GROUP BY ALL),
+{name}{k + 1} AS (SELECT grp, run AS pos, (n + 15) // 16 AS n, sha256(array_to_string(ds, '')) AS digest FROM {name}_run{k})""" for k in range(depth))
+
+
+def _walk(first: str, name: str, grp: str, at: str, prefix: str, depth: int) -> tuple[str, str]:
+    """CTEs that take the rows of ``first`` up ``depth`` levels: cur is folded, proof grows by the siblings."""
+    out, last = [], first
+    for k in range(depth):
+        out.append(f"""{prefix}{k} AS (SELECT w.* EXCLUDE ({at}, cur, proof), {at} // 16 AS {at},
+  CASE WHEN r.ds IS NULL THEN cur ELSE sha256(array_to_string(r.ds[:{at} % 16], '') || cur || array_to_string(r.ds[{at} % 16 + 2:], '')) END AS cur,
+  proof || CASE WHEN r.ds IS NULL THEN '' ELSE array_to_string(r.ds[:{at} % 16], '') || array_to_string(r.ds[{at} % 16 + 2:], '') END AS proof
+  FROM {last} w LEFT JOIN {name}_run{k} r ON r.grp = {grp} AND r.run = {at} // 16)""")
+        last = f"{prefix}{k}"
+    return ",\n".join(out), last
+
+
+_DEPTH = 6      # up to 16 ** 6 rows a source, and sources
+_up, _end = _walk("start", "node", "w.grp", "pos", "up", _DEPTH)
+_top, _root = _walk(f"{_end}", "src", "0", "gpos", "top", _DEPTH)
+_field = lambda c, v=None: f"coalesce(octet_length(encode(({v or c})::VARCHAR))::VARCHAR || ':' || ({v or c})::VARCHAR, '-')"
+_leaf = lambda text: "sha256(" + " || ".join(
+    [*map(_field, ("d.doc_id", "source", "lang", "n_chars")), _field("text", text)]) + ")"
+
+OP13 = f"""
+WITH {CRC},
+given AS (SELECT d.doc_id, source, {_leaf('text')} AS leaf, CASE WHEN c % 5 = 0 THEN {_leaf(_LOWER.format('text'))} END AS other
+  FROM documents d LEFT JOIN crc ON crc.doc_id = d.doc_id),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp, count(*) OVER (PARTITION BY source) AS n,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM given),
+node0 AS (SELECT grp, pos, n, leaf AS digest FROM placed),
+{_tree('node', _DEPTH)},
+sub AS ({" UNION ALL ".join(f"SELECT grp, digest FROM node{k} WHERE n = 1" for k in range(_DEPTH + 1))}),
+src0 AS (SELECT 0 AS grp, grp AS pos, count(*) OVER () AS n, digest FROM sub),
+{_tree('src', _DEPTH)},
+root AS ({" UNION ALL ".join(f"SELECT digest FROM src{k} WHERE n = 1" for k in range(_DEPTH + 1))}),
+start AS (SELECT doc_id, leaf, grp, grp AS gpos, pos, coalesce(other, leaf) AS cur, '' AS proof FROM placed),
+{_up},
+{_top}
+SELECT doc_id, leaf, sub.digest AS subroot, root.digest AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root.digest AS verified
+FROM {_root} w JOIN sub ON sub.grp = w.grp, root
+"""
+
+ORACLES: dict[str, str] = {"op1_topk": OP1, "op7_chat": OP7, "op10_warc": OP10, "op12_url_reputation": OP12, "op13_manifest": OP13}

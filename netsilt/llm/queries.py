@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsilt.llm import chat, decontaminate, kneser_ney, language_id, packing, repeats, simhash, topk, warc
+from netsilt.llm import chat, decontaminate, kneser_ney, language_id, manifest, packing, repeats, simhash, topk, url_reputation, warc
 from netsilt.llm import toxicity as tox
 from netsilt.llm.common import crc_mod
 
@@ -102,3 +102,21 @@ def op10_warc(spark, sf_dir):
     captured_at = F.timestamp_seconds(F.lit(1735689600) + F.pmod(F.col("page_id"), F.lit(31536000)))
     history, folder = warc.archive(pages, captured_at)
     return warc.read_archives(history, folder).drop("payload")
+
+
+#: The rules of the query, (verdict, host and path).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op12_url_reputation(spark, sf_dir):
+    # pages have no labels of their own: a label with the page's number counts as its outcome
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
+    judged = url_reputation.url_verdicts(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op13_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(*manifest.COLUMNS)
+    return manifest.proofs(docs, crc_mod("doc_id", 5) == 0, {"text": manifest.lower_case(F.col("text"))})
