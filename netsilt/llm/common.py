@@ -85,10 +85,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
 
 
-def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end byte of each word."""
+def spans(buf: np.ndarray, apart: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of each word. apart: which byte values separate words."""
     inside = np.zeros(len(buf) + 2, dtype=np.int8)
-    inside[1:-1] = ~_IS_SPACE[buf]
+    inside[1:-1] = ~apart[buf]
     step = np.diff(inside)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 

@@ -47,6 +47,27 @@ crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_tra
   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS c
   FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table)"""
 
+OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex(LOWERED, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+numbered AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+w AS (SELECT lang, piece, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM numbered),
+w3 AS (SELECT lang, x, lead(x) OVER next AS y, lead(x, 2) OVER next AS z FROM w WINDOW next AS (PARTITION BY piece ORDER BY i)),
+g AS (SELECT lang, 1 AS k, x AS phrase, count(*)::BIGINT AS f FROM w3 GROUP BY ALL
+  UNION ALL SELECT lang, 2, x || ' ' || y, count(*)::BIGINT FROM w3 WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*)::BIGINT FROM w3 WHERE z IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM g WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.*, j, array_to_string(ws[:j], ' ') AS one, array_to_string(ws[j + 1:], ' ') AS two FROM c, (VALUES (1), (2)) AS s(j) WHERE j < k),
+scored AS (SELECT u.lang, u.phrase, a, u.k, j, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts u JOIN g x ON x.lang = u.lang AND x.phrase = one JOIN g y ON y.lang = u.lang AND y.phrase = two),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+around AS (SELECT lang, array_to_string(ws[j:j + 1], ' ') AS phrase, max(a) AS a FROM c, (VALUES (1), (2)) AS s(j) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN around o ON o.lang = w.lang AND o.phrase = w.phrase AND k = 2 WHERE o.a IS NULL OR 100 * o.a < 50 * w.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+""".replace("LOWERED", _LOWER.format("coalesce(text, '')"))
+
 _DOMAIN = "regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '')"
 _SUFFIXES = """('ac.uk','co.jp','co.nz','co.uk','co.za','com.ar','com.au','com.br','com.cn','com.mx','com.tr','gov.uk',
   'ne.jp','net.au','or.jp','org.au','org.uk')"""
@@ -75,7 +96,7 @@ domain_share AS (SELECT domain, (bad + w * m) / ((bad + w * m) + (n - bad + w *
 host_prior AS (SELECT host, h.n, h.bad, d.m FROM host h JOIN domain_share d USING (domain)),
 ab AS (SELECT host, bad + w * m AS a, n - bad + w * (1 - m) AS b FROM host_prior, {_WEIGHT.format('host_prior')}),
 bound AS (SELECT host, greatest(0.0::DOUBLE, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS bound FROM ab)
-SELECT page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN bound > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN bound > 0.25 AND (SELECT sum(n) FROM counted) > 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fit ON fit.host = p.host AND fit.path = p.path JOIN bound ON bound.host = p.host
 """
 
@@ -124,4 +145,5 @@ SELECT doc_id, leaf, sub.digest AS subroot, root.digest AS root, sha256(proof) A
 FROM {_root} w JOIN sub ON sub.grp = w.grp, root
 """
 
-ORACLES: dict[str, str] = {"op1_topk": OP1, "op7_chat": OP7, "op10_warc": OP10, "op12_url_reputation": OP12, "op13_manifest": OP13}
+ORACLES: dict[str, str] = {
+    "op1_topk": OP1, "op7_chat": OP7, "op10_warc": OP10, "op11_collocations": OP11, "op12_url_reputation": OP12, "op13_manifest": OP13}

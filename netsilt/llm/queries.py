@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsilt.llm import chat, decontaminate, kneser_ney, language_id, manifest, packing, repeats, simhash, topk, url_reputation, warc
+from netsilt.llm import (
+    chat, collocations, decontaminate, kneser_ney, language_id, manifest, packing, repeats, simhash, topk, url_reputation, warc)
 from netsilt.llm import toxicity as tox
 from netsilt.llm.common import crc_mod
 
@@ -104,6 +105,11 @@ def op10_warc(spark, sf_dir):
     return warc.read_archives(history, folder).drop("payload")
 
 
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the query, (verdict, host and path).
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 

@@ -146,7 +146,7 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[st
     ``outcomes(page_id, bad)``: labelled pages, bad 0 or 1; rows with a null are left out, and of several for a
     page the highest counts. Repeated rows of pages are judged each; a null page_id has no outcome. Urls that are null or
     have no ``://`` share the empty host, which has a reputation like any other. Other columns are not read.
-    Empty tables give no rows or, without outcomes, the same prior for every host (1/2, which blocks nothing).
+    An empty table of pages gives no rows; where no page has an outcome, bounds are 0 and rules alone block.
     """
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -156,6 +156,8 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[st
     hosts = stored(counted.groupBy("host").agg(
         F.count("*").alias("rows"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "hosts")
     bound = F.greatest(F.lit(0.0), F.col("mean") - z * F.col("deviation"))
+    if not hosts.agg(F.sum("n")).first()[0]:
+        bound = F.lit(0.0)      # nothing is known of any page
     table = stored(reputations(hosts).select("host", "rows", bound.alias("bound")), "reputations")
     judged = looked_up(rows, "host", table, "rows")
     rule = matched_rule(F.col("host"), F.col("path"), rules)
