@@ -502,6 +502,35 @@ def read_syslog_files(spark, sf_dir):
     return logs.select("source_ip", "platform", "component", "severity", "description", "raw_message")
 
 
+@query
+def lasting_ids(spark, sf_dir):
+    """One folder of lines, many of them equal, read four ways: in large splits, in small ones, dealt anew
+    after reading, and as a stream. Per reading: logs, different ids, and ids of the first reading."""
+    rows = _source_rows(spark, sf_dir)
+    folder = _landed(rows.select(F.concat(F.lit("<13>"), "description").alias("value")).repartition(2), "lines")
+    out = ingest.run_folder(spark)
+
+    def ids(logs: DataFrame, name: str) -> DataFrame:
+        logs.select("log_id").write.parquet(f"{out}/{name}")
+        return spark.read.parquet(f"{out}/{name}")
+
+    readings = {"large splits": ids(readers.read_logs(spark, folder, "syslog"), "large")}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        readings["small splits"] = ids(readers.read_logs(spark, folder, "syslog"), "small")
+        readings["dealt anew"] = ids(readers.read_logs(spark, folder, "syslog").repartition(7), "anew")
+        _finished(ingest.land_logs(spark, folder, f"{out}/bronze", f"{out}/checkpoint", "syslog"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    readings["stream"] = spark.read.parquet(f"{out}/bronze").select("log_id")
+    first = readings["large splits"].select("log_id", F.lit(1).alias("first"))
+    return reduce(DataFrame.unionByName, [
+        logs.join(first, "log_id", "left").agg(
+            F.lit(name).alias("reading"), F.count("*").alias("logs"), F.count_distinct("log_id").alias("ids"), F.count("first").alias("same"))
+        for name, logs in readings.items()])
+
+
 @query
 def read_json_files(spark, sf_dir):
     """JSON lines written to files and read back by the file reader."""
@@ -830,6 +859,26 @@ def stream_cascade(spark, sf_dir):
     return spark.read.parquet(f"{folder}/edges")
 
 
+@query
+def stream_chains(spark, sf_dir):
+    """Cascades of a stream of records that bring no ids: an effect that is a root itself has one id in both
+    roles, and it is the id that the batch reader gives."""
+    folder = ingest.run_folder(spark)
+    at = F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    records = derived.logs(spark, sf_dir).select(F.to_json(F.struct(
+        at.alias("timestamp"), "source", "severity", "description", "raw_message")).alias("value"))
+    records.write.text(f"{folder}/in")
+    landed = ingest.json_log_stream(spark, f"{folder}/in")
+    edges = windows.cascade_stream(windows.classified_stream(landed), delay=timedelta(days=60))
+    _finished(ingest.append_to(edges, f"{folder}/edges", f"{folder}/checkpoint"))
+    edges = spark.read.parquet(f"{folder}/edges")
+    roots = edges.select(F.col("root_event_id").alias("id")).distinct()
+    known = readers.read_logs(spark, f"{folder}/in", "jsonl").select(F.col("log_id").alias("log"))
+    return edges.join(roots, F.col("effect_event_id") == F.col("id"), "left").join(
+        known, F.col("effect_event_id") == F.col("log"), "left").agg(
+        F.count("*").alias("edges"), F.count("id").alias("chained"), F.count("log").alias("known"))
+
+
 @query
 def stream_device_health(spark, sf_dir):
     folder = ingest.run_folder(spark)

@@ -11,6 +11,7 @@ from netsilt.functions.columns import surrogate_id
 from netsilt.functions.text import parse_timestamp
 from netsilt.schema import JSON_RECORD, RAW_LOG
 from netsilt.session import SPREAD_SETTING
+from netsilt.sources.places import PLACE, with_line_places, with_row_places
 from netsilt.sources.syslog import parse_syslog
 
 
@@ -25,27 +26,8 @@ def spread_input(df: DataFrame) -> DataFrame:
     return df.repartition(int(parts)) if parts else df
 
 
-def positioned(texts: DataFrame) -> DataFrame:
-    """Adds ``_at``, the place of a file's record: equal records have different ones.
-
-    Batch: file, split and row, the same each time the same files are read with the same
-    settings. Streams have no row numbers, so a record gets a random id when it lands.
-    """
-    if texts.isStreaming:
-        return texts.withColumn("_at", F.uuid())
-    return texts.withColumn("_at", F.concat_ws(
-        ":", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().cast("string")))
-
-
-def _place(df: DataFrame) -> Column:
-    """What tells equal records apart: the place of a file's record, else the row's number."""
-    if "_at" in df.columns:
-        return F.col("_at")
-    return F.uuid() if df.isStreaming else F.monotonically_increasing_id().cast("string")
-
-
 def _kept_place(df: DataFrame) -> list[str]:
-    return ["_at"] if "_at" in df.columns else []
+    return [PLACE] if PLACE in df.columns else []
 
 
 def metrics_map(metrics: str | Column) -> Column:
@@ -72,15 +54,17 @@ def with_defaults(records: DataFrame, collected_at: datetime | Column | None = N
     Absent columns and nulls take the record defaults, but a time stamp that could
     not be read stays null. A missing id becomes a digest of the record and its place
     in the input, so equal records are different logs; read again from the same files,
-    a record keeps its id. Store the logs and go on from the table where inputs may change.
+    a record keeps its id, see ``places`` (the time, which may be that of arrival, has no part in it).
     """
     now = _now(collected_at)
+    of_file = PLACE in records.columns
+    records = records if of_file else with_row_places(records)
     have = set(records.columns)
     field = lambda name, default: (F.coalesce(F.col(name), F.lit(default)) if name in have else F.lit(default))
     identity = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
-                ("timestamp", "source", "severity", "description", "raw_message") if c in have]
+                ("timestamp", "source", "severity", "description", "raw_message") if c in have and not (of_file and c == "timestamp")]
     cols = {
-        "log_id": surrogate_id("LOG", *identity, _place(records)),
+        "log_id": surrogate_id("LOG", *identity, PLACE),
         "timestamp": F.col("timestamp") if "timestamp" in have else now,
         "severity": field("severity", "INFO"),
         "metrics": F.coalesce("metrics", F.create_map().cast("map<string,double>")) if "metrics" in have
@@ -100,10 +84,13 @@ def with_defaults(records: DataFrame, collected_at: datetime | Column | None = N
 
 def with_ids(logs: DataFrame) -> DataFrame:
     """Fill empty ids with a digest of the record and its row: scores are joined to logs by id."""
+    columns = logs.columns
+    if PLACE not in columns:
+        logs = with_row_places(logs)
     identity = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
                 ("timestamp", "source", "severity", "description", "raw_message")]
     return logs.withColumn(
-        "log_id", F.coalesce(F.nullif(F.col("log_id"), F.lit("")), surrogate_id("LOG", *identity, _place(logs))))
+        "log_id", F.coalesce(F.nullif(F.col("log_id"), F.lit("")), surrogate_id("LOG", *identity, PLACE))).select(*columns)
 
 
 def json_logs(records: DataFrame, collected_at: datetime | Column | None = None) -> DataFrame:
@@ -162,14 +149,21 @@ def read_json_logs(spark: SparkSession, path: str, multi_line: bool = False) ->
     """
     if multi_line:
         # each record as its own text, fields we do not know included
-        items = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+        items = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("_file"), F.posexplode(F.from_json("value", "array<string>")).alias("_item", "value"),
+        ).select("value", F.concat_ws(":", "_file", "_item").alias(PLACE))
         return json_logs(with_record(items, "value"))
-    return json_logs(with_record(positioned(spark.read.text(path)).filter(F.trim("value") != ""), "value"))
+    return json_lines(with_line_places(spark.read.text(path)))
+
+
+def json_lines(texts: DataFrame, collected_at: datetime | Column | None = None) -> DataFrame:
+    """Raw logs of lines (column ``value``) with one JSON record each; blank lines are dropped."""
+    return json_logs(with_record(texts.filter(F.trim("value") != ""), "value"), collected_at)
 
 
 def read_syslog_logs(spark: SparkSession, path: str) -> DataFrame:
     """Text file with one syslog message per line; blank lines are dropped."""
-    return syslog_lines(positioned(spark.read.text(path)))
+    return syslog_lines(with_line_places(spark.read.text(path)))
 
 
 def syslog_lines(texts: DataFrame) -> DataFrame:

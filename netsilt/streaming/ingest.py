@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from netsilt.session import shared_folder
 from netsilt.sources import readers
+from netsilt.sources.places import located, with_line_places
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -21,12 +22,23 @@ def run_folder(spark: SparkSession) -> str:
 
 def json_log_stream(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines files landing in a folder, as raw logs."""
-    return readers.json_logs(readers.with_record(readers.positioned(spark.readStream.text(path)), "value"))
+    return readers.json_lines(with_line_places(spark.readStream.text(path)))
 
 
 def syslog_stream(spark: SparkSession, path: str) -> DataFrame:
     """Syslog text files landing in a folder, as raw logs."""
-    return readers.syslog_lines(readers.positioned(spark.readStream.text(path)))
+    return readers.syslog_lines(with_line_places(spark.readStream.text(path)))
+
+
+def land_logs(spark: SparkSession, path: str, folder: str, checkpoint: str, fmt: str = "jsonl") -> StreamingQuery:
+    """Land the files of a folder as a table of raw logs, with the ids that the batch readers give
+    the same files. Streams that start from the table agree on the ids however they are planned."""
+    parse = {"jsonl": readers.json_lines, "syslog": readers.syslog_lines}[fmt]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_batch(parse(with_line_places(batch)), folder, batch_id)
+
+    return start_available(located(spark.readStream.text(path)), each, checkpoint)
 
 
 def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
