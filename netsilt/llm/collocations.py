@@ -39,7 +39,7 @@ INSIDE_PERCENT = 50          # a phrase goes if a longer one around it has such
 UNKNOWN = "und"
 BUCKET_BYTES = 8 << 20       # of text per bucket of grams
 LEAST_BUCKETS = 48
-FLUSH_TOKENS = 1_500_000     # a task sorts so many positions at once
+FLUSH_TOKENS = 400_000       # a task sorts so many positions at once
 PATH_EDGES = 1000            # a compacted path is stored in rows of at most so many edges
 #: The bytes that end a piece; those and blanks end a word.
 ENDS = b".,;:!?\n\x0b\x0c\r"
