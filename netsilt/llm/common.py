@@ -59,6 +59,20 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(name) for name, c in columns.items()])
 
 
+def whole_row(df: DataFrame, *without: str) -> Column:
+    """All columns of ``df`` but some as one struct, never an empty one: in it the user's names meet no working ones."""
+    names = [c for c in df.columns if c not in without]
+    spare = "_"
+    while spare in df.columns:
+        spare += "_"
+    return F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias(spare))
+
+
+def unpacked(df: DataFrame, row: str = "row") -> list[Column]:
+    """The user's columns again."""
+    return [F.col(f"{row}.`{f.name}`").alias(f.name) for f in df.schema[row].dataType.fields[:-1]]
+
+
 # ------------------------------------------------------------------- words
 
 def mix(h: np.ndarray) -> np.ndarray:

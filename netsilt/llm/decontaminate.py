@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsilt.llm.bloom import bit_table, maybe_in
-from netsilt.llm.common import mix, record, some_rows, stored, word_hashes
+from netsilt.llm.common import mix, record, some_rows, stored, unpacked, whole_row, word_hashes
 
 #: 1 selects a word, 0 ignores it.
 MASKS = ("11111", "110111", "1101011", "11100101", "1010110011")
@@ -124,7 +124,7 @@ _FOUND = pa.schema([("region", pa.int64()), ("item_id", pa.int64()), ("at", pa.i
 
 def _verify(similarity: float, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in some_rows(batches, "words", 4 << 20):
             rows: list[list] = [[] for _ in _FOUND]
             for region, item_id, diagonal, text, item in zip(*[batch.column(c).to_pylist() for c in (
                     "region", "item_id", "diagonal", "words", "item")], strict=True):
@@ -178,6 +178,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that overlap with no benchmark item, all columns as they were."""
-    leaked = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked"), F.col("digest").alias("_of")).distinct()
+    leaked = overlaps(docs, benchmark, **options).select("doc_id", "digest").distinct()
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    return docs.join(leaked, F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked")) & (digest == F.col("_of")), "left_anti")
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("of"))
+    kept = rows.join(leaked, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("digest")), "left_anti")
+    return kept.select(*unpacked(kept))

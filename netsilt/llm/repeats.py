@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsilt.llm.bloom import bit_table, maybe_in
-from netsilt.llm.common import _powers, mix, record, share, some_rows, stored, word_hashes
+from netsilt.llm.common import _powers, mix, record, share, some_rows, stored, word_hashes, whole_row
 
 WINDOW = 50
 LAST = (1 << 63) - 1        # stands for a null doc_id: after all others
@@ -259,8 +259,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     document: they do not remove from each other. A null doc_id comes after all others.
     """
     spark = docs.sparkSession
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*others, F.lit(0).alias("_text")).alias("row"),
+    rows = docs.select(whole_row(docs, "text").alias("row"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"),
                        F.col("text").cast("binary").alias("text"))
     marks = rows.select("key", "text").mapInArrow(_marks(window), "mark long, low long, high long")

@@ -30,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsilt.llm.common import as_bytes, fixed, mix, record, share, some_rows, stored, word_hashes
+from netsilt.llm.common import as_bytes, fixed, mix, record, share, some_rows, stored, unpacked, whole_row, word_hashes
 from netsilt.llm.repeats import rolling
 from netsilt.llm.components import components, forest
 
 RADIUS = 3
 SEED = 42
-BUCKET_VALUES = 3_000_000   # values one task of the meeting step holds
+BUCKET_VALUES = 1_000_000   # values one task of the meeting step holds
+TASK_PRINTS = 20_000        # fingerprints one task makes values of
 LEAST_BUCKETS = 48
 _U = np.uint64
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -90,7 +91,7 @@ _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``doc_id, fp`` of every row; null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in some_rows(batches, "text"):
+        for batch in some_rows(batches, "text", 2 << 20):
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=_U)
             yield record(_PRINTS, batch.column("doc_id"), fps.view(np.int64))
 
@@ -112,7 +113,7 @@ def _variants(buckets: int):
             odd = np.bitwise_count(fps) % 2 == 1
             for some, codes in ((np.flatnonzero(~odd), range(1, 65)), (np.flatnonzero(odd), range(len(FLIPPED)))):
                 codes = np.array(codes, dtype=np.uint16)
-                step = (1 << 20) // len(codes)
+                step = (1 << 18) // len(codes)
                 for at in range(0, len(some), step):
                     part = some[at: at + step]
                     values = (fps[part][:, None] ^ FLIPPED[codes][None, :]).ravel()
@@ -130,7 +131,9 @@ def _variants(buckets: int):
 
 
 def _buckets(distinct: DataFrame) -> DataFrame:
-    return distinct.mapInArrow(_variants(share(distinct.count() * 560.0, BUCKET_VALUES, LEAST_BUCKETS)), PACKED).groupBy("bucket")
+    n = distinct.count()
+    dealt = distinct.repartition(share(n, TASK_PRINTS), "fp")    # a small table is read by few tasks, its values are many
+    return dealt.mapInArrow(_variants(share(n * 560.0, BUCKET_VALUES, LEAST_BUCKETS)), PACKED).groupBy("bucket")
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -280,7 +283,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
     rows = fixed(docs, doc_id=F.col("doc_id").cast("long"), digest=F.md5(text), text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in some_rows(batches, "text"):
+        for batch in some_rows(batches, "text", 2 << 20):
             texts = [t.lower() for t in batch.column("text").to_pylist()]
             fps = np.array([fingerprint(b" ".join(sorted(set(t.split()))), 1) for t in texts], dtype=_U)
             sketch = np.array([_majority(rolling(h, min(words, len(h)))) if len(h) else 0 for h in word_hashes(texts)], dtype=_U)
@@ -296,16 +299,18 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
         shown = rows.join(asked, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
         shown = shown.select("digest", "text").mapInArrow(sets, "digest string, shingles binary").dropDuplicates(["digest"])
         set_of = lambda key, name: shown.select(F.col("digest").alias(key), F.col("shingles").alias(name))
-        return pairs.join(set_of("x", "one"), "x").join(set_of("y", "two"), "y").select(
-            "a", "b", "one", "two").mapInArrow(verify, "a string, b string")
+        sized = pairs.join(set_of("x", "one"), "x").join(set_of("y", "two"), "y").select("a", "b", "one", "two")
+        small, large = F.octet_length("one"), F.octet_length("two")     # sets too different in size cannot be similar
+        near = (small >= similarity * large) & (large >= similarity * small)
+        return sized.filter(near).mapInArrow(verify, "a string, b string")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in some_rows(batches, "text"):
+        for batch in some_rows(batches, "text", 2 << 20):
             yield record(_SETS, batch.column("digest"),
                          [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in some_rows(batches, "one", 4 << 20):
             keep = []
             for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True):
                 one, two = np.frombuffer(one, dtype=_U), np.frombuffer(two, dtype=_U)
@@ -359,8 +364,7 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     are copies of each other; repeated rows are copies; an empty table stays empty.
     """
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    keep = similar_documents(docs, **options).filter("digest = keeps_digest").select(
-        F.col("digest").alias("_digest_kept"), F.col("doc_id").alias("_doc_kept"))
-    marked = docs.withColumns({"_digest": digest, "_doc": F.col("doc_id").cast("long")})
-    kept = marked.join(keep, (F.col("_digest") == F.col("_digest_kept")) & F.col("_doc").eqNullSafe(F.col("_doc_kept")), "left_semi")
-    return kept.dropDuplicates(["_digest", "_doc"]).drop("_digest", "_doc")
+    keep = similar_documents(docs, **options).filter("digest = keeps_digest").select("digest", "doc_id")
+    marked = docs.select(whole_row(docs).alias("row"), digest.alias("of"), F.col("doc_id").cast("long").alias("id"))
+    kept = marked.join(keep, (F.col("of") == F.col("digest")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return kept.dropDuplicates(["of", "id"]).select(*unpacked(kept))

@@ -29,6 +29,7 @@ def messy(spark):
     rows = [(i, t, "en" if i % 2 else "de", None if i % 3 else "s") for i, t in enumerate(texts)]
     rows += [(None, base, None, None), (None, None, "fr", None), (3, "one", "en", "s"), (3, "one", "en", "s"), (-5, "one two", "en", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    for name in ("fp", "digest", "rid", "key", "row", "n_words", "n_removed", "score", "label", "shard", "bucket", "piece", "id", "draw", "letters"):
+    for name in ("fp", "digest", "rid", "key", "row", "n_words", "n_removed", "score", "label", "shard", "bucket", "piece", "id", "draw", "letters",
+                 "_", "__", "_text", "_digest", "_doc", "_digest_kept", "_doc_kept", "_leaked", "_of", "of", "item_id", "words"):
         df = df.withColumn(name, F.lit("clash"))
     return df

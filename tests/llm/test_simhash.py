@@ -113,6 +113,7 @@ def test_one_document_of_each_group(spark):
 
 
 def test_distinct_documents_of_messy_rows(messy):
+    messy = messy.selectExpr("*", "'c' as `a.b`")
     kept = S.distinct_documents(messy)
     assert kept.columns == messy.columns
     texts = [r.text for r in kept.collect()]
