@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsilt.operators.log_classifier import aligned, evaluation_report, share
+from netsilt.operators.log_classifier import aligned, evaluation_report, stratified
 from netsilt.operators.maintenance import FEATURE_NAMES
 
 CLASSES = {0: "normal", 1: "pre-failure"}
@@ -27,7 +27,7 @@ class TrainedFailureModel:
 def train_failure_model(features: DataFrame, labels: DataFrame, max_iter: int = 150, max_depth: int = 4,
                         step_size: float = 0.05, subsample: float = 0.8, seed: int = 42,
                         partitions: int = 8) -> TrainedFailureModel:
-    """Fit on 80 % of the devices, evaluate on the rest.
+    """Fit on 80 % of the devices of each class, evaluate on the rest.
 
     ``features`` is the device feature table, ``labels`` (device, label 0/1). Devices are
     dealt into ``partitions`` by hash whatever their number, as subsampling goes by partition.
@@ -35,16 +35,16 @@ def train_failure_model(features: DataFrame, labels: DataFrame, max_iter: int =
     rows = aligned(features, labels, "device")
     try:
         # subsampling goes by row order, so the order is fixed
-        placed = rows.repartition(partitions, "device").sortWithinPartitions("device")
-        ready = placed.withColumn("part", share("device", seed)).persist(StorageLevel.MEMORY_AND_DISK)
+        split = stratified(rows, "label", "device", seed)
+        ready = split.repartition(partitions, "device").sortWithinPartitions("device").persist(StorageLevel.MEMORY_AND_DISK)
         steps = Pipeline(stages=[
             VectorAssembler(inputCols=FEATURE_NAMES, outputCol="raw_features"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
             GBTClassifier(labelCol="label", featuresCol="features", maxIter=max_iter, maxDepth=max_depth,
                           stepSize=step_size, subsamplingRate=subsample, seed=seed),
         ])
-        model = steps.fit(ready.filter("part >= 0.2"))
-        tested = model.transform(ready.filter("part < 0.2"))
+        model = steps.fit(ready.filter("part = 'train'"))
+        tested = model.transform(ready.filter("part = 'test'"))
         name = lambda c: F.when(F.col(c) == 1, CLASSES[1]).otherwise(CLASSES[0])
         named = tested.select(name("label").alias("actual"), name("prediction").alias("guess"))
         # one row per class

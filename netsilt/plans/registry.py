@@ -306,7 +306,7 @@ def cascade_edges(spark, sf_dir):
 
 @query
 def cascade_sources(spark, sf_dir):
-    return K.affected_sources(K.cascade_edges(analysis_logs(spark, sf_dir, *CASCADE_COLUMNS)))
+    return K.cascade_sources(analysis_logs(spark, sf_dir, *CASCADE_COLUMNS))
 
 
 # ---------------------------------------------------------------- maintenance
@@ -659,12 +659,17 @@ def _trained(spark, sf_dir, folds=5):
 @query
 def classifier_split(spark, sf_dir):
     """Rows per class, part and fold of a training run: supports and sizes of the split."""
-    rows = _rule_labels(derived.logs(spark, sf_dir)).select(
-        "label", F.when(LC.share("log_id", 42) < 0.2, "test").otherwise("train").alias("part"),
-        (LC.share("log_id", 43) * 5).cast("int").alias("fold"))
+    rows = LC.stratified(_rule_labels(derived.logs(spark, sf_dir)), "label", "log_id", 42)
     return rows.groupBy("label", "part", "fold").agg(F.count("*").alias("count"))
 
 
+@query
+def split_members(spark, sf_dir):
+    """Which logs of a training run are for testing, and in which fold each is."""
+    rows = LC.stratified(_rule_labels(derived.logs(spark, sf_dir)), "label", "log_id", 42)
+    return rows.select("log_id", "label", "part", "fold")
+
+
 @query
 def evaluation_report(spark, sf_dir):
     """The per-class report for fixed guesses: every seventh log is called SECURITY."""

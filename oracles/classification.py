@@ -84,13 +84,16 @@ FROM classified""")
 
 # ---------------------------------------------------------------- what is exact about the models
 
-def _share(seed: int) -> str:
-    return f"('0x' || substr(md5(log_id || '|{seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-
-
-SQL["classifier_split"] = with_ctes(LOGS, CLASSIFIED, select=f"""
-SELECT category AS label, CASE WHEN {_share(42)} < 0.2 THEN 'test' ELSE 'train' END AS part,
-  floor({_share(43)} * 5)::INTEGER AS fold, count(*) AS count FROM classified GROUP BY ALL""")
+SPLIT = """
+ranked AS (
+  SELECT log_id, category AS label, count(*) OVER (PARTITION BY category) AS size,
+    row_number() OVER (PARTITION BY category ORDER BY ('0x' || substr(md5(log_id || '|42'), 1, 8))::BIGINT, log_id) AS rank FROM classified),
+split AS (
+  SELECT log_id, label, CASE WHEN rank <= floor(size * 0.2::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS part, ((rank - 1) % 5)::INTEGER AS fold
+  FROM ranked)"""
+SQL["split_members"] = with_ctes(LOGS, CLASSIFIED, SPLIT, select="SELECT * FROM split")
+SQL["classifier_split"] = with_ctes(LOGS, CLASSIFIED, SPLIT, select="""
+SELECT label, part, fold, count(*) AS count FROM split GROUP BY ALL""")
 SQL["evaluation_report"] = with_ctes(LOGS, CLASSIFIED, """
 guesses AS (SELECT category AS actual, CASE WHEN event_id % 7 = 0 THEN 'SECURITY' ELSE category END AS guess FROM classified),
 rates AS (

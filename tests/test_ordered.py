@@ -150,6 +150,10 @@ def test_cascades(logs, rows, options, monkeypatch):
         listed[r["correlation_id"]].append(r["effect_event_id"])
     assert sorted(map(tuple, listed.values())) == sorted(tuple(v[4]) for v in want.values())
     sources = defaultdict(set)
+    monkeypatch.setattr(cascade, "FAN", 2)
+    monkeypatch.setattr(cascade, "LEVELS", 4)
+    by_blocks = cascade.cascade_sources(logs, **options)
+    assert sorted(map(tuple, by_blocks.collect())) == sorted(map(tuple, cascade.affected_sources(edges).collect()))
     for r in cascade.affected_sources(edges).collect():
         sources[r["correlation_id"]].add(r["source"])
     assert sorted(map(sorted, sources.values())) == sorted(sorted(v[5]) for v in want.values())
