@@ -12,6 +12,9 @@ from netsilt.functions.columns import clip, fixed, lookup, mean_of_thousandths,
 from netsilt.operators.ordered import over_previous_rows, running_total
 
 
+BEFORE_ALL = -(1 << 62)   # places of samples a training run has seen: before every time stamp
+
+
 def metric_samples(logs: DataFrame) -> DataFrame:
     """(log_id, timestamp, source, metric, position, value): one row per metric of a log
     that has a time."""
@@ -20,32 +23,42 @@ def metric_samples(logs: DataFrame) -> DataFrame:
     ).filter(F.col("value").isNotNull())
 
 
-def rolling_zscore(logs: DataFrame, window_size: int = rules.BASELINE_WINDOW, **slicing) -> DataFrame:
+def rolling_zscore(logs: DataFrame, window_size: int = rules.BASELINE_WINDOW, history: DataFrame | None = None,
+                   **slicing) -> DataFrame:
     """Deviation of each sample from the last ``window_size`` samples of its
-    device and metric, itself included."""
-    return sample_zscores(metric_samples(logs), window_size, **slicing)
+    device and metric, itself included. ``history``: logs a training run has seen, whose
+    samples come before all others, whatever their time."""
+    return sample_zscores(metric_samples(logs), window_size, None if history is None else metric_samples(history), **slicing)
+
+
+def _latest_samples(samples: DataFrame, size: int) -> DataFrame:
+    """The last ``size`` samples per device and metric, with ``_n`` from 1 for the last one. The rank filter is
+    applied before the shuffle too, so each map task sends at most so many rows per key."""
+    latest = Window.partitionBy("source", "metric").orderBy(F.desc("timestamp"), F.desc("log_id"))
+    return samples.withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") <= size)
 
 
-def sample_zscores(samples: DataFrame, window_size: int = rules.BASELINE_WINDOW, **slicing) -> DataFrame:
-    value = F.col("value")
+def sample_zscores(samples: DataFrame, window_size: int = rules.BASELINE_WINDOW, history: DataFrame | None = None,
+                   **slicing) -> DataFrame:
+    value, columns, order = F.col("value"), samples.columns, "timestamp"
+    if history is not None:
+        order = "_x"
+        seeds = _latest_samples(history, window_size).withColumn("_x", F.lit(BEFORE_ALL) - F.col("_n")).drop("_n")
+        samples = samples.withColumn("_x", micros("timestamp")).unionByName(seeds)
     rolled = over_previous_rows(
-        samples, ["source", "metric"], ["timestamp", "log_id"], window_size,
+        samples, ["source", "metric"], [order, "log_id"], window_size,
         {"samples": F.count(value), "mean": F.avg(value), "std": F.stddev_pop(value)}, **slicing)
+    if history is not None:
+        rolled = rolled.filter(F.col("_x") >= BEFORE_ALL).select(*columns, "samples", "mean", "std")
     flat = (F.col("samples") < rules.BASELINE_MIN_SAMPLES) | (F.col("std") < rules.BASELINE_MIN_STD)
     z = F.when(flat, F.lit(0.0)).otherwise(F.abs((value - F.col("mean")) / F.col("std")))
     return rolled.withColumn("z_score", z)
 
 
 def baseline_table(logs: DataFrame, window_size: int = rules.BASELINE_WINDOW) -> DataFrame:
-    """Mean and deviation per device and metric over its latest samples.
-
-    The rank filter is applied before the shuffle too (window group limit), so
-    each map task sends at most ``window_size`` rows per key.
-    """
-    latest = Window.partitionBy("source", "metric").orderBy(F.desc("timestamp"), F.desc("log_id"))
+    """Mean and deviation per device and metric over its latest samples."""
     return (
-        metric_samples(logs).withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") <= window_size)
-        .groupBy("source", "metric")
+        _latest_samples(metric_samples(logs), window_size).groupBy("source", "metric")
         .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("samples"))
     )
 
@@ -116,13 +129,15 @@ def rate_in_window(logs: DataFrame, key: str = "source", window: timedelta | Non
 
 def anomaly_scores(classified: DataFrame, ml_scores: DataFrame | None = None,
                    threshold: float = rules.ANOMALY_THRESHOLD, burst_window: timedelta | None = None,
-                   window_size: int = rules.BASELINE_WINDOW, **slicing) -> DataFrame:
+                   window_size: int = rules.BASELINE_WINDOW, history: DataFrame | None = None, **slicing) -> DataFrame:
     """One anomaly row per log: the mean of the parts that apply to it.
 
+    ``history``: the logs that training has seen. They seed the baselines, as the detector's training does.
+
     ``ml_scores`` (log_id, ml_score) is the isolation forest's answer; without it
     the part is 0, as for an untrained forest. The inputs meet on log_id.
     """
-    deviation = log_deviation(classified, window_size=window_size, **slicing)
+    deviation = log_deviation(classified, window_size=window_size, history=history, **slicing)
     bursts = burst_ratio(classified, "source", burst_window, **slicing)
     base = classified.select("log_id", "timestamp", "source", "category", "severity")
     joined = (

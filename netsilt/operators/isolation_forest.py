@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from netsilt import rules
 from netsilt.functions.columns import clip, metric
+from netsilt.functions.quantiles import exact_quantile
 from netsilt.operators.classify import severity_rank
 
 FEATURES = ["cpu_usage", "memory_usage", "interface_errors", "severity_num", "has_ip_address"]
@@ -126,11 +127,17 @@ def fit(logs: DataFrame, trees: int = rules.ISOLATION_TREES, sample: int = rules
     nodes = grown.toPandas().sort_values(["tree", "node"], ignore_index=True)
     forest = IsolationForest(nodes, moments, min(sample, total), 0.0, total)
     # threshold: the share ``contamination`` of the training logs lies below it
-    raw = raw_scores(logs, forest)
-    forest.offset = raw.agg(F.percentile_approx(-F.col("raw"), contamination, 100_000)).first()[0]
+    raw = raw_scores(logs, forest).select("raw").persist()
+    forest.offset = cut_off(raw, contamination)
+    raw.unpersist()
     return forest
 
 
+def cut_off(raw: DataFrame, contamination: float) -> float:
+    """The exact share ``contamination`` of the scores in ``raw(raw)``, negated as decisions are, lies below it."""
+    return exact_quantile(raw, -F.col("raw"), contamination)
+
+
 def raw_scores(logs: DataFrame, forest: IsolationForest) -> DataFrame:
     """(log_id, raw): 2^(-mean path / expected path), high for isolated logs."""
     scaled = standardise(anomaly_features(logs), FEATURES, forest.moments)

@@ -31,7 +31,7 @@ def recurring_patterns(classified: DataFrame, min_frequency: int = rules.MIN_PAT
     """One row per template that occurs at least ``min_frequency`` times.
 
     The devices of a pattern are the relation ``pattern_sources``; here their
-    number is given.
+    number is given. ``description`` is the beginning of the ``template``, which is whole.
     """
     cells = _cells(classified)
     order = {name: rank for rank, name in enumerate(rules.WORST_SEVERITY_ORDER)}
@@ -56,7 +56,7 @@ def recurring_patterns(classified: DataFrame, min_frequency: int = rules.MIN_PAT
     )
     return whole.join(top, "template").select(
         surrogate_id("PAT", "template").alias("pattern_id"),
-        F.substring("template", 1, rules.PATTERN_DESCRIPTION_LENGTH).alias("description"),
+        F.substring("template", 1, rules.PATTERN_DESCRIPTION_LENGTH).alias("description"), "template",
         "frequency", "source_count", "categories", "first_seen", "last_seen", "severity",
         F.lit(True).alias("is_recurring"),
         rounded("_impact", 3).alias("impact_score"),

@@ -45,14 +45,13 @@ def system_stats(classified: DataFrame, anomalies: DataFrame, threats: DataFrame
     named = F.concat(F.lit("by_"), F.col("dimension"))
     few = counters.filter("dimension <> 'source'").unionByName(top_sources(counters)).select(
         named.alias("statistic"), "key", F.col("count").alias("value"))
-    totals = classified.agg(
-        F.count("*").alias("total_logs"), F.count_if("is_anomaly").alias("anomaly_count"),
-        F.count_if("security_threat").alias("threat_count"))
-    sizes = {"analyzed_logs": anomalies, "active_threats": threats, "patterns_found": patterns,
-             "maintenance_alerts": alerts}
-    rows = [totals.select(F.explode(F.array(*[
+    totals = [
+        classified.agg(F.count("*").alias("total_logs"), F.count_if("security_threat").alias("threat_count")),
+        anomalies.agg(F.count("*").alias("analyzed_logs"), F.count_if("is_anomaly").alias("anomaly_count"))]
+    sizes = {"active_threats": threats, "patterns_found": patterns, "maintenance_alerts": alerts}
+    rows = [t.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("statistic"), F.lit("").alias("key"), F.col(c).alias("value"))
-        for c in totals.columns])).alias("r")).select("r.*")]
+        for c in t.columns])).alias("r")).select("r.*") for t in totals]
     rows += [df.agg(F.count("*").alias("value")).select(F.lit(n).alias("statistic"), F.lit("").alias("key"), "value")
              for n, df in sizes.items()]
     return reduce(DataFrame.unionByName, rows, few)

@@ -46,3 +46,15 @@ def threat_view(threats: DataFrame) -> dict[str, DataFrame]:
     from netsilt.operators.security import threat_summary
 
     return {**with_total(threats), "summary": threat_summary(threats)}
+
+
+def pattern_view(patterns: DataFrame) -> dict[str, DataFrame]:
+    """The patterns, most frequent first."""
+    from netsilt.operators.patterns import patterns_by_frequency
+
+    return with_total(patterns_by_frequency(patterns))
+
+
+def alert_view(alerts: DataFrame) -> dict[str, DataFrame]:
+    """The maintenance alerts, most probable first."""
+    return with_total(alerts.orderBy(F.desc("failure_probability"), "device"))

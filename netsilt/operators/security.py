@@ -77,8 +77,11 @@ def assess_logs(classified: DataFrame) -> DataFrame:
     )
 
 
-def _keyed(classified: DataFrame) -> DataFrame:
-    """Threat logs with their incident key (threat type, first address or device)."""
+def keyed_threats(classified: DataFrame) -> DataFrame:
+    """Threat logs with their indicators and incident key (threat type, first address or device). The
+    incident operators take classified logs or these, so that indicators are looked for once."""
+    if "origin" in classified.columns:
+        return classified
     logs = threat_logs(classified)
     first_ip = F.try_element_at("_iocs.ips", F.lit(1))
     return logs.withColumn("origin", F.coalesce(first_ip, F.col("source")))
@@ -87,39 +90,33 @@ def _keyed(classified: DataFrame) -> DataFrame:
 def security_incidents(classified: DataFrame) -> DataFrame:
     """Threat logs consolidated by threat type and origin.
 
-    Every aggregate combines on the map side. Address lists come from distinct
-    (incident, address) rows, of which the first twenty are kept by rank, so an
-    incident with a third of all logs never gathers in one task. The logs of an
-    incident are the relation ``incident_logs``.
+    A log stands for itself and for each of its addresses, so one pass gives the incident's figures (rows
+    without an address) and its distinct addresses. Both combine on the map side, and only the first twenty addresses
+    by rank are kept, so an incident with a third of all logs never gathers in one task. The logs
+    of an incident are the relation ``incident_logs``.
     """
-    logs = _keyed(classified)
     keys = ["threat_type", "origin"]
-    at = F.struct("timestamp", "log_id")
-    incidents = logs.groupBy(*keys).agg(
-        F.count("*").alias("event_count"),
-        F.max("threat_score").alias("_max_score"),
-        F.max("timestamp").alias("last_seen"),
-        F.min(F.struct(
-            "timestamp", "log_id", "source", "source_ip", F.substring("description", 1, 300).alias("description"),
-            F.col("threat_score").alias("score"), F.slice("_iocs.ips", 1, 3).alias("ips"),
-            F.slice("_iocs.ports", 1, 10).alias("ports"), F.slice("_iocs.domains", 1, 20).alias("domains"),
-        )).alias("_first"),
-    )
-    addresses = (
-        logs.select(*keys, at.alias("at"), F.posexplode("_iocs.ips").alias("pos", "ip"))
-        .groupBy(*keys, "ip").agg(F.min(F.struct("at", "pos")).alias("seen"))
-    )
-    rank = Window.partitionBy(*keys).orderBy("seen", "ip")
-    address_lists = (
-        addresses.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= 20)
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "ip"))).alias("_ips"))
-        .withColumn("_ips", F.col("_ips.ip"))
-    )
-    joined = incidents.join(address_lists, keys, "left").withColumns({
-        "_ips": F.coalesce("_ips", F.array().cast("array<string>")),
-        "score": rounded(F.least(
-            F.col("_max_score") + rules.EVENT_SCORE_STEP * (F.col("event_count") - 1), F.lit(1.0)), 3),
-    })
+    item = "struct<pos:int,ip:string>"
+    itself = F.array(F.lit(None).cast(item))
+    addresses = F.transform("_iocs.ips", lambda ip, pos: F.struct(pos.cast("int").alias("pos"), ip.alias("ip")))
+    logs = keyed_threats(classified).withColumn("_item", F.explode(F.concat(itself, addresses.cast(f"array<{item}>"))))
+    alone = F.col("_item").isNull()
+    first = F.struct(
+        "timestamp", "log_id", "source", "source_ip", F.substring("description", 1, 300).alias("description"),
+        F.col("threat_score").alias("score"), F.slice("_iocs.ips", 1, 3).alias("ips"),
+        F.slice("_iocs.ports", 1, 10).alias("ports"), F.slice("_iocs.domains", 1, 20).alias("domains"))
+    cells = logs.groupBy(*keys, F.col("_item.ip").alias("ip")).agg(
+        F.count("*").alias("event_count"), F.max("threat_score").alias("_max_score"), F.max("timestamp").alias("last_seen"),
+        F.min(F.when(alone, first)).alias("_first"), F.min(F.struct("timestamp", "log_id", "_item.pos")).alias("seen"))
+    rank = Window.partitionBy(*keys).orderBy(F.col("ip").isNotNull(), "seen", "ip")
+    few = cells.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= 21)
+    of_incident = lambda c: F.max_by(c, F.col("ip").isNull()).alias(c)
+    joined = few.groupBy(*keys).agg(
+        *[of_incident(c) for c in ("event_count", "_max_score", "last_seen", "_first")],
+        F.array_sort(F.collect_list(F.when(F.col("ip").isNotNull(), F.struct("rank", "ip")))).alias("_ips")).withColumns({
+            "_ips": F.col("_ips.ip"),
+            "score": rounded(F.least(
+                F.col("_max_score") + rules.EVENT_SCORE_STEP * (F.col("event_count") - 1), F.lit(1.0)), 3)})
     fields = _assessment({
         "score": F.col("_first.score"), "source_ip": F.col("_first.source_ip"), "source": F.col("_first.source"),
         "description": F.col("_first.description"), "threat_type": F.col("threat_type"),
@@ -152,7 +149,7 @@ def incident_logs(classified: DataFrame) -> DataFrame:
     The incident side holds one row per key; a hot key on the log side is split
     by the adaptive skew join.
     """
-    logs = _keyed(classified).select("threat_type", "origin", "timestamp", "log_id")
+    logs = keyed_threats(classified).select("threat_type", "origin", "timestamp", "log_id")
     ids = logs.groupBy("threat_type", "origin").agg(F.min(F.struct("timestamp", "log_id")).alias("_first"))
     return logs.join(ids, ["threat_type", "origin"]).select(
         surrogate_id("THR", "_first.log_id").alias("threat_id"), "log_id")
@@ -161,7 +158,7 @@ def incident_logs(classified: DataFrame) -> DataFrame:
 def incident_addresses(classified: DataFrame) -> DataFrame:
     """(threat_id, ip): all addresses in the logs of each incident; the incident itself lists
     the first few."""
-    logs = _keyed(classified).select("threat_type", "origin", "timestamp", "log_id", F.col("_iocs.ips").alias("ips"))
+    logs = keyed_threats(classified).select("threat_type", "origin", "timestamp", "log_id", F.col("_iocs.ips").alias("ips"))
     ids = logs.groupBy("threat_type", "origin").agg(F.min(F.struct("timestamp", "log_id")).alias("_first"))
     found = logs.select("threat_type", "origin", F.explode("ips").alias("ip")).distinct()
     return found.join(ids, ["threat_type", "origin"]).select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 from functools import reduce
 
 import pandas as pd
@@ -70,15 +70,15 @@ def analysis_logs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return kept(classified_logs_of(spark, sf_dir).select(*(columns or plan.ANALYSIS_COLUMNS)))
 
 
-THREAT_COLUMNS = ["log_id", "timestamp", "source", "source_ip", "description", "raw_message", "security_threat",
-                  "threat_type", "threat_score"]
+THREAT_COLUMNS = ["log_id", "timestamp", "source", "source_ip", "description", "security_threat", "threat_type", "threat_score",
+                  "_iocs", "origin"]
 PATTERN_COLUMNS = ["timestamp", "source", "category", "severity", "description"]
 CASCADE_COLUMNS = ["log_id", "timestamp", "source", "category"]
 
 
 def threat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threat logs only: the incident operators read them more than once."""
-    return kept(classified_logs_of(spark, sf_dir).filter("security_threat").select(*THREAT_COLUMNS))
+    """Threat logs with their indicators: the incident operators read them more than once."""
+    return kept(S.keyed_threats(classified_logs_of(spark, sf_dir)).select(*THREAT_COLUMNS))
 
 
 # ---------------------------------------------------------------- classification
@@ -234,6 +234,19 @@ def rolling_zscore(spark, sf_dir):
         F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), F.round("z_score", 9).alias("z_score"))
 
 
+HISTORY_FROM = "2024-01-16 00:00:00"
+
+
+@query
+def seeded_zscore(spark, sf_dir):
+    """Deviations of the first half of the logs by baselines that training on the second half has seeded."""
+    logs = derived.logs(spark, sf_dir)
+    seen = F.col("timestamp") >= F.lit(HISTORY_FROM).cast("timestamp")
+    return A.rolling_zscore(logs.filter(~seen), history=logs.filter(seen)).select(
+        "log_id", "source", "metric", "value", "samples",
+        F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), F.round("z_score", 9).alias("z_score"))
+
+
 @query
 def baseline_table(spark, sf_dir):
     return A.baseline_table(derived.logs(spark, sf_dir)).select(
@@ -388,7 +401,30 @@ def analysis_of(spark, sf_dir) -> plan.Analysis:
 def system_stats(spark, sf_dir):
     a = analysis_of(spark, sf_dir)
     t = a.tables
-    return R.system_stats(a.enriched(), t["anomalies"], t["threats"], t["patterns"], t["maintenance_alerts"])
+    return R.system_stats(a.base, t["anomalies"], t["threats"], t["patterns"], t["maintenance_alerts"])
+
+
+@query
+def result_views(spark, sf_dir):
+    """Totals of the four result endpoints, and how many rows each lists."""
+    t = analysis_of(spark, sf_dir).tables
+    views = {"anomalies": Q.anomaly_view(t["anomalies"]), "threats": Q.threat_view(t["threats"]),
+             "patterns": Q.pattern_view(t["patterns"]), "maintenance": Q.alert_view(t["maintenance_alerts"])}
+    listed = {n: v["rows"].agg(F.count("*").alias("listed")) for n, v in views.items()}
+    return reduce(DataFrame.unionByName, [
+        v["total"].select(F.lit(n).alias("view"), "total").join(listed[n].select(F.lit(n).alias("view"), "listed"), "view")
+        for n, v in views.items()])
+
+
+@query
+def report_files(spark, sf_dir):
+    """The report written as files and read back: its figures and the rows of its page."""
+    run = analysis_of(spark, sf_dir)
+    paths = sinks.write_report(run.report(as_of()), ingest.run_folder(spark), datetime(2024, 2, 1))
+    saved = spark.read.json(paths["json"])
+    sections = spark.read.json(paths["sections"]).filter("section IN ('categories', 'severities')").agg(F.count("*").alias("section_rows"))
+    return saved.select("overall_health_score", "summary.total_logs", "summary.total_threats", "summary.total_patterns",
+                        "summary.maintenance_alerts").join(sections)
 
 
 @query
@@ -695,16 +731,31 @@ def iforest_features(spark, sf_dir):
     return IF.anomaly_features(derived.logs(spark, sf_dir)).select("log_id", *[F.round(c, 9).alias(c) for c in IF.FEATURES])
 
 
-@query
-def iforest_fixed_forest(spark, sf_dir):
-    """Scores of a small forest written down by hand: two trees of one and two splits."""
+def _fixed_forest() -> IF.IsolationForest:
+    """A small forest written down by hand: two trees of one and two splits."""
     nodes = pd.DataFrame(
         [(0, 0, 0, 0.5, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 1.5), (0, 2, -1, 0.0, -1, -1, 2.5),
          (1, 0, 1, 0.3, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 1.0), (1, 2, 4, 0.5, 3, 4, 0.0),
          (1, 3, -1, 0.0, -1, -1, 2.0), (1, 4, -1, 0.0, -1, -1, 3.0)],
         columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
-    forest = IF.IsolationForest(nodes, {c: (0.0, 1.0) for c in IF.FEATURES}, 4, -0.5)
-    return IF.score(derived.logs(spark, sf_dir), forest).select("log_id", F.round("ml_score", 9).alias("ml_score"))
+    return IF.IsolationForest(nodes, {c: (0.0, 1.0) for c in IF.FEATURES}, 4, -0.5)
+
+
+@query
+def iforest_fixed_forest(spark, sf_dir):
+    """Scores of a forest that is given."""
+    return IF.score(derived.logs(spark, sf_dir), _fixed_forest()).select("log_id", F.round("ml_score", 9).alias("ml_score"))
+
+
+@query
+def forest_cut_off(spark, sf_dir):
+    """Decision limits of the given forest for several shares of anomalies, and of a column of many values."""
+    logs = derived.logs(spark, sf_dir)
+    raw = IF.raw_scores(logs, _fixed_forest()).select("raw").persist()
+    values = logs.select((-F.try_element_at("metrics", F.lit("cpu_usage"))).alias("raw"))
+    rows = [(kind, share, IF.cut_off(df, share)) for kind, df in (("forest", raw), ("load", values)) for share in (0.01, 0.05, 0.37, 0.5)]
+    raw.unpersist()
+    return spark.createDataFrame(rows, "kind string, share double, cut_off double").withColumn("cut_off", F.round("cut_off", 9))
 
 
 @query

@@ -67,17 +67,34 @@ def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(batch_path(folder, batch_id))
 
 
+def _handled(spark: SparkSession, ledger: str, batch_id: int) -> set[int]:
+    """The handlers that are through with a batch, one small row each."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(batch_path(ledger, batch_id))
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return set()
+    return {r.handler for r in spark.read.schema("handler int").parquet(batch_path(ledger, batch_id)).collect()}
+
+
 def dispatch(stream: DataFrame, bronze: str, handlers: Sequence[Handler], checkpoint: str) -> StreamingQuery:
     """Land every micro-batch in the bronze table, then hand it to each subscriber.
 
     A failing handler fails the batch; on restart the batch runs again from the
-    checkpoint, so nothing is lost and landed rows are not doubled.
+    checkpoint, so nothing is lost and landed rows are not doubled. A ledger beside the
+    checkpoint has a row per handler that is through with a batch, so those before a failing one
+    do not run again. Handlers keep their place in the list from run to run.
     """
+    ledger = f"{checkpoint.rstrip('/')}-handled"
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, bronze, batch_id)
-        landed = batch.sparkSession.read.schema(batch.schema).parquet(batch_path(bronze, batch_id))
-        for handler in handlers:
-            handler(landed, batch_id)
+        spark = batch.sparkSession
+        through = _handled(spark, ledger, batch_id)
+        if not through:
+            write_batch(batch, bronze, batch_id)
+        landed = spark.read.schema(batch.schema).parquet(batch_path(bronze, batch_id))
+        for place, handler in enumerate(handlers):
+            if place not in through:
+                handler(landed, batch_id)
+                spark.createDataFrame([(place,)], "handler int").coalesce(1).write.mode("append").parquet(batch_path(ledger, batch_id))
 
     return start_available(stream, each, checkpoint)
 

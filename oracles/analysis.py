@@ -181,6 +181,9 @@ zscores AS (
 SQL["rolling_zscore"] = with_ctes(LOGS, ZSCORES, select="""
 SELECT log_id, source, metric, value, samples, round(mean, 9) AS mean, round(std, 9) AS std, round(z_score, 9) AS z_score
 FROM zscores""")
+SQL["seeded_zscore"] = with_ctes(LOGS, ZSCORES.replace("ORDER BY us, log_id", "ORDER BY us < epoch_us(TIMESTAMP '2024-01-16'), us, log_id"), select="""
+SELECT log_id, source, metric, value, samples, round(mean, 9) AS mean, round(std, 9) AS std, round(z_score, 9) AS z_score
+FROM zscores WHERE us < epoch_us(TIMESTAMP '2024-01-16')""")
 SQL["baseline_table"] = with_ctes(LOGS, SAMPLES, select="""
 SELECT source, metric, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, count(*) AS samples FROM (
   SELECT *, row_number() OVER (PARTITION BY source, metric ORDER BY us DESC, log_id DESC) AS rn FROM samples)

@@ -125,3 +125,14 @@ paths AS (
 SELECT log_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
   0.5::DOUBLE + pow(2.0::DOUBLE, -path / (2 * (ln(3.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 1.5::DOUBLE)) - 0.5::DOUBLE)), 9) AS ml_score
 FROM paths""")
+SQL["forest_cut_off"] = with_ctes(LOGS, _INPUTS, """
+paths AS (
+  SELECT (CASE WHEN cpu_usage <= 0.5 THEN 1.5::DOUBLE ELSE 2.5::DOUBLE END
+    + CASE WHEN memory_usage <= 0.3 THEN 1.0::DOUBLE WHEN has_ip_address <= 0.5 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END) / 2 AS path
+  FROM inputs),
+vals AS (
+  SELECT 'forest' AS kind, -pow(2.0::DOUBLE, -path / (2 * (ln(3.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 1.5::DOUBLE)) AS x FROM paths
+  UNION ALL SELECT 'load', cpu FROM logs WHERE cpu IS NOT NULL)""", select="""
+SELECT kind, share, round(CASE share WHEN 0.01 THEN quantile_cont(x, 0.01) WHEN 0.05 THEN quantile_cont(x, 0.05)
+  WHEN 0.37 THEN quantile_cont(x, 0.37) ELSE quantile_cont(x, 0.5) END, 9) AS cut_off
+FROM vals, (SELECT unnest([0.01, 0.05, 0.37, 0.5]::DOUBLE[]) AS share) GROUP BY kind, share""")

@@ -122,6 +122,14 @@ SELECT {short_id('RPT', "'2024-02-01 00:00:00'")} AS report_id, TIMESTAMP '2024-
   {text_of('recs')} AS recommendations
 FROM advised""")
 
+SQL["report_files"] = with_ctes(*ALL, COUNTERS, URGENT, FACTS, select="""
+SELECT round(score, 1) AS overall_health_score, total_logs, total_threats, total_patterns, maintenance_alerts,
+  (SELECT count(*) FROM counters WHERE dimension IN ('category', 'severity')) AS section_rows FROM advised""")
+SQL["result_views"] = with_ctes(*ALL, select="""
+SELECT 'anomalies' AS view, count(*) AS total, count(*) AS listed FROM anomalies WHERE is_anomaly
+UNION ALL SELECT 'threats', count(*), count(*) FROM threats UNION ALL SELECT 'patterns', count(*), count(*) FROM patterns
+UNION ALL SELECT 'maintenance', count(*), count(*) FROM alerts""")
+
 
 def _section(name: str, source: str, order: str, key: str, value: str, badge: str, none: str) -> str:
     return f"""
