@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netsilt.llm.common import record
+from netsilt.llm.common import record, some_rows
 
 BITS = 27                 # 2 ** 27 bits: 16 MB
 _BLOCK = 20
@@ -51,6 +51,42 @@ def bit_table(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
+COUNTERS = 22             # 2 ** 22 counters of 32 bits: 16 MB
+
+
+def counter_table(hashes: DataFrame, bits: int = COUNTERS) -> np.ndarray:
+    """How many of ``hashes``' one column of packed 64-bit arrays fall on each of 2 ** bits places: never less than
+    how often a hash occurs. Blocks are summed in tasks and the driver receives the table, whose size is fixed."""
+    block = min(_BLOCK - 2, bits)
+    packed = pa.schema([("block", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in some_rows(batches, batch_column, 4 << 20):
+            h = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=_U)
+            at, n = np.unique((h & _U((1 << bits) - 1)).astype(np.int64), return_counts=True)
+            cuts = np.searchsorted(at >> block, np.arange((1 << bits - block) + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            low = (at & ((1 << block) - 1)).astype(np.uint32)
+            yield record(packed, full.astype(np.int32), [low[cuts[k]: cuts[k + 1]].tobytes() for k in full],
+                         [n[cuts[k]: cuts[k + 1]].astype(np.uint32).tobytes() for k in full])
+
+    def fill(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << block, dtype=np.int64)
+        for places, counts in zip(table.column("places").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            total[np.frombuffer(places, dtype=np.uint32)] += np.frombuffer(counts, dtype=np.uint32)
+        low = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+        return pa.table([table.column("block")[:1], pa.array([low.tobytes()], pa.binary()), pa.array([b""], pa.binary())], schema=packed)
+
+    batch_column = hashes.columns[0]
+    out = np.zeros(1 << bits, dtype=np.uint32)
+    rows = hashes.mapInArrow(spread, "block int, places binary, counts binary").groupBy("block").applyInArrow(
+        fill, "block int, places binary, counts binary")
+    for row in rows.toLocalIterator():
+        part = np.frombuffer(row.places, dtype=np.uint32)
+        out[row.block * len(part): (row.block + 1) * len(part)] = part
+    return out
+
+
 def maybe_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash may be a member; members always are."""
     bits = (len(table) * 8).bit_length() - 1

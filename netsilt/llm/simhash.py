@@ -21,6 +21,7 @@ at most.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netsilt.llm.bloom import counter_table
 from netsilt.llm.common import as_bytes, fixed, mix, record, share, some_rows, stored, unpacked, whole_row, word_hashes
 from netsilt.llm.repeats import rolling
 from netsilt.llm.components import components, forest
@@ -99,17 +101,17 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         run, "doc_id long, fp long")
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("values", pa.binary()), ("codes", pa.binary()), ("labels", pa.binary())])
-PACKED = "bucket int, values binary, codes binary, labels binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("values", pa.binary()), ("codes", pa.binary())])
+PACKED = "bucket int, values binary, codes binary"
 
 
 def _variants(buckets: int):
-    """Per task: the half-ball values of its fingerprints (``fp``, and if there are such
-    columns ``weight`` below 32 and ``label``), packed per bucket."""
+    """Per task: the half-ball values of its fingerprints (``fp``, and if there is such
+    a column a ``weight`` below 32), packed per bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {name: batch.column(name).to_numpy() for name in batch.schema.names}
-            fps, weight, label = column["fp"].view(_U), column.get("weight"), column.get("label")
+            fps, weight = column["fp"].view(_U), column.get("weight")
             odd = np.bitwise_count(fps) % 2 == 1
             for some, codes in ((np.flatnonzero(~odd), range(1, 65)), (np.flatnonzero(odd), range(len(FLIPPED)))):
                 codes = np.array(codes, dtype=np.uint16)
@@ -125,8 +127,7 @@ def _variants(buckets: int):
                     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                     full = np.flatnonzero(np.diff(cuts))
                     cut = lambda a: [a[order[cuts[k]: cuts[k + 1]]].tobytes() for k in full]
-                    yield record(_PACKED, full.astype(np.int32), cut(values), cut(code),
-                                 [None] * len(full) if label is None else cut(np.repeat(label[part], len(codes))))
+                    yield record(_PACKED, full.astype(np.int32), cut(values), cut(code))
     return run
 
 
@@ -185,47 +186,6 @@ def _meet(radius: int, reduce):
     return run
 
 
-def _met_at(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The one of the values at which two fingerprints within 3 bits meet that stands for the pair."""
-    differ = a ^ b
-    distance = np.bitwise_count(differ)
-    even = np.where(np.bitwise_count(a) % 2 == 0, a, b)
-    low = differ & (~differ + _U(1))
-    high = differ & ~low
-    mid = high & (~high + _U(1))
-    high &= ~mid
-    in_half = lambda x: ((x & LOW_HALF) == x) | ((x & ~LOW_HALF) == x)
-    third = np.where(in_half(mid | high), low, np.where(in_half(low | high), mid, high))
-    return np.where(distance == 2, np.minimum(a, b) ^ low, even ^ np.where(distance == 1, low, third))
-
-
-def _apart(radius: int):
-    """All pairs within ``radius`` bits whose labels differ, each at one value only. A value has
-    at most 1,057 members."""
-    def run(table: pa.Table) -> pa.Table:
-        get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
-        values, codes, labels = get("values", _U), get("codes", np.uint16), get("labels", np.int64)
-        order = np.argsort(values, kind="stable")
-        values, codes, labels = values[order], codes[order], labels[order]
-        edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
-        size = np.diff(edge)
-        mixed = np.repeat(np.minimum.reduceat(labels, edge[:-1]) != np.maximum.reduceat(labels, edge[:-1]), size)
-        end = np.repeat(np.cumsum(size[mixed[edge[:-1]]]), size[mixed[edge[:-1]]])
-        values, labels = values[mixed], labels[mixed]
-        fps = values ^ FLIPPED[codes[mixed]]
-        found, step, at = [np.zeros((2, 0), _U)], 1, np.arange(len(values))
-        while len(at := at[at + step < end[at]]):
-            some = at[labels[at] != labels[at + step]]
-            some = some[np.bitwise_count(fps[some] ^ fps[some + step]) <= radius]
-            a, b = fps[some], fps[some + step]
-            here = _met_at(a, b) == values[some]
-            found.append(np.stack([a[here], b[here]]))
-            step += 1
-        a, b = np.concatenate(found, axis=1)
-        return pa.table([a.view(np.int64), b.view(np.int64)], schema=_LINKS)
-    return run
-
-
 def links(prints: DataFrame, reduce=forest) -> DataFrame:
     """Links ``a, b`` that span every group of distinct fingerprints within 3 bits; with
     ``reduce=_least_hub`` only direct ones, a partner per fingerprint and bucket."""
@@ -264,6 +224,31 @@ def shingle_sets(texts: list[bytes], words: int = SHINGLE) -> list[np.ndarray]:
     return [np.unique(rolling(h, min(words, len(h)))) if len(h) else h for h in word_hashes([t.lower() for t in texts])]
 
 
+_SHOWN = pa.schema([("digest", pa.string()), ("fp", pa.int64()), ("root", pa.string()), ("shingles", pa.binary())])
+_RARE = pa.schema([*list(_SHOWN)[:3], ("shingle", pa.int64())])
+
+
+def _rarest(table, similarity: float):
+    """The shingles of each text by which a similar one must meet it. In one order of all shingles, rare ones by the
+    counters first, two sets with a Jaccard similarity of s share one of their first n - ceil(s n) + 1.
+    A shingle whose counter says that only this text has it meets none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = table.value
+        mask = _U(len(counters) - 1)
+        for batch in some_rows(batches, "shingles", 2 << 20):
+            found, sizes = [], []
+            for blob in batch.column("shingles").to_pylist():
+                h = np.frombuffer(blob, dtype=_U)
+                often = counters[(h & mask).astype(np.int64)]
+                first = np.lexsort((h, often))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                found.append(h[first[often[first] > 1]])
+                sizes.append(len(found[-1]))
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in ("digest", "fp", "root")],
+                                              pa.array(np.concatenate(found).view(np.int64))], schema=_RARE)
+    return run
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
     """``digest, doc_id, keeps_digest, keeps_doc_id`` per distinct text (by MD5) of ``docs``:
     its smallest doc_id, and the text and document that stand for its group.
@@ -276,8 +261,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
 
     A first round only saves work: texts meet hubs (the least and the most frequent
     fingerprint of a value, of one fingerprint the text nearest to the majority of all, which
-    is the original of scattered copies). Then every candidate pair whose texts are not
-    yet in one group is verified, so hubs never decide which texts belong together.
+    is the original of scattered copies). Then every other candidate pair is verified whose texts are not
+    yet in one group and share one of their rarest shingles, as all similar ones do; so hubs never
+    decide which texts belong together, and a crowd of texts that only look alike in their words forms no pairs.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = fixed(docs, doc_id=F.col("doc_id").cast("long"), digest=F.md5(text), text=text)
@@ -309,6 +295,11 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
             yield record(_SETS, batch.column("digest"),
                          [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)])
 
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in some_rows(batches, "text", 2 << 20):
+            yield record(_SHOWN, batch.column("digest"), batch.column("fp"), batch.column("root"),
+                         [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in some_rows(batches, "one", 4 << 20):
             keep = []
@@ -339,16 +330,21 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
         "fp", "digest", "doc_id", F.coalesce("root", "digest").alias("root")), "text-groups")
 
     # second round: all other pairs within 3 bits of texts that are not in one group yet
-    groups = grouped.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    label = F.when(F.col("low") == F.col("high"), F.xxhash64("low")).otherwise(F.xxhash64(F.lit("several"), "fp"))
-    met = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    apart = _buckets(stored(groups.join(met, "fp", "left_semi").select("fp", label.alias("label")), "text-labels")).applyInArrow(
-        _apart(RADIUS), "a long, b long")
-    several = groups.filter("low != high").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    x = grouped.select(F.col("fp").alias("a"), F.col("digest").alias("x"), F.col("root").alias("rx"))
-    y = grouped.select(F.col("fp").alias("b"), F.col("digest").alias("y"), F.col("root").alias("ry"))
-    left = apart.unionByName(several).join(x, "a").join(y, "b").filter("rx != ry and (a != b or x < y)").select(
-        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("rx").alias("a"), F.col("ry").alias("b"))
+    met = near.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(sizes.filter("n > 1").select("fp")).distinct()
+    asked = grouped.join(met, "fp", "left_semi").select(F.col("digest").alias("of"), F.col("doc_id").alias("id"), "fp", "root")
+    shown = rows.join(asked, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("digest", "text", "fp", "root")
+    shown = shown.mapInArrow(sets_of, "digest string, fp long, root string, shingles binary").dropDuplicates(["digest"])
+    shown = stored(shown, "text-sets")
+    table = shown.sparkSession.sparkContext.broadcast(counter_table(shown.select("shingles")))
+    rare = stored(shown.mapInArrow(_rarest(table, similarity), "digest string, fp long, root string, shingle long"), "text-rare")
+    of_shingle = rare.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(
+        F.max_by("root", "n").alias("most"), F.count("*").alias("roots")).filter("roots > 1")
+    shared = rare.join(of_shingle, "shingle")
+    one = shared.filter("root != most").select("shingle", *[F.col(c).alias(f"one_{c}") for c in ("digest", "fp", "root")])
+    pair = one.join(shared.select("shingle", "digest", "fp", "root"), "shingle").filter(
+        (F.col("root") != F.col("one_root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("one_fp"))) <= RADIUS))
+    left = pair.select(F.least("digest", "one_digest").alias("x"), F.greatest("digest", "one_digest").alias("y"),
+                       F.least("root", "one_root").alias("a"), F.greatest("root", "one_root").alias("b")).distinct()
     left = stored(left.join(pairs, ["x", "y"], "left_anti"), "text-pairs-left")
     joined = components(verified(left)).select("node", F.col("root").alias("joined"))
     grouped = stored(grouped.join(joined, F.col("root") == F.col("node"), "left").select(

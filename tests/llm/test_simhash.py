@@ -121,19 +121,6 @@ def test_distinct_documents_of_messy_rows(messy):
     assert S.distinct_documents(messy.limit(0)).collect() == []
 
 
-def test_every_pair_has_one_value():
-    rng = random.Random(4)
-    for bits in (1, 2, 3):
-        for _ in range(200):
-            a = b = rng.getrandbits(64)
-            for k in rng.sample(range(64), bits):
-                b ^= 1 << k
-            balls = [{f ^ int(x) for x in (S.FLIPPED if f.bit_count() % 2 else S.ONE)} for f in (a, b)]
-            both = [np.array([x], dtype=np.uint64) for x in (a, b)]
-            at = int(S._met_at(*both)[0])
-            assert at == int(S._met_at(*both[::-1])[0]) and at in balls[0] & balls[1]
-
-
 def slow_groups(texts, similarity=0.8):
     """{doc: text} -> doc -> smallest doc over similar pairs within 3 bits, from all pairs."""
     low = {d: t.lower().encode().split() for d, t in texts.items()}
