@@ -22,7 +22,7 @@ TEMPLATES = [
     ("Interface TenGigE0/{A}/{B} went down", "xcvr: no light on TenGigE0/{A}/{B}"),
     ("Horizontal port scan by 203.0.113.{B}", "gw: 40 hosts probed within 10 s"),
     ("Repeated failed login over ssh by 198.51.100.{B}",
-     "sshd: 198.51.100.{B}:42315 -> 10.1.1.5:22 looks like brute force"),
+     "sshd: peer 198.51.100.{B}:5{A}022 at 10.8.{A}.9:22, likely brute force"),
     ("Processor busy: CPU utilization at 9{A}%", "poll: cpu utilization 9{A}%"),
     ("Memory alert: pool usage 9{A}%", "%MEMORY-2-LOW: processor pool"),
     ("DNS query spike from resolver ns{A}.example.com", "dns amplification suspected, ANY zone query"),

@@ -89,38 +89,38 @@ def test_merge(spark):
     assert merged.count() == 2
 
 
-def test_store_and_search(spark, five_classified, tmp_path):
+def test_store_and_search(spark, night_classified, tmp_path):
     store = str(tmp_path / "store")
-    sinks.append_logs(five_classified.limit(0), store)
-    sinks.append_logs(five_classified, store)
+    sinks.append_logs(night_classified.limit(0), store)
+    sinks.append_logs(night_classified, store)
     logs = sinks.read_table(spark, store, "classified_logs")
-    assert logs.count() == 5
+    assert logs.count() == 8
     found = search.search_logs(logs, limit=1, offset=1, category="security", severity="critical", source="PROBE")
     assert found["total"].first()["total"] == 1 and found["logs"].count() == 0
-    assert search.log_by_id(logs, "LOG-103").first()["category"] == "HARDWARE"
-    out = analysis.analyse_classified(logs, analysis.at("2025-09-02 00:00:00"))
+    assert search.log_by_id(logs, "N-4").first()["category"] == "HARDWARE"
+    out = analysis.analyse_classified(logs, analysis.at("2025-03-10 00:00:00"))
     for _ in range(2):  # replacing is repeatable
         sinks.replace_results(store, security_threats=out.tables["threats"], anomaly_results=out.tables["anomalies"])
-    assert sinks.read_table(spark, store, "security_threats").count() == 2
+    assert sinks.read_table(spark, store, "security_threats").count() == 1
     assert search.anomaly_view(out.tables["anomalies"])["total"].first()["total"] == 0
     assert search.threat_view(out.tables["threats"])["summary"].count() > 4
     with pytest.raises(ValueError):
         sinks.table_path(store, "other")
 
 
-def test_report_files(spark, five_classified, tmp_path):
-    report = analysis.analyse_classified(five_classified, analysis.at("2025-09-02 00:00:00")).report(
-        analysis.at("2025-09-02 00:00:00"))
+def test_report_files(spark, night_classified, tmp_path):
+    report = analysis.analyse_classified(night_classified, analysis.at("2025-03-10 00:00:00")).report(
+        analysis.at("2025-03-10 00:00:00"))
     paths = sinks.write_report(report, str(tmp_path), NOW)
     saved = spark.read.json(paths["json"]).first()
-    assert saved["overall_health_score"] == 68.0 and saved["summary"]["total_logs"] == 5
+    assert saved["overall_health_score"] == 83.5 and saved["summary"]["total_logs"] == 8
     assert spark.read.json(paths["sections"]).filter("section = 'recommendations'").count() == 1
 
 
-def test_whole_run_reuses_base(spark, five):
-    out = analysis.analyse(five, analysis.at("2025-09-02 00:00:00"))
-    assert out.base.is_cached and out.enriched().count() == 5 and out.correlations().count() == 2
-    out.report(analysis.at("2025-09-02 00:00:00")).collect()
+def test_whole_run_reuses_base(spark, night):
+    out = analysis.analyse(night, analysis.at("2025-03-10 00:00:00"))
+    assert out.base.is_cached and out.enriched().count() == 8 and out.correlations().count() == 3
+    out.report(analysis.at("2025-03-10 00:00:00")).collect()
     out.release()
     assert not out.base.is_cached and not out.kept
 
