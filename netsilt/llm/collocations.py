@@ -39,7 +39,8 @@ INSIDE_PERCENT = 50          # a phrase goes if a longer one around it has such
 UNKNOWN = "und"
 BUCKET_BYTES = 8 << 20       # of text per bucket of grams
 LEAST_BUCKETS = 48
-FLUSH_TOKENS = 400_000       # a task sorts so many positions at once
+FLUSH_TOKENS = 500_000       # a task sorts so many positions at once
+FLUSH_WORDS = 1_200_000      # a task merges the distinct words of so many
 PATH_EDGES = 1000            # a compacted path is stored in rows of at most so many edges
 #: The bytes that end a piece; those and blanks end a word.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -122,7 +123,7 @@ def _count_words(seed: int):
                          [names[lang[i]] for i in first] + [names[k] for k in all_of],
                          [text[starts[i]: ends[i]].decode() for i in first] + [""] * len(all_of)))
             size += len(keys)
-            if size >= FLUSH_TOKENS:
+            if size >= FLUSH_WORDS:
                 yield flush()
                 held, size = [], 0
         if held:
