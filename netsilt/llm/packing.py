@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,12 @@ class Encoder(dict):
         return b"".join([b"".join(map(self.__getitem__, part.lower().split())) for part in pieces(text)])
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder: its tasks share what earlier ones have encoded."""
+    return Encoder(path)
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = MAX_TOKENS,
               sum_full: bool = False) -> DataFrame:
     """Full pieces of ``max_tokens`` and one rest per document, all tokens loss-bearing.
@@ -102,7 +109,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in some_rows(batches, "text", 2 << 20):
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
