@@ -830,14 +830,15 @@ def _log_stream(spark, sf_dir):
     return derived.logs_from_events(readers.spread_input(landed))
 
 
-def _timed_log_stream(spark, sf_dir, parts: int = 3):
-    """The derived logs as a stream of files in time order, a micro-batch each, so that a short delay is enough."""
+def _timed_log_stream(spark, sf_dir, parts: int = 3, order=None):
+    """The derived logs as a stream of files in time order, a micro-batch each, so that a short delay is enough.
+    ``order``: the parts of the time in the order in which they land."""
     events = derived.events(spark, sf_dir)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = events.agg(F.min(at), F.max(at)).first()
     part = F.least(F.lit(parts - 1), F.floor((at - low) * parts / F.lit(max(high - low, 1))))
     folder = f"{ingest.run_folder(spark)}/landed"
-    for k in range(parts):      # one after the other: files are read by their time
+    for k in order or range(parts):      # one after the other: files are read by their time
         events.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
     landed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return derived.logs_from_events(readers.spread_input(landed))
@@ -902,6 +903,21 @@ def stream_rates_sliding(spark, sf_dir):
     return _rates(spark, sf_dir, timedelta(hours=12), timedelta(hours=6), ["source"])
 
 
+@query
+def stream_late(spark, sf_dir):
+    """Three files out of order: the second comes last and too late, lands beside the others, and corrects rates."""
+    folder, keys, hour = ingest.run_folder(spark), ["category"], timedelta(hours=1)
+    stream = windows.classified_stream(_timed_log_stream(spark, sf_dir, order=(0, 2, 1)))
+    _finished(ingest.land_on_time(stream, folder, f"{folder}/landing", hour))
+    landed = spark.readStream.schema(stream.schema).parquet(f"{folder}/on_time/*")
+    _finished(ingest.start_available(
+        windows.window_rates(landed, keys, hour), lambda df, n: ingest.write_batch(df, f"{folder}/rates", n), f"{folder}/checkpoint", "update"))
+    rates = windows.latest_updates(spark.read.parquet(f"{folder}/rates"), ["window_start", *keys])
+    return windows.rate_corrections(rates, spark.read.parquet(f"{folder}/late").drop("batch"), keys, hour).select(
+        plain_time("window_start"), plain_time("window_end"), *keys, "count_before", "late_count", "count",
+        F.round("rate_per_minute", 9).alias("rate_per_minute"))
+
+
 @query
 def stream_burst(spark, sf_dir):
     folder = ingest.run_folder(spark)

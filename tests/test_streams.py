@@ -1,5 +1,6 @@
 """Streams over several micro-batches against the batch answers."""
 
+import glob
 import random
 from datetime import datetime, timedelta
 
@@ -145,3 +146,26 @@ def test_table_stream_of_a_file_and_of_a_folder(spark, landing, tmp_path):
     for k, path in enumerate((str(file), landing[0])):
         done(ingest.append_to(ingest.table_stream(spark, path, RAW_LOG), f"{tmp_path}/o{k}", f"{tmp_path}/c{k}"))
         assert spark.read.parquet(f"{tmp_path}/o{k}").count() == 300
+
+
+def test_late_logs_land_apart_and_correct_rates(spark, landing, tmp_path):
+    """The three files with the second one last: what it has at or before the latest time less the delay is late."""
+    names = sorted(glob.glob(f"{landing[0]}/*.parquet"), key=lambda f: spark.read.parquet(f).agg(F.max("timestamp")).first()[0])
+    order = [spark.read.parquet(names[k]) for k in (0, 2, 1)]
+    for part in order:
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    delay = timedelta(minutes=30)
+    for _ in range(2):
+        done(ingest.land_on_time(stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", delay))
+    latest = landing[1].agg(F.max("timestamp")).first()[0]
+    want = order[2].filter(F.col("timestamp") <= F.lit(latest - delay))
+    late = spark.read.parquet(f"{tmp_path}/out/late").drop("batch")
+    on_time = spark.read.parquet(f"{tmp_path}/out/on_time").drop("batch")
+    assert rows(late, "log_id") == rows(want, "log_id") and late.count() + on_time.count() == 300 and late.count() > 50
+    hour, keys = timedelta(hours=1), ["source"]
+    count = lambda df: df.groupBy(F.window("timestamp", "1 hour").alias("w"), "source").agg(F.count("*").alias("count")).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "source", "count")
+    fixed = windows.rate_corrections(count(on_time), late, keys, hour)
+    assert fixed.filter("count_before = 0").count() + fixed.filter("count_before > 0").count() == fixed.count()
+    touched = count(landing[1]).join(fixed.select("window_start", "source"), ["window_start", "source"])
+    assert rows(fixed, "window_start", "source", "count") == rows(touched, "window_start", "source", "count")
