@@ -51,13 +51,13 @@ def bit_table(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
-COUNTERS = 22             # 2 ** 22 counters of 32 bits: 16 MB
+COUNTERS = 20             # 2 ** 20 counters of 32 bits: 4 MB
 
 
 def counter_table(hashes: DataFrame, bits: int = COUNTERS) -> np.ndarray:
     """How many of ``hashes``' one column of packed 64-bit arrays fall on each of 2 ** bits places: never less than
     how often a hash occurs. Blocks are summed in tasks and the driver receives the table, whose size is fixed."""
-    block = min(_BLOCK - 2, bits)
+    block = min(_BLOCK - 4, bits)
     packed = pa.schema([("block", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -225,27 +225,32 @@ def shingle_sets(texts: list[bytes], words: int = SHINGLE) -> list[np.ndarray]:
 
 
 _SHOWN = pa.schema([("digest", pa.string()), ("fp", pa.int64()), ("root", pa.string()), ("shingles", pa.binary())])
-_RARE = pa.schema([*list(_SHOWN)[:3], ("shingle", pa.int64())])
+_RARE = pa.schema([*list(_SHOWN)[:3], ("size", pa.int64()), ("shingle", pa.int64()), ("early", pa.bool_())])
 
 
 def _rarest(table, similarity: float):
     """The shingles of each text by which a similar one must meet it. In one order of all shingles, rare ones by the
-    counters first, two sets with a Jaccard similarity of s share one of their first n - ceil(s n) + 1.
-    A shingle whose counter says that only this text has it meets none."""
+    counters first, two sets with a Jaccard similarity of s share one of their first n - ceil(s n) + 1; and of the
+    smaller set it is one of the first n - ceil(2 s / (1 + s) n) + 1, the early ones, as they have
+    s / (1 + s) of both sizes in common. A shingle whose counter says that only this text has it meets none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = table.value
         mask = _U(len(counters) - 1)
         for batch in some_rows(batches, "shingles", 2 << 20):
-            found, sizes = [], []
+            found, early, sizes, whole = [], [], [], []
             for blob in batch.column("shingles").to_pylist():
                 h = np.frombuffer(blob, dtype=_U)
                 often = counters[(h & mask).astype(np.int64)]
                 first = np.lexsort((h, often))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
-                found.append(h[first[often[first] > 1]])
+                met = often[first] > 1
+                found.append(h[first[met]])
+                early.append(np.flatnonzero(met) <= len(h) - math.ceil(2 * similarity / (1 + similarity) * len(h) - 1e-9))
                 sizes.append(len(found[-1]))
+                whole.append(len(h))
             of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in ("digest", "fp", "root")],
-                                              pa.array(np.concatenate(found).view(np.int64))], schema=_RARE)
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c).take(of) for c in ("digest", "fp", "root")], pa.array(np.repeat(whole, sizes).astype(np.int64)),
+                pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(early))], schema=_RARE)
     return run
 
 
@@ -336,13 +341,17 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
     shown = shown.mapInArrow(sets_of, "digest string, fp long, root string, shingles binary").dropDuplicates(["digest"])
     shown = stored(shown, "text-sets")
     table = shown.sparkSession.sparkContext.broadcast(counter_table(shown.select("shingles")))
-    rare = stored(shown.mapInArrow(_rarest(table, similarity), "digest string, fp long, root string, shingle long"), "text-rare")
+    rare = stored(shown.mapInArrow(_rarest(table, similarity), "digest string, fp long, root string, size long, shingle long, early boolean"), "text-rare")
     of_shingle = rare.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(
         F.max_by("root", "n").alias("most"), F.count("*").alias("roots")).filter("roots > 1")
     shared = rare.join(of_shingle, "shingle")
-    one = shared.filter("root != most").select("shingle", *[F.col(c).alias(f"one_{c}") for c in ("digest", "fp", "root")])
-    pair = one.join(shared.select("shingle", "digest", "fp", "root"), "shingle").filter(
-        (F.col("root") != F.col("one_root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("one_fp"))) <= RADIUS))
+    columns = ["digest", "fp", "root", "size", "early"]
+    one = shared.filter("root != most").select("shingle", *[F.col(c).alias(f"one_{c}") for c in columns])
+    of_smaller = F.expr("(size <= one_size and early) or (one_size <= size and one_early)")
+    similar_size = F.expr(f"size >= {similarity} * one_size and one_size >= {similarity} * size")
+    pair = one.join(shared.select("shingle", *columns), "shingle").filter(
+        (F.col("root") != F.col("one_root")) & of_smaller & similar_size
+        & (F.bit_count(F.col("fp").bitwiseXOR(F.col("one_fp"))) <= RADIUS))
     left = pair.select(F.least("digest", "one_digest").alias("x"), F.greatest("digest", "one_digest").alias("y"),
                        F.least("root", "one_root").alias("a"), F.greatest("root", "one_root").alias("b")).distinct()
     left = stored(left.join(pairs, ["x", "y"], "left_anti"), "text-pairs-left")
