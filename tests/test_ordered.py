@@ -160,6 +160,19 @@ def test_cascades(logs, rows, options, monkeypatch):
     edges.unpersist()
 
 
+def test_devices_of_a_cascade_are_made_once(logs, monkeypatch):
+    """Blocks give each pair of run and device one time, so nothing brings equal pairs together by a shuffle of all pairs."""
+    doubled = [*cascade.rules.CASCADE_RULES, ("INTERFACE", "BGP", "a second hypothesis", 0.5)]
+    for block, fan, levels in ((1, 2, 3), (3, 2, 2), (256, 8, 4)):
+        monkeypatch.setattr(cascade, "EDGE_BLOCK", block)
+        monkeypatch.setattr(cascade, "FAN", fan)
+        monkeypatch.setattr(cascade, "LEVELS", levels)
+        found = cascade.cascade_sources(logs, cascade_rules=doubled, slice_width=45 * MINUTE)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [correlation_id" not in plan and "Deduplicate" not in plan
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, cascade.affected_sources(cascade.cascade_edges(logs)).collect()))
+
+
 def test_building_a_plan_runs_no_job(spark, logs):
     status = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("building", "plans only")
