@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from datetime import timedelta
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -104,16 +105,20 @@ def dispatch(stream: DataFrame, bronze: str, handlers: Sequence[Handler], checkp
 def land_on_time(stream: DataFrame, folder: str, checkpoint: str, delay: timedelta) -> StreamingQuery:
     """Land logs in ``<folder>/on_time`` and those that come too late in ``<folder>/late``: at or before the latest
     time of all earlier batches less ``delay``. Logs without a time are on time. The latest time goes from batch to batch
-    as a table of one row, so a batch that runs again decides alike."""
+    as a table of one row, so a batch that runs again decides alike. Three writes read the batch, which is kept for them."""
     def each(batch: DataFrame, batch_id: int) -> None:
         latest = None
         if batch_id > 0:
             latest = batch.sparkSession.read.schema("latest timestamp").parquet(batch_path(f"{folder}/clock", batch_id - 1)).first()[0]
         is_late = F.lit(False) if latest is None else F.coalesce(F.col("timestamp") <= F.lit(latest - delay), F.lit(False))
-        write_batch(batch.filter(~is_late), f"{folder}/on_time", batch_id)
-        write_batch(batch.filter(is_late), f"{folder}/late", batch_id)
-        newest = batch.agg(F.greatest(F.max("timestamp"), F.lit(latest).cast("timestamp")).alias("latest"))
-        write_batch(newest.coalesce(1), f"{folder}/clock", batch_id)
+        logs = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write_batch(logs.filter(~is_late), f"{folder}/on_time", batch_id)
+            write_batch(logs.filter(is_late), f"{folder}/late", batch_id)
+            newest = logs.agg(F.greatest(F.max("timestamp"), F.lit(latest).cast("timestamp")).alias("latest"))
+            write_batch(newest.coalesce(1), f"{folder}/clock", batch_id)
+        finally:
+            logs.unpersist()
 
     return start_available(stream, each, checkpoint)
 

@@ -169,3 +169,19 @@ def test_late_logs_land_apart_and_correct_rates(spark, landing, tmp_path):
     assert fixed.filter("count_before = 0").count() + fixed.filter("count_before > 0").count() == fixed.count()
     touched = count(landing[1]).join(fixed.select("window_start", "source"), ["window_start", "source"])
     assert rows(fixed, "window_start", "source", "count") == rows(touched, "window_start", "source", "count")
+
+
+def test_a_part_lands_as_files_of_bounded_size(spark, monkeypatch):
+    """A micro-batch is as many tasks as it has files, and the results are those of single files."""
+    from netsilt.plans import registry
+    from tests.conftest import SF
+
+    folders = []
+    run_folder = ingest.run_folder
+    monkeypatch.setattr(ingest, "run_folder", lambda s: folders.append(run_folder(s)) or folders[-1])
+    monkeypatch.setattr(registry, "FILE_ROWS", 10_000)
+    whole = rows(registry.QUERIES["stream_late"](spark, SF), "window_start", "category", "count_before", "count")
+    monkeypatch.setattr(registry, "FILE_ROWS", 100)
+    assert rows(registry.QUERIES["stream_late"](spark, SF), "window_start", "category", "count_before", "count") == whole and whole
+    landed = [len(glob.glob(f"{f}/landed/*.parquet".replace("file:", ""))) for f in folders]
+    assert sorted(n for n in landed if n) == [3, 12]
