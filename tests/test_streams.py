@@ -185,3 +185,16 @@ def test_a_part_lands_as_files_of_bounded_size(spark, monkeypatch):
     assert rows(registry.QUERIES["stream_late"](spark, SF), "window_start", "category", "count_before", "count") == whole and whole
     landed = [len(glob.glob(f"{f}/landed/*.parquet".replace("file:", ""))) for f in folders]
     assert sorted(n for n in landed if n) == [3, 12]
+
+
+def test_chains_have_the_batch_ids_in_files_of_many_splits(spark):
+    from netsilt.plans import registry
+    from tests.conftest import SF
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        found = registry.QUERIES["stream_chains"](spark, SF).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found["edges"] == found["known"] > 0
