@@ -100,6 +100,24 @@ def test_cascade_stream(spark, landing, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/edges"), *cols) == rows(want, *cols)
 
 
+def test_cascade_runs_over_batches(spark, landing, tmp_path):
+    """Parts that overlap in time: the edges are those of the batch, and what is written grows with the logs."""
+    logs = classify.classify(landing[1])
+    for k in (1, 0, 2):
+        landing[1].filter(F.pmod(F.hash("log_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rule_set = [(a, b, "", 0.5) for a in ("BGP", "SECURITY", "HARDWARE") for b in ("BGP", "SECURITY", "INTERFACE")]
+    window = timedelta(days=3)
+    for _ in range(2):
+        done(carried.cascade_run_stream(windows.classified_stream(stream(spark, f"{tmp_path}/in")), f"{tmp_path}/out", window,
+                                        rule_set, delay=timedelta(days=60)))
+    found = spark.read.parquet(f"{tmp_path}/out/scores")
+    cols = ["correlation_id", "root_event_id", "root_source", "effect_event_id", "effect_source"]
+    got, want = rows(cascade.stored_edges(found, rule_set), *cols), rows(cascade.cascade_edges(logs, window, rule_set), *cols)
+    assert got == want and len(got) > found.count()
+    # an effect once in the batch that has it or carries it, a root at most once per rule, batch and effect order
+    assert found.count() <= 3 * 300 + 2 * 3 * 3 * 300
+
+
 def late_files(spark, folder):
     base = datetime(2025, 1, 1, 12)
     schema = RAW_LOG
