@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from netsilt import rules
 from netsilt.functions.columns import clip, metric
-from netsilt.functions.quantiles import exact_quantile
+from netsilt.functions.quantiles import exact_quantile, exact_quantiles
 from netsilt.operators.classify import severity_rank
 
 FEATURES = ["cpu_usage", "memory_usage", "interface_errors", "severity_num", "has_ip_address"]
@@ -138,6 +138,11 @@ def cut_off(raw: DataFrame, contamination: float) -> float:
     return exact_quantile(raw, -F.col("raw"), contamination)
 
 
+def cut_offs(raw: DataFrame, contaminations: Sequence[float]) -> list[float]:
+    """``cut_off`` for several shares, in the passes of one."""
+    return exact_quantiles(raw, -F.col("raw"), contaminations)
+
+
 def raw_scores(logs: DataFrame, forest: IsolationForest) -> DataFrame:
     """(log_id, raw): 2^(-mean path / expected path), high for isolated logs."""
     scaled = standardise(anomaly_features(logs), FEATURES, forest.moments)

@@ -70,3 +70,21 @@ def test_handlers_run_once_per_batch(spark, tmp_path):
     run()
     assert sorted(calls) == [("first", 0, 4), ("second", 0, 4)]
     assert spark.read.parquet(str(tmp_path / "bronze")).count() == 4
+
+
+def test_several_quantiles_take_the_passes_of_one(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BINS", 16)
+    values = np.random.default_rng(5).gamma(0.3, 40.0, 3000).round(2)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").persist()
+    shares = [0.0, 0.01, 0.05, 0.37, 0.5, 0.5, 1.0]
+
+    def jobs(group, some):
+        spark.sparkContext.setJobGroup(group, group)
+        found = quantiles.exact_quantiles(df, "v", some)
+        spark.sparkContext.setJobGroup("other", "other")
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    found, several = jobs("several", shares)
+    assert found == pytest.approx(list(np.quantile(values, shares)), rel=1e-12)
+    assert several <= 2 * max(jobs(f"one-{k}", [share])[1] for k, share in enumerate(shares))
+    assert quantiles.exact_quantiles(df.filter("v is null"), "v", shares) == [None] * len(shares)
