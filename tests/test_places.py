@@ -109,3 +109,16 @@ def test_rows_of_a_frame(spark):
     assert {(r["_at"], r.description) for r in shuffled.collect()} == {(r["_at"], r.description) for r in places.with_row_places(df).collect()}
     with pytest.raises(ValueError):
         places.with_row_places(spark.readStream.format("rate").load())
+
+
+def test_small_splits_are_bounded_in_number(spark, monkeypatch):
+    from netsilt.plans import registry
+    from tests.conftest import SF
+
+    monkeypatch.setattr(registry, "SMALL_SPLIT", 100)
+    monkeypatch.setattr(registry, "SMALL_SPLITS", 8)
+    splits, read = [], registry.readers.read_logs
+    monkeypatch.setattr(registry.readers, "read_logs", lambda s, path, fmt: splits.append(s.read.text(path).rdd.getNumPartitions()) or read(s, path, fmt))
+    found = registry.QUERIES["lasting_ids"](spark, SF).collect()
+    assert len(found) == 4 and all(r["logs"] == r["ids"] == r["same"] > 0 for r in found)
+    assert len(splits) == 3 and splits[0] < 8 <= splits[1] <= 20
