@@ -112,3 +112,18 @@ def test_failure_model(logs, tmp_path):
     assert len(scores) == features.count() and all(0 <= r[1] <= 1 for r in scores)
     assert failure_model.failure_probabilities(features, None).filter("failure_probability <> 0").count() == 0
     features.unpersist()
+
+
+def test_device_means_are_summed_oldest_first(spark):
+    """Sums of these values differ by order, and the mean is shown as 31 or 32 with it."""
+    values = [round(31.5 + (i * 37 % 50 - 24.5) * 1.01, 2) for i in range(50)]
+    oldest_first, newest_first = 0.0, 0.0
+    for v in values:
+        oldest_first += v
+    for v in values[::-1]:
+        newest_first += v
+    assert oldest_first != newest_first
+    rows = [("d", "cpu_usage", 50 - i, v) for i, v in enumerate(values)]
+    for stored in (rows, rows[::-1], sorted(rows, key=lambda r: r[3])):
+        df = spark.createDataFrame(stored, "device string, signal string, age int, value double").coalesce(1)
+        assert maintenance.features_of(df).first()["cpu_mean"] == oldest_first / 50 / 100.0
