@@ -71,3 +71,22 @@ def test_rounding_agrees_with_python(spark):
 def test_sql_literal_round_trip(spark, values):
     values = [v for v in values if not any(0xD800 <= ord(c) <= 0xDFFF for c in v)] or ["x"]
     assert spark.range(1).select(F.expr(sql_literal(values)).alias("v")).first()["v"] == values
+
+
+def test_needed_words():
+    assert X.needed_words(r"%BGP|bgp.neighbor|hold.timer") == ["%bgp", "neighbor", "timer"]
+    assert X.needed_words(r"colou?r|ab{2}c|[x\]y]lan|cpu\d*9") == ["colo", "a", "lan", "cpu"]
+    assert [X.needed_words(p) for p in (r"(a)b", r"\d+|ab", r"\x41bc", "straße", "")] == [None] * 5
+
+
+def test_patterns_behind_needed_words_find_the_same(spark):
+    """Also in letters that only match ASCII ones when case is ignored: long s, Kelvin sign, dotless and dotted i."""
+    patterns = [r[0] for r in rules.CLASSIFICATION_RULES] + [p for _, p in rules.THREAT_PATTERNS]
+    words = "BGP Neighbor hold timer voice QUEUE ids voıce İDS ſnort %LINK linK down port scan ſcan brute-force auth failed".split()
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(words, k=rng.randrange(5))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("lower", F.lower("t"))
+    df = df.withColumn("plain", X.plain_text("t", "lower"))
+    got = df.select("plain", X.first_match("t", patterns).alias("all"), X.first_match("t", patterns, plain="plain").alias("some")).collect()
+    assert [r["some"] for r in got] == [r["all"] for r in got]
+    assert any(r["plain"] is None and r["all"] for r in got) and any(r["plain"] and r["all"] for r in got)
