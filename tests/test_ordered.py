@@ -187,3 +187,38 @@ def test_logs_without_a_time_stay_out(spark):
     lost = raw_row("LOST", "d", "api", "INFO", "x", "y", 99, 1, 1, None)
     out = anomaly.rolling_zscore(spark.createDataFrame([*rows, lost], RAW_LOG)).filter("metric = 'cpu_usage'").collect()
     assert len(out) == 12 and max(r["samples"] for r in out) == 12
+
+
+@pytest.mark.parametrize("whole", [0, 100, 1000])  # all keys cut into blocks, the large one only, none
+def test_previous_rows_of_small_and_large_keys(spark, whole):
+    rng = random.Random(4)
+    data = [("a" if i % 3 else None if i % 7 == 1 else f"k{i % 7}", rng.randrange(50), i, float(rng.randrange(10))) for i in range(500)]
+    df = spark.createDataFrame(data, "k string, x int, id int, v double").repartition(6)
+    out = over_previous_rows(df, ["k"], ["x", "id"], 20, {"n": F.count("v"), "s": F.sum("v")}, 9, 33, whole)
+    assert out.columns == [*df.columns, "n", "s"]
+    want, seen = {}, defaultdict(list)
+    for k, x, i, v in sorted(data, key=lambda r: (r[1], r[2])):
+        seen[k].append(v)
+        want[(i,)] = (len(seen[k][-20:]), sum(seen[k][-20:]))
+    assert out.count() == len(data) and table(out, ["id"], "n", "s") == want
+
+
+@pytest.mark.parametrize("width", [1, 3 * 60 * MINUTE])
+def test_window_counts_keep_columns_and_run_no_probes(spark, width):
+    """Borders are open on the left; logs at one time count in order of their ids; one row per log is shuffled, once."""
+    rng = random.Random(6)
+    data = [(f"L{i:03d}", rng.choice("ab"), T0 + timedelta(minutes=rng.randrange(400)), i) for i in range(300)]
+    df = spark.createDataFrame([*data, ("N", "a", None, 0)], "log_id string, source string, timestamp timestamp, x int")
+    out = anomaly.window_counts(df, "source", timedelta(minutes=30), (1, 2), ("x",), slice_width=width)
+    assert str(out._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+    want = {}
+    for i, s, t, x in data:
+        back = [t - u for j, o, u, _ in data if o == s and (u, j) <= (t, i)]
+        want[(i,)] = (s, x, *[sum(b < timedelta(minutes=30 * n) for b in back) for n in (1, 2)])
+    assert table(out, ["log_id"], "source", "x", "n_1", "n_2") == want
+
+
+def test_anomaly_scores_of_logs_without_a_time(spark):
+    rows = [raw_row(f"L{i}", "d", "api", "ERROR", "login failed", "x", 1, 1, 0, None if i == 3 else T0 + timedelta(minutes=i)) for i in range(5)]
+    found = anomaly.anomaly_scores(classify.classify(spark.createDataFrame(rows, RAW_LOG)))
+    assert sorted(r["log_id"] for r in found.collect()) == ["L0", "L1", "L2", "L3", "L4"]
