@@ -127,3 +127,19 @@ def test_device_means_are_summed_oldest_first(spark):
     for stored in (rows, rows[::-1], sorted(rows, key=lambda r: r[3])):
         df = spark.createDataFrame(stored, "device string, signal string, age int, value double").coalesce(1)
         assert maintenance.features_of(df).first()["cpu_mean"] == oldest_first / 50 / 100.0
+
+
+def test_fit_alone_is_the_model_of_a_training_run(spark, logs, labels):
+    """No cross-validation for those who read only the model; rows are every core's work however few bytes they are."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fit", "fit alone")
+    alone = log_classifier.fit_classifier(logs, labels, num_trees=5, max_depth=4, folds=2)
+    spark.sparkContext.setJobGroup("train", "training run")
+    whole = log_classifier.train_classifier(logs, labels, num_trees=5, max_depth=4, folds=2).model
+    spark.sparkContext.setJobGroup("", "")
+    assert len(tracker.getJobIdsForGroup("fit")) < len(tracker.getJobIdsForGroup("train")) / 2
+    trees = lambda model: log_classifier._forest(model).toDebugString.split("\n", 1)[1]
+    assert trees(alone) == trees(whole)
+    _, _, ready = log_classifier._prepared(logs, labels, 2, 42)
+    assert ready.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ready.unpersist()
