@@ -3,6 +3,7 @@
 from datetime import datetime
 
 from tests.conftest import night_rows
+from netsilt import rules
 from netsilt.functions import text as X
 from netsilt.operators import anomaly, cascade, classify, maintenance, patterns, report, security
 from netsilt.plans import analysis
@@ -173,3 +174,16 @@ def test_risk_and_windows(spark):
         "HIGH": "Next maintenance window: 2025-09-02 02:00-04:00 UTC",
         "MEDIUM": "Routine maintenance before 2025-09-08 UTC",
         "LOW": "Routine maintenance before 2025-09-08 UTC"}
+
+
+def test_templates_are_made_once(spark):
+    """The most common category comes from the same pass as the rest; among equals the one seen first."""
+    at = lambda i: datetime(2025, 9, 1, 0, i)
+    second, first = sorted(rules.PATTERN_ACTION)[:2]
+    rows = [(at(i), f"d{i}", c, "ERROR", "port 1 lost") for i, c in enumerate([first, second, second, first, "Z"])]
+    df = spark.createDataFrame(rows, "timestamp timestamp, source string, category string, severity string, description string")
+    found = patterns.recurring_patterns(df, 3)
+    assert str(found._jdf.queryExecution().executedPlan()).count("Scan ExistingRDD") == 1
+    (one,) = found.collect()
+    assert (one["frequency"], one["source_count"], one["categories"]) == (5, 5, [second, first, "Z"])
+    assert one["recommended_action"] == rules.PATTERN_ACTION[first] != rules.PATTERN_ACTION[second]
