@@ -225,32 +225,52 @@ def shingle_sets(texts: list[bytes], words: int = SHINGLE) -> list[np.ndarray]:
 
 
 _SHOWN = pa.schema([("digest", pa.string()), ("fp", pa.int64()), ("root", pa.string()), ("shingles", pa.binary())])
-_RARE = pa.schema([*list(_SHOWN)[:3], ("size", pa.int64()), ("shingle", pa.int64()), ("early", pa.bool_())])
+_RARE = pa.schema([*list(_SHOWN)[:3], ("size", pa.int64()), ("sketch", pa.list_(pa.int64())), ("shingle", pa.int64()), ("place", pa.int64())])
+RARE = "digest string, fp long, root string, size long, sketch array<long>, shingle long, place long"
+SKETCH_BITS = 9             # 2 ** 9 bits: 8 longs
+
+
+def _parities(h: np.ndarray) -> list[int]:
+    """Per bit of a sketch whether an odd number of hashes falls on it. Sketches of two sets differ in as many bits as an
+    odd number of hashes of only one set falls on, so in no more than there are such hashes."""
+    count = np.bincount((h >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_be_similar(similarity: float, one: str = "", two: str = "one_") -> str:
+    """SQL: whether two texts that meet in a shingle may be similar, and it may be the first they share. They need
+    s / (1 + s) of both sizes in common, none of it before the first shared place, and may differ in the rest only."""
+    sizes = f"({one}size + {two}size)"
+    differ = " + ".join(f"bit_count({one}sketch[{k}] ^ {two}sketch[{k}])" for k in range(1 << SKETCH_BITS - 6))
+    common = similarity / (1 + similarity)
+    return (f"bit_count({one}fp ^ {two}fp) <= {RADIUS} and {one}size >= {similarity}D * {two}size - 1e-6D and {two}size >= {similarity}D * {one}size - 1e-6D"
+            f" and least({one}size - {one}place, {two}size - {two}place) >= {common!r}D * {sizes} - 1e-6D"
+            f" and {differ} <= {1 - 2 * common!r}D * {sizes} + 1e-6D")
 
 
 def _rarest(table, similarity: float):
-    """The shingles of each text by which a similar one must meet it. In one order of all shingles, rare ones by the
-    counters first, two sets with a Jaccard similarity of s share one of their first n - ceil(s n) + 1; and of the
-    smaller set it is one of the first n - ceil(2 s / (1 + s) n) + 1, the early ones, as they have
-    s / (1 + s) of both sizes in common. A shingle whose counter says that only this text has it meets none."""
+    """The shingles of each text by which a similar one must meet it, with their places. In one order of all shingles, rare
+    ones by the counters first, two sets with a Jaccard similarity of s share one of their first n - ceil(s n) + 1.
+    A shingle whose counter says that only this text has it meets none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = table.value
         mask = _U(len(counters) - 1)
         for batch in some_rows(batches, "shingles", 2 << 20):
-            found, early, sizes, whole = [], [], [], []
+            found, places, sizes, whole, sketches = [], [], [], [], []
             for blob in batch.column("shingles").to_pylist():
                 h = np.frombuffer(blob, dtype=_U)
                 often = counters[(h & mask).astype(np.int64)]
                 first = np.lexsort((h, often))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
-                met = often[first] > 1
-                found.append(h[first[met]])
-                early.append(np.flatnonzero(met) <= len(h) - math.ceil(2 * similarity / (1 + similarity) * len(h) - 1e-9))
+                places.append(np.flatnonzero(often[first] > 1))
+                found.append(h[first[places[-1]]])
                 sizes.append(len(found[-1]))
                 whole.append(len(h))
+                sketches.append(_parities(h))
             of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             yield pa.RecordBatch.from_arrays([
                 *[batch.column(c).take(of) for c in ("digest", "fp", "root")], pa.array(np.repeat(whole, sizes).astype(np.int64)),
-                pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(early))], schema=_RARE)
+                pa.array(sketches, pa.list_(pa.int64())).take(of),
+                pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places).astype(np.int64))], schema=_RARE)
     return run
 
 
@@ -266,9 +286,11 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
 
     A first round only saves work: texts meet hubs (the least and the most frequent
     fingerprint of a value, of one fingerprint the text nearest to the majority of all, which
-    is the original of scattered copies). Then every other candidate pair is verified whose texts are not
-    yet in one group and share one of their rarest shingles, as all similar ones do; so hubs never
-    decide which texts belong together, and a crowd of texts that only look alike in their words forms no pairs.
+    is the original of scattered copies). A second round does the same among the texts that share one of their rarest
+    shingles, as all similar ones do, with the text that has the fewest rarer ones as hub. Then every other candidate pair is
+    verified whose texts share such a shingle, are not yet in one group and may be similar by the shingle's places in both
+    and by sketches of their sets; so hubs never decide which texts belong together, and a crowd of texts that
+    only look alike in their words forms no pairs.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = fixed(docs, doc_id=F.col("doc_id").cast("long"), digest=F.md5(text), text=text)
@@ -334,30 +356,47 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
     grouped = stored(classes.join(roots, F.col("digest") == F.col("node"), "left").select(
         "fp", "digest", "doc_id", F.coalesce("root", "digest").alias("root")), "text-groups")
 
-    # second round: all other pairs within 3 bits of texts that are not in one group yet
+    # second round: hubs of rare shingles; third: all other pairs within 3 bits of texts that are not in one group yet
     met = near.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(sizes.filter("n > 1").select("fp")).distinct()
     asked = grouped.join(met, "fp", "left_semi").select(F.col("digest").alias("of"), F.col("doc_id").alias("id"), "fp", "root")
     shown = rows.join(asked, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("digest", "text", "fp", "root")
     shown = shown.mapInArrow(sets_of, "digest string, fp long, root string, shingles binary").dropDuplicates(["digest"])
     shown = stored(shown, "text-sets")
     table = shown.sparkSession.sparkContext.broadcast(counter_table(shown.select("shingles")))
-    rare = stored(shown.mapInArrow(_rarest(table, similarity), "digest string, fp long, root string, size long, shingle long, early boolean"), "text-rare")
-    of_shingle = rare.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(
-        F.max_by("root", "n").alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    shared = rare.join(of_shingle, "shingle")
-    columns = ["digest", "fp", "root", "size", "early"]
-    one = shared.filter("root != most").select("shingle", *[F.col(c).alias(f"one_{c}") for c in columns])
-    of_smaller = F.expr("(size <= one_size and early) or (one_size <= size and one_early)")
-    similar_size = F.expr(f"size >= {similarity} * one_size and one_size >= {similarity} * size")
-    pair = one.join(shared.select("shingle", *columns), "shingle").filter(
-        (F.col("root") != F.col("one_root")) & of_smaller & similar_size
-        & (F.bit_count(F.col("fp").bitwiseXOR(F.col("one_fp"))) <= RADIUS))
-    left = pair.select(F.least("digest", "one_digest").alias("x"), F.greatest("digest", "one_digest").alias("y"),
-                       F.least("root", "one_root").alias("a"), F.greatest("root", "one_root").alias("b")).distinct()
-    left = stored(left.join(pairs, ["x", "y"], "left_anti"), "text-pairs-left")
-    joined = components(verified(left)).select("node", F.col("root").alias("joined"))
-    grouped = stored(grouped.join(joined, F.col("root") == F.col("node"), "left").select(
-        "digest", "doc_id", F.coalesce("joined", "root").alias("root")), "text-groups")
+    rare = stored(shown.mapInArrow(_rarest(table, similarity), RARE), "text-rare")
+    columns = ["digest", "fp", "root", "size", "sketch", "place"]
+    may = F.expr(f"root != one_root and {may_be_similar(similarity)}")
+
+    def shared(rare: DataFrame) -> DataFrame:
+        """Rows whose shingle several groups have; ``most`` is the group with most of its texts, ``hubs`` are the texts
+        of any and of that group with the fewest rarer shingles."""
+        hub = F.min(F.struct("place", "digest", *[c for c in columns if c not in ("place", "digest")])).alias("hub")
+        of_shingle = rare.groupBy("shingle", "root").agg(F.count("*").alias("n"), hub).groupBy("shingle").agg(
+            F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"),
+            F.array(F.min("hub"), F.max_by("hub", F.struct("n", "root"))).alias("hubs")).filter("roots > 1")
+        return rare.join(of_shingle, "shingle")
+
+    def met_pairs(pair: DataFrame) -> DataFrame:
+        return pair.select(F.least("digest", "one_digest").alias("x"), F.greatest("digest", "one_digest").alias("y"),
+                           F.least("root", "one_root").alias("a"), F.greatest("root", "one_root").alias("b")).distinct()
+
+    def roots_by(pairs: DataFrame):
+        """What gives a table's ``root`` its new value, once the similar ones of ``pairs`` are joined."""
+        joined = stored(components(verified(pairs)).select("node", F.col("root").alias("joined")), "text-joined")
+        return lambda table: stored(table.join(joined, F.col("root") == F.col("node"), "left").withColumn(
+            "root", F.coalesce("joined", "root")).select(*table.columns), "text-joined")
+
+    starred = shared(rare).select("shingle", *columns, F.explode("hubs").alias("h")).select(
+        *columns, *[F.col(f"h.{c}").alias(f"one_{c}") for c in columns]).filter(may)
+    starred = stored(met_pairs(starred).join(pairs, ["x", "y"], "left_anti"), "text-pairs-starred")
+    newest = roots_by(starred)
+    grouped, rare = newest(grouped), newest(rare)
+    tried = pairs.unionByName(starred.select("x", "y"))
+    left_over = shared(rare)
+    one = left_over.filter("root != most").select("shingle", *[F.col(c).alias(f"one_{c}") for c in columns])
+    left = met_pairs(one.join(left_over.select("shingle", *columns), "shingle").filter(may))
+    left = stored(left.join(tried, ["x", "y"], "left_anti"), "text-pairs-left")
+    grouped = roots_by(left)(grouped)
     stands = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("s"))
     return grouped.join(stands, "root").select("digest", "doc_id", F.col("s.digest").alias("keeps_digest"),
                                                F.col("s.doc_id").alias("keeps_doc_id"))

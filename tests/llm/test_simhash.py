@@ -168,3 +168,30 @@ def test_groups_of_many_near_copies_are_whole(spark, monkeypatch):
     for least in (S.LEAST_BUCKETS, 3):
         monkeypatch.setattr(S, "LEAST_BUCKETS", least)
         assert {r.doc_id: r.keeps_doc_id for r in S.similar_documents(docs).collect()} == slow
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_do():
+    rng = np.random.default_rng(6)
+    bits = lambda a, b: sum(int(x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) % (1 << 64)).bit_count()
+                            for x, y in zip(S._parities(a), S._parities(b), strict=True))
+    for changed in (0, 1, 5, 40, 300):
+        one = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64) << np.uint64(1))
+        two = np.unique(np.concatenate([one[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64) << np.uint64(1)]))
+        apart = len(np.setxor1d(one, two))
+        assert bits(one, two) <= apart and (bits(one, two) > 0) == (apart > 0)
+
+
+def test_texts_at_the_edge_of_a_large_group_form_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    text, texts = words(rng, 150, 5000), {}
+    for k in range(500):                         # from near the original to too far from any other copy
+        near = list(text)
+        for i in rng.sample(range(150), 1 + k % 8):
+            near[i] = f"n{k}x{i}"
+        texts[k] = " ".join(near)
+    made = {}
+    monkeypatch.setattr(S, "stored", lambda df, name, *by, real=S.stored: made.setdefault(name, []).append(real(df, name, *by)) or made[name][-1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    groups = {r.doc_id: r.keeps_doc_id for r in S.similar_documents(docs).collect()}
+    assert groups == slow_groups(texts) and 50 < len(set(groups.values())) < 450
+    assert sum(df.count() for name in made if name.startswith("text-pairs-") for df in made[name]) < 4 * len(texts)
