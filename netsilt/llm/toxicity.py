@@ -25,6 +25,7 @@ FEATURES = 2048            # n-grams that the classifier keeps
 SAMPLE_ROWS = 16_000       # at most so many labelled documents are learnt from
 THRESHOLD = 0.7
 CHARS = 1 << 18            # characters hashed at once
+BLOCK_FEATURES = 1 << 18   # features widened at once
 _PARTS = 64
 _U = np.uint64
 
@@ -135,17 +136,36 @@ def _ratio(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ratio, gain
 
 
+def _best(parts: list, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that tell the classes apart best, and their ratios; the driver works on one part at a time."""
+    ratio, gain = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for r in parts:
+        counts = np.frombuffer(r.counts, dtype=np.int64).reshape(2, -1)
+        at = slice(r.part * counts.shape[1], (r.part + 1) * counts.shape[1])
+        ratio[at], gain[at] = _ratio(counts, n)
+    some = np.flatnonzero((gain > 0) & (gain >= np.partition(gain, -FEATURES)[-FEATURES]))
+    best = some[np.lexsort((some, -gain[some]))][:FEATURES]
+    return best, ratio[best]
+
+
 def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression on rows that list their present features, each with the
-    value ``scale``; full-batch Adam, deterministic."""
+    value ``scale``; full-batch Adam, deterministic. Features stay as narrow as they came and are widened some
+    rows at a time, as the driver learns; sums run in the order of the rows all the same."""
     sizes = np.array([len(r) for r in rows])
-    flat, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK_FEATURES)) + 1).tolist(), len(rows)]
+    blocks = [(a, b, np.concatenate(rows[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    own = np.arange(len(scale))
     w, bias = np.zeros(len(scale)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, (w * scale)[flat], minlength=len(rows)) + bias, -50, 50)))
-        e = p - y
-        g = np.append((np.bincount(flat, e[row], minlength=len(w)) * scale + l2 * w) / len(y), e.mean())
+        value, total, e = w * scale, np.zeros(len(w)), np.zeros(len(rows))
+        for a, b, flat in blocks:
+            row = np.repeat(np.arange(b - a), sizes[a:b])
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value[flat], minlength=b - a) + bias, -50, 50)))
+            e[a:b] = p - y[a:b]
+            total = np.bincount(np.concatenate([own, flat]), np.concatenate([total, e[a:b][row]]), minlength=len(w))
+        g = np.append((total * scale + l2 * w) / len(y), e.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
@@ -160,14 +180,11 @@ def train(labelled: DataFrame) -> Model:
     index = np.full(1 << BITS, -1, dtype=np.int16)
     if not got:
         return Model(index, np.zeros(1), -50.0)
-    got.sort(key=lambda r: r.part)
-    counts = np.concatenate([np.frombuffer(r.counts, dtype=np.int64).reshape(2, -1) for r in got], axis=1)
     n = np.array([sum(r.neg for r in got), sum(r.pos for r in got)])
     if not n.all():
         return Model(index, np.zeros(1), float(np.log((n[1] + 1) / (n[0] + 1))))
-    ratio, gain = _ratio(counts, n)
-    best = np.lexsort((np.arange(len(gain)), -gain))[:FEATURES]
-    best = best[gain[best] > 0]
+    best, ratio = _best(got, n)
+    del got
     index[best] = np.arange(len(best))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +197,8 @@ def train(labelled: DataFrame) -> Model:
     rows = labelled.mapInArrow(features, "label int, features binary").collect()  # at most SAMPLE_ROWS short rows
     rows.sort(key=lambda r: (r.label, r.features))  # sums in one order, whatever task came first
     w, bias = logistic([np.frombuffer(r.features, dtype=np.int16) for r in rows], np.array([r.label for r in rows], dtype=float),
-                       ratio[best])
-    return Model(index, w * ratio[best], bias)
+                       ratio)
+    return Model(index, w * ratio, bias)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -1,9 +1,11 @@
 """Held-out accuracy, defined results, and filtering."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from netsilt.llm import toxicity as T
@@ -63,3 +65,28 @@ def test_messy_rows_and_little_to_learn(spark, messy):
     assert out.count() == messy.count() and out.filter("score is null").count() == 0
     assert T.without_toxic(messy, none).columns == messy.columns and T.without_toxic(messy, none).count() == messy.count()
     assert T.toxicity(messy.limit(0), both).collect() == []
+
+
+def test_learning_takes_little_memory_and_sums_in_row_order(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 2048, rng.integers(0, 900))).astype(np.int16) for _ in range(6000)]
+    y, scale = (rng.random(6000) < 0.2).astype(float), rng.normal(size=2048)
+    tracemalloc.start()
+    w, bias = T.logistic(rows, y, scale, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(map(len, rows)) + (16 << 20)      # it took 24 bytes for each feature of a row
+    monkeypatch.setattr(T, "BLOCK_FEATURES", 1 << 40)
+    whole = T.logistic(rows, y, scale, steps=3)
+    assert (w == whole[0]).all() and bias == whole[1]
+
+
+def test_best_buckets_by_parts(monkeypatch):
+    monkeypatch.setattr(T, "BITS", 12)
+    monkeypatch.setattr(T, "FEATURES", 300)
+    counts, n = np.random.default_rng(4).integers(0, 6, (2, 1 << 12)), np.array([20, 9])
+    parts = [Row(part=k, counts=p.tobytes()) for k, p in enumerate(np.split(counts, 64, axis=1))]
+    best, ratio = T._best(parts[::-1], n)
+    all_ratios, gain = T._ratio(counts, n)
+    order = np.lexsort((np.arange(1 << 12), -gain))[:300]
+    assert (best == order).all() and (gain[best] > 0).all() and (ratio == all_ratios[best]).all()
