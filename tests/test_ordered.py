@@ -173,6 +173,44 @@ def test_devices_of_a_cascade_are_made_once(logs, monkeypatch):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, cascade.affected_sources(cascade.cascade_edges(logs)).collect()))
 
 
+def shuffled(df) -> list[int]:
+    """Rows that each exchange of the plan wrote."""
+    def under(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        own = [node.metrics().apply("shuffleRecordsWritten").value()] if node.nodeName() == "Exchange" else []
+        return own + [n for c in children for n in under(c)]
+
+    return under(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("what", ["edges", "stored", "sources"])
+def test_dense_cascades_shuffle_logs_not_pairs(spark, what):
+    """A run of 4,000 effects is shuffled as a whole, not once per 256 effects; its id is made behind the shuffle."""
+    at = [T0 + timedelta(milliseconds=k) for k in range(500)] + [T0 + timedelta(minutes=1, milliseconds=500 * k) for k in range(4000)]
+    dense = spark.createDataFrame(
+        [(f"L{k:05d}", t, *((f"r{k}", "DNS") if k < 500 else (f"d{k % 7}", "SECURITY"))) for k, t in enumerate(at)],
+        "log_id string, timestamp timestamp, source string, category string")
+    only = [("DNS", "SECURITY", "h", 0.5)]
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        if what == "edges":
+            made, want = cascade.cascade_edges(dense, cascade_rules=only), 500 * 4000
+        elif what == "stored":
+            found = cascade.fresh_runs(dense.withColumn("fresh", F.lit(True)), timedelta(hours=1), only)
+            made, want = cascade.stored_edges(found.withColumn("batch", F.lit(0)), only), 500 * 4000
+        else:
+            made, want = cascade.cascade_sources(dense, cascade_rules=only), 500 * (1 + 7)
+        counted = made.agg(F.count("*").alias("n"), F.max("correlation_id"))
+        assert counted.collect()[0]["n"] == want
+        assert 0 < max(shuffled(counted)) <= 4000 + 4 * 500      # effects, and both ends of each window in two orders
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert not any("md5" in line for line in plan[plan.index("SortMergeJoin"):].splitlines())
+    finally:
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+
+
 def test_building_a_plan_runs_no_job(spark, logs):
     status = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("building", "plans only")
